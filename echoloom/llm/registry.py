@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("split_oversized", "similar_vectors", "similarity_clusters", "sentences", "shared_spans", "near_duplicates", "packing", "leakage", "abuse")
+MODULES = ("split_oversized", "similar_vectors", "shared_spans", "near_duplicates")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -2,10 +2,10 @@
 
 A shared run need not fill a paragraph, so the unit that is min-hashed is every stretch of ``length``
 consecutive code points: its minhash under one hash function of ``GRAM``-code-point grams is kept with
-its position. Equal stretches have equal minhashes, so one band of one row has recall 1; sliding the
+its text. Equal stretches have equal minhashes, so one band of one row has recall 1; sliding the
 stretch makes the minima repeat, which leaves about two fingerprints per ``length - GRAM`` code points.
-Records that collide in a fingerprint are joined, every collision is verified by extending the match in
-the texts themselves, and groups are the connected components of the verified links.
+Records that collide in a fingerprint are joined, each colliding pair is verified over all its stretches
+of ``length`` code points, and groups are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -66,74 +66,56 @@ def fingerprints(text: str, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     return h[at], at
 
 
-def _extent(x: str, y: str, i: int, j: int) -> tuple[int, int]:
-    """Start in ``x`` and length of the maximal equal run through ``x[i]``, ``y[j]``."""
-    a, b = i, j
-    step = 64
-    while step:
-        if a >= step and b >= step and x[a - step : a] == y[b - step : b]:
-            a, b = a - step, b - step
-        else:
-            step //= 2
-    c, d = i, j
-    step = 256
-    while step:
-        if c + step <= len(x) and d + step <= len(y) and x[c : c + step] == y[d : d + step]:
-            c, d = c + step, d + step
-        else:
-            step //= 2
-    return a, c - a
+def common_stretches(x: str, y: str, length: int) -> tuple[list[dict], list[dict]]:
+    """Where ``x`` and ``y`` hold stretches of ``length`` code points of the other: merged ``s, e`` of either."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y)]
+    if min(map(len, codes)) < length:
+        return [], []
+    hx, hy = (gram_hashes(c, length) for c in codes)
+    sides = []
+    for own, other in ((hx, hy), (hy, hx)):
+        at = np.flatnonzero(np.isin(own, other))
+        first = np.flatnonzero(np.r_[True, np.diff(at) > length]) if len(at) else at
+        sides.append([{"s": int(at[p]), "e": int(at[q - 1]) + length} for p, q in zip(first, np.r_[first[1:], len(at)])])
+    return sides[0], sides[1]
 
 
 def shared_runs(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """``texts(cid, text)`` with distinct ``cid`` -> ``a, b, runs array<struct<a_start, b_start, n>>``, ``a < b``.
+    """``texts(cid, text)`` with distinct ``cid`` -> ``a, b, a_runs, b_runs``, ``a < b``.
 
-    ``runs`` are the maximal equal runs of at least ``length`` code points. Collisions are spread over
-    tasks by fingerprint and position salt before they meet; no fingerprint is capped.
+    ``a_runs`` and ``b_runs`` (``array<struct<s, e>>``) cover every stretch of at least ``length`` code points
+    that stands in both texts, side by side. A fingerprint of many texts is spread over tasks by a salt;
+    none is capped.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            out = [pd.DataFrame({"fp": [], "cid": []}, dtype=np.int64)]
             for c, t in zip(f["cid"], f["text"]):
-                h, at = fingerprints(t, length, gram)
-                # one position per fingerprint and text is enough for a link; periodic text repeats it
-                h, first = np.unique(h, return_index=True)
-                out.append(pd.DataFrame({"fp": h.view(np.int64), "cid": c, "at": at[first].astype(np.int32)}))
-            yield pd.concat(out) if out else pd.DataFrame({"fp": [], "cid": [], "at": []})
-
-    marks = cut(texts.where(F.char_length("text") >= length).mapInPandas(mark, "fp bigint, cid bigint, at int"))
-    crowd = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / 1000).cast("int"))
-    met = marks.join(crowd.select("fp", "parts"), "fp")
-    left = met.select("fp", F.pmod(F.xxhash64("cid"), F.col("parts").cast("bigint")).alias("part"), F.col("cid").alias("a"), F.col("at").alias("pa"))
-    right = met.select("fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"), F.col("cid").alias("b"), F.col("at").alias("pb"))
-    hits = left.join(right, ["fp", "part"]).where("a < b")
-    # collisions on one diagonal belong to one run: the first and the last of them are checked
-    lines = hits.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("d")).agg(F.collect_set("pa").alias("pas"))
-    pairs = lines.groupBy("a", "b").agg(F.collect_list(F.struct("d", "pas")).alias("lines"))
+                h = np.unique(fingerprints(t, length, gram)[0])
+                out.append(pd.DataFrame({"fp": h.view(np.int64), "cid": np.full(len(h), c, np.int64)}))
+            yield pd.concat(out)
+
+    marks = cut(texts.where(F.char_length("text") >= length).mapInPandas(mark, "fp bigint, cid bigint"))
+    crowd = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.ceil(F.col("n") / 1000).cast("bigint").alias("parts"))
+    met = marks.join(crowd, "fp")
+    left = met.select("fp", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.col("cid").alias("a"))
+    right = met.select("fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"))
+    pairs = left.join(right, ["fp", "part"]).where("a < b").select("a", "b").distinct()
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for a, b, lines, x, y in zip(f["a"], f["b"], f["lines"], f["xa"], f["xb"]):
-                runs = set()
-                for line in lines:
-                    seen = -1
-                    for p in sorted(line["pas"]):
-                        if p < seen:
-                            continue
-                        s, n = _extent(x, y, int(p), int(p - line["d"]))
-                        seen = s + n
-                        if n >= length:
-                            runs.add((s, s - int(line["d"]), n))
-                if runs:
-                    rows.append((a, b, [dict(zip(("a_start", "b_start", "n"), r)) for r in sorted(runs)]))
-            yield pd.DataFrame(rows, columns=["a", "b", "runs"])
+            for a, b, x, y in zip(f["a"], f["b"], f["xa"], f["xb"]):
+                p, q = common_stretches(x, y, length)
+                if p:
+                    rows.append((a, b, p, q))
+            yield pd.DataFrame(rows, columns=["a", "b", "a_runs", "b_runs"])
 
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("xa")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("xb")), "b")
-    return both.mapInPandas(verify, "a bigint, b bigint, runs array<struct<a_start int, b_start int, n int>>")
+    return both.mapInPandas(verify, "a bigint, b bigint, a_runs array<struct<s int, e int>>, b_runs array<struct<s int, e int>>")
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,8 +152,7 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per record with a shared run: its group and the share of its code points that stands in another record."""
     members, texts = classes(_records(spark, sf_dir))
     runs = cut(shared_runs(texts, LENGTH))
-    each = runs.select("a", "b", F.explode("runs").alias("r"))
-    ends = each.select(F.col("a").alias("cid"), F.col("r.a_start").alias("s"), (F.col("r.a_start") + F.col("r.n")).alias("e")).union(each.select("b", F.col("r.b_start"), F.col("r.b_start") + F.col("r.n")))
+    ends = runs.select(F.col("a").alias("cid"), F.inline("a_runs")).union(runs.select("b", F.inline("b_runs")))
     copies = members.groupBy("cid").agg(F.count("*").alias("n_copies"))
     sizes = texts.select("cid", F.char_length("text").alias("n_chars"))
     whole = copies.where("n_copies > 1").join(sizes, "cid").where(F.col("n_chars") >= LENGTH).select("cid", F.lit(0).alias("s"), F.col("n_chars").alias("e"))
