@@ -1,7 +1,7 @@
 """Problem 7: fill containers of fixed capacity with documents, neighbours together.
 
 Every document gets its length in tokens of a public tokenizer and a hashed vector (the mean of random
-directions of its word runs) projected to three dimensions. The points are put in the order of a Hilbert
+directions of its tokens) projected to three dimensions. The points are put in the order of a Hilbert
 curve, range-partitioned along it, and each stretch of the curve is packed best-fit, so that a container
 holds documents from one neighbourhood. A document is divided only when it alone exceeds the capacity;
 its full parts are containers of their own and its remainder is packed like any document.
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,12 +24,9 @@ from echoloom.runtime import cut, table
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs that the pattern above never joins: their token counts add up to the text's, so runs can be counted once.
-RUN = re.compile(r" ?[0-9]+(?=[:,.][0-9]|\s|\Z)|[:,.](?=[0-9])| ?\S+|\s+(?!\S)|\s+")
 DIMS, BITS = 3, 10
 #: Documents on one stretch of the curve, packed together.
 STRETCH = 2048
-CACHE = 400_000
 
 
 def encoder(folder: str, vocabulary: str):
@@ -41,46 +37,28 @@ def encoder(folder: str, vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class RunTable(dict):
-    """Number of each run; holds its token count and its direction (none for runs without a letter)."""
-
-    def __init__(self, encoding) -> None:
-        super().__init__()
-        self.encoding, self.counts, self.points, self.full = encoding, [], [], None
-
-    def __missing__(self, run: str) -> int:
-        import xxhash
-
-        # a single line break or number is met too often to be worth a call each
-        self.counts.append(len(self.encoding.encode_ordinary(run)))
-        if any(map(str.isalpha, run)):
-            h = xxhash.xxh64_intdigest(run.strip().lower())
-            self.points.append(tuple(((h >> (21 * k)) & 0x1FFFFF) / 2**20 - 1.0 for k in range(DIMS)))
-        else:
-            self.points.append((0.0,) * DIMS)
-        self[run] = no = len(self)
-        return no
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.full is None or len(self.full[0]) != len(self.counts):
-            self.full = np.array(self.counts, np.int64), np.array(self.points, np.float32).reshape(-1, DIMS)
-        return self.full
+def token_directions(encoding) -> np.ndarray:
+    """A random direction for every token that holds a letter, nothing for digits, marks and white space."""
+    out = np.random.default_rng(5).uniform(-1, 1, (encoding.n_vocab, DIMS)).astype(np.float32)
+    for no in range(encoding.n_vocab):
+        try:
+            word = encoding.decode_single_token_bytes(no)
+        except KeyError:
+            word = b""
+        if not any(c > 127 or chr(c).isalpha() for c in word):
+            out[no] = 0
+    return out
 
 
-def measure(texts: list[str], runs: RunTable) -> tuple[np.ndarray, np.ndarray]:
+def measure(texts: list[str], encoding, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token count and mean direction of each text."""
-    numbers, sizes = [], []
-    for t in texts:
-        own = list(map(runs.__getitem__, RUN.findall(t)))
-        numbers += own
-        sizes.append(len(own))
-    counts, points = runs.arrays()
-    at = np.array(numbers, np.int64)
-    begin = np.r_[0, np.cumsum(sizes)]
-    total = np.r_[0, np.cumsum(counts[at])]
-    moved = np.vstack([np.zeros((1, DIMS)), np.cumsum(points[at], axis=0, dtype=np.float64)]) if len(at) else np.zeros((1, DIMS))
-    n = total[begin[1:]] - total[begin[:-1]]
-    return n, (moved[begin[1:]] - moved[begin[:-1]]) / np.maximum(np.array(sizes), 1)[:, None]
+    n, points = np.zeros(len(texts), np.int64), np.zeros((len(texts), DIMS))
+    for i, t in enumerate(texts):
+        ids = encoding.encode_to_numpy(t, disallowed_special=())
+        n[i] = len(ids)
+        if len(ids):
+            points[i] = directions[ids].mean(0)
+    return n, points
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -142,14 +120,13 @@ def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENI
     kind = src.schema["id"].dataType.simpleString()
 
     def size(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = RunTable(encoder(folder, vocabulary))
+        encoding = encoder(folder, vocabulary)
+        directions = token_directions(encoding)
         for f in frames:
             for a in range(0, len(f), 512):  # long texts in small batches
                 g = f.iloc[a : a + 512]
-                n, p = measure(g["t"].tolist(), runs)
+                n, p = measure(g["t"].tolist(), encoding, directions)
                 yield pd.DataFrame({"id": g["id"], "h": g["h"], "n": n, **{f"p{d}": p[:, d] for d in range(DIMS)}})
-                if len(runs) > CACHE:
-                    runs = RunTable(runs.encoding)
 
     shape = f"id {kind}, h bigint, n bigint, " + ", ".join(f"p{d} double" for d in range(DIMS))
     sized = cut(src.withColumn("h", F.xxhash64("t")).select("id", "h", "t").mapInPandas(size, shape).dropDuplicates(["id", "h"]))

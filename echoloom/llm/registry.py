@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("split_oversized", "similar_vectors", "shared_spans", "near_duplicates")
+MODULES = ("split_oversized", "similar_vectors", "similarity_clusters", "shared_spans", "near_duplicates", "packing")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
