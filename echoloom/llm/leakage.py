@@ -73,6 +73,9 @@ def _repair_line(line: str) -> str:
 class _Folds(dict):
     def __missing__(self, code: int) -> str | int:
         c = chr(code)
+        if unicodedata.category(c) == "Cf":  # zero-width and formatting characters
+            self[code] = ""
+            return ""
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) or (c if not unicodedata.combining(c) else "")
         self[code] = out = plain.lower().translate(LOOKALIKE)
         return out

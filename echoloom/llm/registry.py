@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("split_oversized", "similar_vectors", "similarity_clusters", "shared_spans", "near_duplicates", "packing", "leakage")
+MODULES = ("split_oversized", "similar_vectors", "similarity_clusters", "shared_spans", "near_duplicates", "packing", "leakage", "abuse")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
