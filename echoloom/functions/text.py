@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,18 +31,17 @@ def word_count(text: Column) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """``array<struct<token, start, end>>`` of the matches of a token class: separators and tokens, summed up."""
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["token"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(pair["token"].alias("token"), start.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(tokens)), tokens, lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
-    return F.aggregate(pairs, first, add, lambda acc: acc["out"])
+    """``array<struct<token, start, end>>`` of the matches of a token class, null for a null text.
+
+    Offsets are a running sum, which Spark's array functions only give in quadratic time, so this is an Arrow UDF.
+    """
+    find = regex.compile({WORD: r"\S+", LEXICAL_TOKEN: r"[\p{Alphabetic}\p{N}']+"}.get(pattern, pattern))
+
+    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in find.finditer(t)])
+
+    return run(text)
 
 
 def shingles(tokens: Column, size: int) -> Column:
