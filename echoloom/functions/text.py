@@ -46,9 +46,14 @@ def spans(text: Column, pattern: str) -> Column:
 
 def shingles(tokens: Column, size: int) -> Column:
     """Distinct runs of ``size`` tokens joined by a space; a shorter unit is one shingle, an empty one none."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), " "))
+        return F.when(n > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # bound to a lambda's variable, the tokens are computed once and not again for every run
+    return F.get(F.transform(F.array(tokens), runs), 0)
 
 
 def sentences(text: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from echoloom.config import LexicalConfig
 from echoloom.functions import text as T
@@ -86,7 +87,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def order_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence over the longer length, by bit-parallel rows."""
 
@@ -106,7 +107,7 @@ def order_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def frequency_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Smaller over larger token counts, summed over all tokens."""
     from collections import Counter

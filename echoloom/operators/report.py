@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from echoloom.functions import text as T
 from echoloom.operators.intervals import containing
@@ -30,7 +31,7 @@ def span_locations(spans: DataFrame, acts: DataFrame, paragraphs: DataFrame, key
     return done.withColumn("paragraph_index", no).withColumn("segment_id", F.coalesce("p_id", T.segment_id(F.col(key[-1]), F.col("act"), no))).drop("p_act", "p_no", "p_id", "first_act")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def sentence_index(text: pd.Series, offset: pd.Series) -> pd.Series:
     """Number, from 1, of the sentence at a code-point offset; a sentence reaches up to and including its end."""
 
@@ -73,7 +74,7 @@ def expand(text: str, start: int, end: int) -> tuple[int, int]:
     return begin, m.end() if m else n
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 def expand_to_sentences(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([expand(t or "", int(a), int(b)) for t, a, b in zip(text, start, end)], columns=["start", "end"])
 
