@@ -511,3 +511,25 @@ def pass_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Windows that each pass of the full bundle would make of each draft."""
     n = _docs(spark, d).select("doc_key", T.word_count(F.col("text")).alias("n"))
     return n.select("doc_key", *[segment.window_estimate(F.col("n"), p.window_size, p.stride).alias(p.name) for p in PRESETS["full_multi_pass"].passes if p.method == "embedding"])
+
+
+# --- whole analyses
+
+
+@query()
+def embedding_report(spark: SparkSession, d: str) -> DataFrame:
+    """One embedding pass over all drafts with leader clustering, from pages to located spans."""
+    from echoloom.operators import contract
+
+    return contract.embedding_instances(_docs(spark, d), AnalysisParams(20, 10, enable_hdbscan=False)).select("doc_key", "cluster_id", "instance_id", "start", "end", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def multi_pass_report(spark: SparkSession, d: str) -> DataFrame:
+    """A lexical and an embedding pass over every chapter, merged into one JSON report each."""
+    from echoloom.config import LEXICAL, MultiPassConfig, PassSpec
+    from echoloom.operators import contract
+
+    docs = _chapters(spark, d)
+    bundle = MultiPassConfig((LEXICAL, PassSpec("chapter_fine", "chapter", "embedding", 50, 25)), enable_hdbscan=False)
+    return contract.report_json(docs, contract.multi_pass(docs, bundle)).select("doc_key.story_id", "doc_key.chapter", "report")
