@@ -183,7 +183,7 @@ def hdbscan_labels(x: np.ndarray, smallest: int, samples: int, block: int = 1024
 
 
 def stabilised(x: np.ndarray, label: np.ndarray, least: int = 3) -> np.ndarray:
-    """k-means with as many centres as there are clusters of ``least`` members; smaller results become noise.
+    """k-means over the members of clusters of at least ``least``, with as many centres; all others are noise.
 
     With no such cluster the labels pass through.
     """
@@ -191,15 +191,17 @@ def stabilised(x: np.ndarray, label: np.ndarray, least: int = 3) -> np.ndarray:
     known = known[counts >= least]
     if not len(known):
         return label
-    centre = np.stack([x[label == k].mean(0) for k in known])
+    rows = np.flatnonzero(np.isin(label, known))
+    part, centre = x[rows], np.stack([x[label == k].mean(0) for k in known])
     for _ in range(ROUNDS):
-        near = np.argmin(((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)), axis=1)
-        moved = np.stack([x[near == k].mean(0) if (near == k).any() else centre[k] for k in range(len(centre))])
+        near = np.argmin(((part * part).sum(1)[:, None] - 2 * part @ centre.T + (centre * centre).sum(1)), axis=1)
+        moved = np.stack([part[near == k].mean(0) if (near == k).any() else centre[k] for k in range(len(centre))])
         shift, centre = np.abs(moved - centre).max(), moved
         if shift < TOLERANCE:
             break
-    counts = np.bincount(near, minlength=len(centre))
-    return np.where(counts[near] >= least, near, -1)
+    out = np.full(len(x), -1, np.int64)
+    out[rows] = near
+    return out
 
 
 def cluster_jobs(windows: DataFrame, params: AnalysisParams) -> DataFrame:
