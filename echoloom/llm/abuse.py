@@ -49,10 +49,10 @@ def cue_words(text: str) -> list[list[str]]:
     foreign = not plain.isascii()
     for cue in plain.split("\x1e"):
         if foreign and MIXED.search(cue):
-            cue = MIXED.sub(lambda m: m[0].translate(ALIKE), cue)
+            cue = REPEAT.sub(r"\1", MIXED.sub(lambda m: m[0].translate(ALIKE), cue))
         words = WORD.findall(cue)
         if sum(len(w) == 1 for w in words) > 3:
-            words = WORD.findall(SPELLED.sub(_joined, cue))
+            words = WORD.findall(REPEAT.sub(r"\1", SPELLED.sub(_joined, cue)))
         if words and UNSPACED.search(cue):
             words = _pairs(words)
         if words:
