@@ -533,3 +533,12 @@ def multi_pass_report(spark: SparkSession, d: str) -> DataFrame:
     docs = _chapters(spark, d)
     bundle = MultiPassConfig((LEXICAL, PassSpec("chapter_fine", "chapter", "embedding", 50, 25)), enable_hdbscan=False)
     return contract.report_json(docs, contract.multi_pass(docs, bundle)).select("doc_key.story_id", "doc_key.chapter", "report")
+
+
+@query()
+def page_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """What a viewer needs of each page as JSON: its highlights and its top clusters; one row per page, so bounded."""
+    h = highlights(spark, d).groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct("doc_char_start", "doc_char_end", "cluster_id", "hue"))).alias("highlights"))
+    t = page_tooltips(spark, d).groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct("rank", "cluster_id", "sim"))).alias("clusters"))
+    p = stored.pages(spark, d).select("job_id", "page", "char_count").join(h, ["job_id", "page"], "left").join(t, ["job_id", "page"], "left")
+    return p.select("job_id", "page", F.to_json(F.struct("char_count", "highlights", "clusters")).alias("payload"))
