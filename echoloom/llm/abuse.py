@@ -27,7 +27,7 @@ from echoloom.runtime import table
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Hash buckets, factors, labelled documents used at most, and the least probability of a hit.
 BUCKETS, FACTORS, SAMPLE, LEAST = 1 << 17, 8, 20_000, 0.38
-ROUNDS, EPOCHS, RATE, DECAY, DOUBT, EASY, SEED = 3, 4, 0.15, 1e-5, -1.0, -4.5, 3
+ROUNDS, EPOCHS, RATE, DECAY, DOUBT, EASY, WITNESS, SEED = 3, 4, 0.15, 1e-5, -1.0, -4.5, 3.0, 3
 CUE_BREAK = re.compile(r"\n[ \t\r]*\n")
 REPEAT = re.compile(r"(\w)\1+")
 #: A word with letters of two scripts; fixed values: letters that look like a Latin one.
@@ -191,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray) -> Machine:
             top = guess[:, c] >= best[owner] - 1e-6
             pos = lab[:, c] > 0.3
             y[pos & top, c] = 1.0
-            weight[pos & top, c] = 3.0 * lab[pos & top, c]
+            weight[pos & top, c] = WITNESS * lab[pos & top, c]
             likely = guess[:, c] > (0.5 * best[owner] if turn == 0 else 0.0)
             weight[pos & ~top, c] = np.where(likely[pos & ~top], 0.0, 0.3)
             if turn:  # where nothing looks like a witness, the reviewer may have been wrong

@@ -44,12 +44,16 @@ SKIP, MISS, SOLID, AROUND = 0.3, 0.1, 0.4, 60
 
 
 def repair(text: str) -> str:
-    """Undo UTF-8 that was read as a one-byte code page, line by line, where that gives valid text."""
+    """Undo UTF-8 that was read as a one-byte code page, line by line, where that gives valid text, and Cyrillic
+    of its own code page that was read as Western: words of accented letters alone, several on a line."""
+    if CYRILLIC_READ.search(text):
+        text = "".join(CYRILLIC_READ.sub(lambda m: m[0].encode("latin-1").decode("cp1251"), x) if len(CYRILLIC_READ.findall(x)) > 1 else x for x in text.splitlines(keepends=True))
     if not MOJIBAKE.search(text):
         return text
     return "".join(_repair_line(x) if MOJIBAKE.search(x) else x for x in text.splitlines(keepends=True))
 
 
+CYRILLIC_READ = re.compile("(?<![A-Za-z\u0080-ÿ])[À-ÿ¸¨]{3,}(?![A-Za-z\u0080-ÿ])")
 MOJIBAKE = re.compile("[Â-ôΒ-ωА-я][\u0080-¿Œ-ƒˆ˜–-›€™]")
 #: Bytes 0x80 to 0x9F by the characters the Windows code page shows for them.
 ONE_BYTE = {ord(bytes([b]).decode("cp1252")): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
