@@ -122,7 +122,8 @@ def frequency_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def scored_pairs(units: DataFrame, cfg: LexicalConfig = LexicalConfig()) -> DataFrame:
     """``doc_key, a, b, score`` of units that match: exact ones at 1, others at or above their kind's threshold."""
-    u = cut(units)
+    # hashed shingles: the joins and intersections below run on longs
+    u = cut(units.withColumn("shingles", F.transform("shingles", lambda s: F.xxhash64(s))))
     exact = exact_pairs(u).withColumn("exact", F.lit(True))
     near = near_pairs(shingle_index(u, cfg.max_df_fraction), cfg.max_candidate_fanout).select("doc_key", "a", "b", F.lit(False).alias("exact"))
     pairs = exact.union(near).groupBy("doc_key", "a", "b").agg(F.max("exact").alias("exact"))

@@ -15,7 +15,7 @@ from echoloom.functions import vectors as V
 from echoloom.operators import clusters, intervals, lexical, raster, report, segment
 from echoloom.operators.graph import connected_components
 from echoloom.sources import stored
-from echoloom.runtime import table
+from echoloom.runtime import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -145,6 +145,12 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_key", "id", F.lit("paragraph").alias("kind"), "tokens", T.shingles(F.col("tokens"), 5).alias("shingles")).where(F.size("tokens") > 0)
 
 
+def _hashed_units(spark: SparkSession, d: str) -> DataFrame:
+    """The same units with hashed shingles, computed once: joins and intersections on longs instead of strings."""
+    u = _units(spark, d)
+    return cut(u.withColumn("shingles", F.transform("shingles", lambda s: F.xxhash64(s))))
+
+
 SQL_SHINGLES = rf"""{DRAFTS}, t AS (SELECT story_id, draft_id, {SQL_TOKENS} AS k FROM d), u AS (SELECT *, len(k) AS n FROM t WHERE len(k) > 0),
 sh AS (SELECT DISTINCT story_id, draft_id, array_to_string(k[i:i + 4], ' ') AS shingle FROM (SELECT story_id, draft_id, k, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM u)),
 df AS (SELECT story_id, shingle, count(*) AS df FROM sh GROUP BY 1, 2), cap AS (SELECT story_id, count(*) AS n FROM u GROUP BY 1)"""
@@ -169,7 +175,7 @@ def shingle_pruned(spark: SparkSession, d: str) -> DataFrame:
 common AS (SELECT n.story_id, n.a, n.b, n.hits, count(*) AS c FROM near n JOIN sh x ON x.story_id = n.story_id AND x.draft_id = n.a JOIN sh y ON y.story_id = n.story_id AND y.draft_id = n.b AND x.shingle = y.shingle GROUP BY 1, 2, 3, 4)
 SELECT c.story_id, a, b, hits, round(c / (p.n + q.n - c), 6) AS jaccard FROM common c JOIN size p ON p.story_id = c.story_id AND p.draft_id = a JOIN size q ON q.story_id = c.story_id AND q.draft_id = b""")
 def near_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
-    u = _units(spark, d)
+    u = _hashed_units(spark, d)
     near = lexical.near_pairs(lexical.shingle_index(u, 0.35), 64)
     met = near.join(u.select("doc_key", F.col("id").alias("a"), F.col("shingles").alias("sa")), ["doc_key", "a"]).join(u.select("doc_key", F.col("id").alias("b"), F.col("shingles").alias("sb")), ["doc_key", "b"])
     return met.select(F.col("doc_key").alias("story_id"), "a", "b", "hits", F.round(lexical.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
@@ -185,7 +191,7 @@ sides AS (SELECT n.story_id, n.a, n.b, f.tok, f.c AS ca, 0 AS cb FROM near n JOI
 each AS (SELECT story_id, a, b, tok, sum(ca) AS ca, sum(cb) AS cb FROM sides GROUP BY 1, 2, 3, 4)
 SELECT story_id, a, b, round(sum(least(ca, cb)) / sum(greatest(ca, cb)), 6) AS score FROM each GROUP BY 1, 2, 3""")
 def token_freq_score(spark: SparkSession, d: str) -> DataFrame:
-    u = _units(spark, d)
+    u = _hashed_units(spark, d)
     near = lexical.near_pairs(lexical.shingle_index(u, 0.35), 64)
     met = near.join(u.select("doc_key", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["doc_key", "a"]).join(u.select("doc_key", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["doc_key", "b"])
     return met.select(F.col("doc_key").alias("story_id"), "a", "b", F.round(lexical.frequency_score("ta", "tb"), 6).alias("score"))
@@ -193,7 +199,7 @@ def token_freq_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lcs_score(spark: SparkSession, d: str) -> DataFrame:
-    u = _units(spark, d)
+    u = _hashed_units(spark, d)
     near = lexical.near_pairs(lexical.shingle_index(u, 0.35), 64)
     met = near.join(u.select("doc_key", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["doc_key", "a"]).join(u.select("doc_key", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["doc_key", "b"])
     return met.select(F.col("doc_key").alias("story_id"), "a", "b", F.round(lexical.order_score("ta", "tb"), 6).alias("score"))
