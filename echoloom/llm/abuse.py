@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                         cues += own
                         owner += [a + d] * len(own)
                 if cues:
-                    np.maximum.at(best, np.array(owner), 1 / (1 + np.exp(-m.score(*features(cues, terms)))))
+                    np.maximum.at(best, np.array(owner), 1 / (1 + np.exp(-np.clip(m.score(*features(cues, terms)), -30, 30))))
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], **{c: best[:, k].astype(float) for k, c in enumerate(CATEGORIES)}})
 
     shape = "doc_id bigint, source string, " + ", ".join(f"{c} double" for c in CATEGORIES)
