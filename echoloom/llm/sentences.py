@@ -38,6 +38,14 @@ JOINING = ("because", "but", "and", "until", "لأن", "لكن", "ثم", "و", "
 REPORTS = re.compile(r"[^。！？!?\n“「『：:]{1,14}?(?:说|說|道|问|問|喊|答|叫|想|念|と)(?=[。，,：:！？\s]|$)|と")
 
 
+#: Reporting clauses after a quotation where a capital or no case at all could begin a new sentence.
+SAID = re.compile(
+    r"(?:\p{Lu}[\p{L}\p{M}'’-]*\s+){1,3}(?:said|asked|whispered|replied|answered|shouted|cried|murmured|called|sagte|fragte|rief|flüsterte|antwortete|dit|demanda|murmura|dijo|preguntó|susurró|сказал|сказала|спросил|спросила|ответил|είπε|ρώτησε)(?:\s+\p{Ll}+)?[.!?…]"
+    r"|(?:قال|سأل|همس|أجاب|صاح|قالت|سألت)\s+[\p{L}\p{M}]+(?:\s+[\p{L}\p{M}]+)?[.!؟]"
+    r"|[\p{L}\p{M}]+\s+ने\s+(?:\S+\s+)?(?:कहा|पूछा|बोला)[।!?]"
+)
+
+
 class Counts(dict):
     """Per word: times with a period, times without, times with a period and a small letter or digit after it."""
 
@@ -147,6 +155,8 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, end: int) -> bool:
         opened = par[start:at].lstrip()[:1]
         if tail.startswith("と") or (opened in "“「『" and REPORTS.match(tail)):
             return False
+    if closed and par[start:at].lstrip()[:1] in OPENING and SAID.match(tail):
+        return False
     if not period or dots:
         if stop in "!?" and not closed and gap == "" and nxt.isalnum() and nxt.isascii() and not nxt.isupper():
             return False
@@ -240,7 +250,7 @@ def sentences(text: str, corpus: frozenset[str] = frozenset()) -> list[tuple[int
                     start = m.end()
                 continue
             end_ = m.end()
-            while end_ < len(par) and (par[end_] in STOP_CHARS or (par[end_] in CLOSERS and _closes(par, end_, quoted)) or (par[end_] in "   " and par[end_ + 1 : end_ + 2] in "»›" and par[end_ + 1 : end_ + 2])):
+            while end_ < len(par) and (par[end_] in STOP_CHARS or (par[end_] in CLOSERS and _closes(par, end_, quoted)) or (par[end_].isspace() and any(b == end_ + 1 for _, b in quoted))):
                 end_ += 1
             held = [b for a, b in quoted if a < m.start() < b]
             if held and end_ <= held[0]:

@@ -67,6 +67,9 @@ CASES = [
     ("1. First item here.\n\n2) Second item", ["1. First item here.", "2) Second item"]),
     ("The file notes_34.txt is gone. Frost.Yortal bewachte es.", ["The file notes_34.txt is gone.", "Frost.", "Yortal bewachte es."]),
     ("It cost 13.65. “After that,” said Zan, “we left.”", ["It cost 13.65.", "“After that,” said Zan, “we left.”"]),
+    ("“The end came!” Virowsor said. A tail.", ["“The end came!” Virowsor said.", "A tail."]),
+    ("«كالعادة نسي!» قال توميفا. الخباز عد.", ["«كالعادة نسي!» قال توميفا.", "الخباز عد."]),
+    ("Es war lang. »Die kam!«, sagte Rufa. Ende.", ["Es war lang.", "»Die kam!«, sagte Rufa.", "Ende."]),
     ("", []),
     (" \n ", []),
 ]
