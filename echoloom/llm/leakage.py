@@ -13,10 +13,12 @@ cue numbers, timing lines and markup are dropped, and characters that recognitio
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from echoloom.runtime import table
 
 #: Timing lines of either cue format, cue numbers on a line of their own, the format's header, markup.
 NOISE = re.compile(r"^[ \t]*(?:[0-9:.,]+[ \t]*-+>[^\n]*|[0-9]+|WEBVTT[^\n]*)[ \t\r]*$|<[^<>\n]{0,60}>|\{[^{}\n]{0,60}\}|&[a-z]{2,6};", re.M)
+#: The same with markup of any length, which is told by its first character.
+PUT_IN = re.compile(NOISE.pattern + r"|</?[A-Za-z!][^<>\n]*>|\{\\[^{}\n]*\}", re.M)
 WORD = re.compile(r"[^\W_]+")
 #: Characters that recognition takes for each other, by the form they share.
 LOOKALIKE = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "8": "b", "9": "g", "6": "b", "3": "e", "4": "a", "7": "t"})
@@ -41,6 +45,9 @@ INDEX_ITEMS = 20_000
 #: What a document word between two matched words (cues put in between) and a missing item word cost, against
 #: 1 for a match; the share of its matches a passage must keep after these costs; words looked at around a hit.
 SKIP, MISS, SOLID, AROUND = 0.3, 0.1, 0.4, 60
+#: Cues put in between: what a run of them costs at most, whatever its length, between two pieces of the item; words and
+#: rare words each piece must match, and the share of its matches it must keep by itself; gap inside a piece.
+JUMP, PIECE, PIECE_RARE, PIECE_SOLID, PIECE_GAP = 3.0, 8, 2, 0.75, 10
 
 
 def repair(text: str) -> str:
@@ -94,7 +101,7 @@ def fold(text: str) -> str:
 
 def words(text: str) -> list[str]:
     """Folded words of a text without cue numbers, timing lines and markup."""
-    return WORD.findall(fold(NOISE.sub(" ", text)))
+    return WORD.findall(fold(PUT_IN.sub(" ", text)))
 
 
 class ItemIndex:
@@ -141,6 +148,7 @@ class ItemIndex:
         return np.concatenate(hits) if hits else np.zeros(0, np.int64)
 
 
+@lru_cache(1 << 16)
 def close(a: str, b: str) -> bool:
     """Equal, or one edit apart for each five characters."""
     if a == b:
@@ -157,10 +165,42 @@ def close(a: str, b: str) -> bool:
     return row[m] <= most
 
 
-def passage_share(item: list[str], text: list[str]) -> float:
+def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], widest: float) -> tuple[int, dict]:
+    """Most words matched by one chain with gaps of at most ``widest`` words, and the pieces that are strong by themselves:
+    ``(score, path)`` by their start, the path being ``(earlier path, text position, item position)``."""
+    # score, text position, item position, words matched, rare words matched, start, path
+    chains: list[tuple[float, int, int, int, int, tuple[int, int], tuple]] = []
+    best, pieces = 0, {}
+    for t, tries in hits:
+        chains = [c for c in chains if c[0] > SKIP * (t - c[1] - 1) and t - c[1] - 2 <= widest]
+        new = []
+        for start, p in tries:
+            score, matched, known, begin, earlier = 1.0, 1, int(rare[p]), (start, p), None
+            for s, ct, cp, m, r, from_, path in chains:
+                if cp < p and ct < start and start - ct - 1 <= widest:
+                    s += 1 - SKIP * (start - ct - 1) - MISS * (p - cp - 1)
+                    if s > score:
+                        score, matched, known, begin, earlier = s, m + 1, r + rare[p], from_, path
+            new.append((score, t, p, matched, known, begin, (earlier, t, p)))
+            if matched > best and score >= SOLID * matched:
+                best = matched
+            if matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched and score > pieces.get(begin, (0.0,))[0]:
+                pieces[begin] = score, new[-1][-1]
+        kept: dict[int, tuple] = {}
+        for c in chains + new:
+            k = kept.get(c[2])
+            if k is None or c[0] - SKIP * (t - c[1]) >= k[0] - SKIP * (t - k[1]):
+                kept[c[2]] = c
+        chains = list(kept.values())
+    return best, pieces
+
+
+def passage_share(item: list[str], text: list[str], rare: Container[str]) -> float:
     """Largest share of the item's words that stands in ``text`` in the item's order, as one passage.
 
-    Words put in between cost, so scattered common words make no passage; damaged words count by ``close``.
+    Words put in between cost, so scattered common words make no passage; damaged words count by ``close``. Between
+    two pieces that are strong by themselves, with words of ``rare`` in both, a gap of any length costs ``JUMP``.
+    Shares below ``LEAST_WORDS`` may come out as 0.
     """
     n = len(item)
     where: dict[str, list[int]] = defaultdict(list)
@@ -180,32 +220,44 @@ def passage_share(item: list[str], text: list[str]) -> float:
             found = known[w] = where.get(w) or [p for x in like if close(x, w) for p in where[x]]
         return found
 
-    chains: list[tuple[float, int, int, int]] = []  # score, text position, item position, words matched
-    best = 0
+    hits = []
     for t, w in enumerate(text):
         tries = [(t, p) for p in spots(w)]
         if t and w not in where and text[t - 1] not in where:  # a word that damage has cut in two
             tries += [(t - 1, p) for p in spots(text[t - 1] + w)]
-        if not tries:
-            continue
-        chains = [c for c in chains if c[0] > SKIP * (t - c[1] - 1)]
-        new = []
-        for start, p in tries:
-            score, matched = 1.0, 1
-            for s, ct, cp, m in chains:
-                if cp < p and ct < start:
-                    s += 1 - SKIP * (start - ct - 1) - MISS * (p - cp - 1)
-                    if s > score:
-                        score, matched = s, m + 1
-            new.append((score, t, p, matched))
-            if matched > best and score >= SOLID * matched:
-                best = matched
-        kept: dict[int, tuple[float, int, int, int]] = {}
-        for c in chains + new:
-            k = kept.get(c[2])
-            if k is None or c[0] - SKIP * (t - c[1]) >= k[0] - SKIP * (t - k[1]):
-                kept[c[2]] = c
-        chains = list(kept.values())
+        if tries:
+            hits.append((t, tries))
+    tells = [w in rare for w in item]
+    met = {p for _, tries in hits for _, p in tries}
+    if len(met) < LEAST_WORDS * n:  # whatever their order, it is no leak
+        return 0.0
+    best, wide = _chain(hits, tells, math.inf)
+    if best < n and sum(tells[p] for p in met) >= 2 * PIECE_RARE:  # else there can't be two pieces
+        # a piece that only goes on across a wide gap starts anew as well, so that it counts by itself
+        both = []
+        for score, path in [*wide.values(), *_chain(hits, tells, PIECE_GAP)[1].values()]:
+            points = []
+            while path:
+                path, t, p = path
+                points.append((t, p))
+            both.append((points[0], score, points[::-1]))
+        both.sort()
+        strong = lambda x: len(x) >= PIECE and sum(tells[p] for _, p in x) >= PIECE_RARE
+        joined: list[tuple[float, int]] = []
+        for k, ((t1, p1), score, own) in enumerate(both):
+            top = score, len(own)
+            for ((u1, q1), _, before), (total, m) in zip(both[:k], joined):
+                if u1 >= t1 or before[0][1] >= p1:
+                    continue
+                # words of both pieces count once: the later one loses its first or the earlier one its last
+                late = [(t, p) for t, p in own if t > u1 and p > q1]
+                early = [(t, p) for t, p in before if t < own[0][0] and p < own[0][1]]
+                for kept, lost in ((late, len(own) - len(late)), (early, len(before) - len(early))):
+                    if strong(kept):
+                        top = max(top, (total + score - lost - JUMP, m + len(own) - lost))
+            joined.append(top)
+            if top[0] >= SOLID * top[1]:
+                best = max(best, top[1])
     return best / n
 
 
@@ -241,8 +293,10 @@ def scan(texts: list[str], index: ItemIndex) -> list[tuple[int, int, float]]:
                 last = k
                 while last + 1 < len(ks) and begin[ks[last + 1]] - begin[ks[last]] <= reach:
                     last += 1
-                share = max(share, passage_share(index.words[j], own[a : int(end[ks[last]]) + reach]))
+                share = max(share, passage_share(index.words[j], own[a : int(end[ks[last]]) + reach], index.term))
                 k = last + 1
+            if share < 1.0:  # the rest may stand anywhere, with cues put in between
+                share = max(share, passage_share(index.words[j], own, index.term))
             if share >= LEAST_WORDS:
                 out.append((no, j, share))
     return out

@@ -208,6 +208,17 @@ def test_leaks(spark):
     assert leakage.leaked(df, items.limit(0), "k", "text", "i", "t").count() == 0
 
 
+def test_leak_with_cues_put_in_between():
+    rng = random.Random(9)
+    w = ITEM.split()
+    third = -(-len(w) // 3)
+    index = leakage.ItemIndex([(5, ITEM), *[(20 + i, prose(rng, 60)) for i in range(5)]])
+    apart = "\n\n".join(cues(x) for k in range(0, len(w), third) for x in (" ".join(w[k : k + third]), prose(rng, 120)))
+    tagged = " ".join(f'<font face="{"serif " * 30}">{x}' for x in w)
+    quoted = " ".join(w[:third]) + " " + prose(rng, 120) + " " + " ".join(w[:third])
+    assert [(no, share) for no, j, share in leakage.scan([apart, tagged, quoted], index) if index.ids[j] == 5] == [(0, 1.0), (1, 1.0)]
+
+
 # --- p9
 
 
