@@ -6,12 +6,12 @@ vectors collide in an array when their values lie within the query-centred windo
 verified, first by the projections' squared distance, then by its exact cosine. Windows are centred on the
 query, so no pair is lost at a window's edge.
 
-To distribute the arrays, each of ``TABLES`` tables takes ``depth`` of the arrays at their coarsest level
+To distribute the arrays, each of ``TABLES`` tables (more where keys are longer, see ``n_tables``) takes ``depth`` of the arrays at their coarsest level
 (below or above the centre: one virtual-rehashing level that holds half of the array) as the partition
 key; inside a partition the arrays are expanded from a narrow window over a first batch of arrays to the
-full count over all of them. A partition with more than ``BLOCK`` members is refined along the next
-arrays of its table until it fits or its key is used up; what is still larger (near-copies) is cut into
-blocks whose pairs are counted as separate tasks. Nothing is capped.
+full count over all of them. Partitions hold ``BLOCK / 2`` members on average; one with more than ``CROWD * BLOCK``
+(a dense cluster) is cut into blocks whose pairs are counted as separate tasks, so that dense data lose no
+pair that others would find. Nothing is capped.
 
 Only 8-bit projections are shuffled; the vectors themselves are read again for the candidates alone.
 Equal vectors form one class and are expanded at the end.
@@ -20,7 +20,6 @@ Equal vectors form one class and are expanded at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 from echoloom.runtime import cut, table
 
 PROJECTIONS, FIRST, TABLES, SEED = 64, 16, 16, 7
-#: Members of a partition beyond which it is refined, and key bits a table has.
-BLOCK, DEEPEST, STEP = 1024, 24, 4
+#: Twice the members of an average partition, how often that makes a block of a crowded one, and key bits a table has.
+BLOCK, CROWD, DEEPEST = 1024, 4, 24
+#: Share of the pairs at the limit of similarity that meet in a table at least.
+MEET = 0.99
 #: 8-bit steps per unit of projected value (unit vectors, directions of unit variance per coordinate).
 STEPS = 32.0
 #: Candidate ids up to which the second read of the vectors is filtered by a broadcast set.
@@ -44,10 +45,21 @@ def directions(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS)).astype(np.float32)
 
 
-def table_arrays() -> np.ndarray:
+def key_bits(n: int) -> int:
+    """Key bits of a collection of ``n`` vectors."""
+    return int(np.clip(np.ceil(np.log2(max(n, 1) / (BLOCK / 2))), 0, DEEPEST))
+
+
+def n_tables(bits: int, min_cosine: float) -> int:
+    """Tables in which ``MEET`` of the pairs at the limit agree on all key bits at least once."""
+    one = (1 - np.arccos(np.clip(min_cosine, -1, 1)) / np.pi) ** bits
+    return TABLES if one >= 1 else max(TABLES, int(np.ceil(np.log(1 - MEET) / np.log1p(-one))))
+
+
+def table_arrays(tables: int = TABLES) -> np.ndarray:
     """Which array gives bit ``k`` of table ``t``."""
     rng = np.random.default_rng(SEED + 1)
-    return np.stack([rng.permutation(PROJECTIONS)[:DEEPEST] for _ in range(TABLES)])
+    return np.stack([rng.permutation(PROJECTIONS)[:DEEPEST] for _ in range(tables)])
 
 
 def usable(embedding: str, dim: int | None) -> F.Column:
@@ -81,12 +93,14 @@ def thresholds(min_cosine: float) -> tuple[int, int, int, float]:
 
 
 def count_collisions(codes: np.ndarray, own: np.ndarray | None, radius: int, first: int, every: int, most: float, square: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs ``i < j`` that collide often enough; with ``own``, only pairs of different blocks."""
+    """Index pairs ``i < j`` that collide often enough; with ``own``, sorted, only pairs of different blocks."""
     n, out = len(codes), []
     cols = np.ascontiguousarray(codes.T)
     two = np.uint8(2 * radius)
     for a in range(0, n, square):
         for b in range(a, n, square):
+            if own is not None and own[a] == own[min(b + square, n) - 1]:
+                continue
             left, right = cols[:, a : a + square], cols[:, b : b + square]
             hits = np.zeros((left.shape[1], right.shape[1]), np.uint8)
             for k in range(FIRST):
@@ -109,11 +123,11 @@ def count_collisions(codes: np.ndarray, own: np.ndarray | None, radius: int, fir
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def sketches(vectors: DataFrame, dim: int) -> DataFrame:
+def sketches(vectors: DataFrame, dim: int, tables: int = TABLES) -> DataFrame:
     """``vectors(cid, embedding)`` -> ``cid, codes binary, keys array<int>``: 8-bit projections and each table's key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, arrays = directions(dim), table_arrays()
+        d, arrays = directions(dim), table_arrays(tables)
         weight = (1 << np.arange(DEEPEST - 1, -1, -1)).astype(np.int64)
         for f in frames:
             if not len(f):
@@ -129,29 +143,15 @@ def sketches(vectors: DataFrame, dim: int) -> DataFrame:
 
 def candidate_pairs(known: DataFrame, min_cosine: float) -> DataFrame:
     """``known(cid, codes, keys)``, distinct ``cid`` -> candidate pairs ``a < b``."""
-    n = known.count()
-    start = int(np.clip(np.ceil(np.log2(max(n, 1) / (BLOCK / 2))), 0, DEEPEST))
-    level, rows = start, known.select(F.posexplode("keys").alias("t", "key"), "cid", "codes")
-    ready = []
-    while True:
-        at = F.shiftright("key", DEEPEST - level)
-        crowd = rows.groupBy("t", at.alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-        crowd = cut(crowd.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
-        n_crowded = crowd.count()
-        here = rows.withColumn("at", at).withColumn("level", F.lit(level))
-        if not n_crowded:
-            ready.append(here.withColumn("blocks", F.lit(1)))
-            break
-        few = F.broadcast(crowd) if n_crowded <= BROADCAST_BUCKETS else crowd
-        if level == DEEPEST:
-            ready.append(here.join(few, ["t", "at"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
-            break
-        ready.append(here.join(few, ["t", "at"], "left_anti").withColumn("blocks", F.lit(1)))
-        rows = here.join(few, ["t", "at"], "left_semi").select("t", "key", "cid", "codes")
-        level = min(level + STEP, DEEPEST)
-    placed = reduce(DataFrame.unionByName, ready).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("smallint"))
+    at = F.shiftright("key", DEEPEST - key_bits(known.count()))
+    rows = known.select(F.posexplode("keys").alias("t", "key"), "cid", "codes").withColumn("at", at)
+    crowd = rows.groupBy("t", "at").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * BLOCK)
+    crowd = cut(crowd.select("t", "at", F.ceil(F.col("n") / (CROWD * BLOCK)).cast("int").alias("blocks")))
+    few = F.broadcast(crowd) if crowd.count() <= BROADCAST_BUCKETS else crowd
+    placed = rows.join(few, ["t", "at"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    node = F.xxhash64("t", "level", "at", F.least("own", "other"), F.greatest("own", "other"))
+    node = F.xxhash64("t", "at", F.least("own", "other"), F.greatest("own", "other"))
     keyed = placed.select(node.alias("node"), "own", (F.col("own") != F.col("other")).alias("cross"), "cid", "codes")
     limits = thresholds(min_cosine)
 
@@ -160,12 +160,15 @@ def candidate_pairs(known: DataFrame, min_cosine: float) -> DataFrame:
             if len(f) < 2:
                 return
             node = f["node"].to_numpy()
-            codes = np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), PROJECTIONS)
-            ids, own, cross = f["cid"].to_numpy(), f["own"].to_numpy(), f["cross"].to_numpy()
+            codes = np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), PROJECTIONS).copy()
+            ids, own, cross = f["cid"].to_numpy(copy=True), f["own"].to_numpy(copy=True), f["cross"].to_numpy()
             edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
             found = []
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a > 1:
+                    if cross[a]:
+                        order = a + np.argsort(own[a:b], kind="stable")
+                        codes[a:b], ids[a:b], own[a:b] = codes[order], ids[order], own[order]
                     i, j = count_collisions(codes[a:b], own[a:b] if cross[a] else None, *limits)
                     if len(i):
                         found.append((ids[a:b][i], ids[a:b][j]))
@@ -198,7 +201,8 @@ def nearest_vectors(df: DataFrame, key: str, embedding: str, dim: int, k: int =
     src = df.select(F.col(key).alias("id"), F.col(embedding).alias("embedding")).where(F.col("id").isNotNull() & usable("embedding", dim))
     src = src.withColumn("cid", F.xxhash64("embedding"))
     members = cut(src.select("id", "cid").distinct())
-    known = cut(sketches(src.select("cid", "embedding"), dim).dropDuplicates(["cid"]))
+    tables = n_tables(key_bits(members.select("cid").distinct().count()), min_cosine)
+    known = cut(sketches(src.select("cid", "embedding"), dim, tables).dropDuplicates(["cid"]))
     pairs = cut(candidate_pairs(known, min_cosine))
     wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
