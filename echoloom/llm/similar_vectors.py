@@ -191,19 +191,8 @@ def candidate_pairs(known: DataFrame, min_cosine: float) -> DataFrame:
     return keyed.repartition("node").sortWithinPartitions("node").mapInPandas(walk, "a bigint, b bigint").distinct()
 
 
-def nearest_vectors(df: DataFrame, key: str, embedding: str, dim: int, k: int = 10, min_cosine: float = 0.93) -> DataFrame:
-    """``id, neighbour, cosine, rank``: the up to ``k`` most similar other ids at or above ``min_cosine``.
-
-    Null, empty, wrongly sized, non-finite and zero vectors have no neighbours; repeated rows of one key with
-    the same vector count once; a key with several vectors takes part with each, its best cosine counts.
-    Ties go to the smaller id. Recall against brute force is measured by the tests (0.97 and more).
-    """
-    src = df.select(F.col(key).alias("id"), F.col(embedding).alias("embedding")).where(F.col("id").isNotNull() & usable("embedding", dim))
-    src = src.withColumn("cid", F.xxhash64("embedding"))
-    members = cut(src.select("id", "cid").distinct())
-    tables = n_tables(key_bits(members.select("cid").distinct().count()), min_cosine)
-    known = cut(sketches(src.select("cid", "embedding"), dim, tables).dropDuplicates(["cid"]))
-    pairs = cut(candidate_pairs(known, min_cosine))
+def exact_cosines(src: DataFrame, pairs: DataFrame, min_cosine: float) -> DataFrame:
+    """``a, b, cosine`` of the pairs of ``cid`` at or above ``min_cosine``, from the vectors of ``src(cid, embedding)``."""
     wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
@@ -224,7 +213,23 @@ def nearest_vectors(df: DataFrame, key: str, embedding: str, dim: int, k: int =
                 yield pd.DataFrame({"a": f["a"].to_numpy()[ok], "b": f["b"].to_numpy()[ok], "cosine": np.minimum(s[ok], 1.0)})
 
     both = pairs.join(vectors.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b")
-    close = cut(both.mapInPandas(verify, "a bigint, b bigint, cosine double"))
+    return both.mapInPandas(verify, "a bigint, b bigint, cosine double")
+
+
+def nearest_vectors(df: DataFrame, key: str, embedding: str, dim: int, k: int = 10, min_cosine: float = 0.93) -> DataFrame:
+    """``id, neighbour, cosine, rank``: the up to ``k`` most similar other ids at or above ``min_cosine``.
+
+    Null, empty, wrongly sized, non-finite and zero vectors have no neighbours; repeated rows of one key with
+    the same vector count once; a key with several vectors takes part with each, its best cosine counts.
+    Ties go to the smaller id. Recall against brute force is measured by the tests (0.97 and more).
+    """
+    src = df.select(F.col(key).alias("id"), F.col(embedding).alias("embedding")).where(F.col("id").isNotNull() & usable("embedding", dim))
+    src = src.withColumn("cid", F.xxhash64("embedding"))
+    members = cut(src.select("id", "cid").distinct())
+    tables = n_tables(key_bits(members.select("cid").distinct().count()), min_cosine)
+    known = cut(sketches(src.select("cid", "embedding"), dim, tables).dropDuplicates(["cid"]))
+    pairs = cut(candidate_pairs(known, min_cosine))
+    close = cut(exact_cosines(src, pairs, min_cosine))
     # of a class of equal vectors, k + 1 members are enough for anyone's k nearest under the tie rule
     place = Window.partitionBy("cid").orderBy("id")
     shared = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid")
