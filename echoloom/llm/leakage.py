@@ -13,12 +13,13 @@ cue numbers, timing lines and markup are dropped, and characters that recognitio
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Container, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ LEAST_SCORE, LEAST_WORDS, BLOCK = 0.2, 0.5, 16
 #: Items up to which the index is broadcast; beyond it documents are queried against one block of items after the other.
 INDEX_ITEMS = 20_000
 #: What a document word between two matched words (cues put in between) and a missing item word cost, against
-#: 1 for a match; the share of its matches a passage must keep after these costs; words looked at around a hit.
-SKIP, MISS, SOLID, AROUND = 0.3, 0.1, 0.4, 60
+#: 1 for a match; the share of its matches a passage must keep after these costs.
+SKIP, MISS, SOLID = 0.3, 0.1, 0.4
 #: Cues put in between: what a run of them costs at most, whatever its length, between two pieces of the item; words and
 #: rare words each piece must match, and the share of its matches it must keep by itself; gap inside a piece.
 JUMP, PIECE, PIECE_RARE, PIECE_SOLID, PIECE_GAP = 3.0, 8, 2, 0.75, 10
@@ -130,6 +131,7 @@ class ItemIndex:
             for t in set(w) & df.keys():
                 k, f = self.term[t], w.count(t)
                 self.impact[k, j] = idf[k] * f * (K1 + 1) / (f + norm[j])
+        self.items = [Item(w, self.term) for w in self.words]
         self.need = LEAST_SCORE * self.impact.sum(0)
         pad = np.zeros((len(df), blocks * BLOCK - n), np.float32)
         self.block_max = np.concatenate([self.impact, pad], 1).reshape(len(df), blocks, BLOCK).max(2) if n else pad
@@ -165,12 +167,58 @@ def close(a: str, b: str) -> bool:
     return row[m] <= most
 
 
-def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], widest: float) -> tuple[int, dict]:
-    """Most words matched by one chain with gaps of at most ``widest`` words, and the pieces that are strong by themselves:
-    ``(score, path)`` by their start, the path being ``(earlier path, text position, item position)``."""
-    # score, text position, item position, words matched, rare words matched, start, path
-    chains: list[tuple[float, int, int, int, int, tuple[int, int], tuple]] = []
+def _strong(score: float, matched: int, known: int) -> bool:
+    return matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched
+
+
+def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool]) -> tuple[int, dict]:
+    """Most words matched by one chain, and the pieces that are strong by themselves: ``(score, path)`` by their start,
+    the path being ``(earlier path, text position, item position)``.
+
+    What a chain is worth to a later hit differs between chains by its score plus the costs saved by its end, and it can
+    only be followed by a later word of the item. So only chains are kept that are worth more than all that end earlier
+    in the item: ``ends`` and ``worth`` rise together, and the best predecessor is the last one before the hit's word.
+    """
+    ends: list[int] = []
+    worth: list[float] = []
+    # score, text position, words matched, rare words matched, start, path
+    kept: list[tuple[float, int, int, int, tuple[int, int], tuple]] = []
     best, pieces = 0, {}
+    for t, tries in hits:
+        new = []
+        for start, p in tries:
+            k = bisect_left(ends, p) - 1
+            while k >= 0 and kept[k][1] >= start:
+                k -= 1
+            score = 1 + worth[k] - SKIP * (start - 1) - MISS * (p - 1) if k >= 0 else 0.0
+            if score > 1.0:
+                _, _, matched, known, begin, path = kept[k]
+                matched, known, path = matched + 1, known + rare[p], (path, t, p)
+            else:
+                score, matched, known, begin, path = 1.0, 1, int(rare[p]), (start, p), (None, t, p)
+            new.append((p, score, matched, known, begin, path))
+            if matched > best and score >= SOLID * matched:
+                best = matched
+            if _strong(score, matched, known) and score > pieces.get(begin, (0.0,))[0]:
+                pieces[begin] = score, path
+        for p, score, *rest in new:
+            value = score + SKIP * t + MISS * p
+            k = bisect_right(ends, p)
+            if k and worth[k - 1] >= value:
+                continue
+            if k and ends[k - 1] == p:
+                k -= 1
+            last = k
+            while last < len(ends) and worth[last] <= value:
+                last += 1
+            ends[k:last], worth[k:last], kept[k:last] = [p], [value], [(score, t, *rest)]
+    return best, pieces
+
+
+def _narrow_pieces(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], widest: int = PIECE_GAP) -> dict:
+    """The strong pieces, as ``_chain`` gives them, whose gaps have at most ``widest`` words."""
+    chains: list[tuple[float, int, int, int, int, tuple[int, int], tuple]] = []
+    pieces: dict = {}
     for t, tries in hits:
         chains = [c for c in chains if c[0] > SKIP * (t - c[1] - 1) and t - c[1] - 2 <= widest]
         new = []
@@ -182,9 +230,7 @@ def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], wide
                     if s > score:
                         score, matched, known, begin, earlier = s, m + 1, r + rare[p], from_, path
             new.append((score, t, p, matched, known, begin, (earlier, t, p)))
-            if matched > best and score >= SOLID * matched:
-                best = matched
-            if matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched and score > pieces.get(begin, (0.0,))[0]:
+            if _strong(score, matched, known) and score > pieces.get(begin, (0.0,))[0]:
                 pieces[begin] = score, new[-1][-1]
         kept: dict[int, tuple] = {}
         for c in chains + new:
@@ -192,73 +238,104 @@ def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], wide
             if k is None or c[0] - SKIP * (t - c[1]) >= k[0] - SKIP * (t - k[1]):
                 kept[c[2]] = c
         chains = list(kept.values())
-    return best, pieces
-
-
-def passage_share(item: list[str], text: list[str], rare: Container[str]) -> float:
-    """Largest share of the item's words that stands in ``text`` in the item's order, as one passage.
+    return pieces
+
+
+class Item:
+    """An item's words, ready to be aligned with texts; what each text word can stand for is kept from text to text."""
+
+    def __init__(self, item: list[str], rare: Container[str]) -> None:
+        self.n, self.tells = len(item), [w in rare for w in item]
+        self.where: dict[str, list[int]] = defaultdict(list)
+        for p, w in enumerate(item):
+            self.where[w].append(p)
+        self.ends: dict[str, set[str]] = defaultdict(set)
+        for w in self.where:
+            if len(w) > 4:
+                self.ends["<" + w[:2]].add(w)
+                self.ends[">" + w[-2:]].add(w)
+        self.spots = _Spots(self)
+
+    def hits(self, text: list[str]) -> list[tuple[int, list[tuple[int, int]]]]:
+        """``text position, [(where the word begins, item position)]`` of every text word that can stand for an item's."""
+        spots, where, ends, out = self.spots, self.where, self.ends, []
+        own = [spots[w] for w in text]
+        last = None
+        for t, (w, found) in enumerate(zip(text, own)):
+            tries = [(t, p) for p in found]
+            if last is not None and w not in where and last not in where:  # a word that damage has cut in two
+                whole = last + w
+                if whole in where or "<" + whole[:2] in ends or ">" + whole[-2:] in ends:
+                    tries += [(t - 1, p) for p in spots[whole]]
+            if tries:
+                out.append((t, tries))
+            last = w
+        return out
 
-    Words put in between cost, so scattered common words make no passage; damaged words count by ``close``. Between
-    two pieces that are strong by themselves, with words of ``rare`` in both, a gap of any length costs ``JUMP``.
-    Shares below ``LEAST_WORDS`` may come out as 0.
-    """
-    n = len(item)
-    where: dict[str, list[int]] = defaultdict(list)
-    for p, w in enumerate(item):
-        where[w].append(p)
-    ends: dict[str, set[str]] = defaultdict(set)
-    for w in where:
-        if len(w) > 4:
-            ends["<" + w[:2]].add(w)
-            ends[">" + w[-2:]].add(w)
-    known: dict[str, list[int]] = {}
-
-    def spots(w: str) -> list[int]:
-        found = known.get(w)
+    def share(self, text: list[str]) -> float:
+        """Largest share of the item's words that stands in ``text`` in the item's order, as one passage.
+
+        Words put in between cost, so scattered common words make no passage; damaged words count by ``close``. Between
+        two pieces that are strong by themselves, with rare words in both, a gap of any length costs ``JUMP``.
+        Shares below ``LEAST_WORDS`` may come out as 0.
+        """
+        n, tells, hits = self.n, self.tells, self.hits(text)
+        met = {p for _, tries in hits for _, p in tries}
+        if len(met) < LEAST_WORDS * n:  # whatever their order, it is no leak
+            return 0.0
+        best, wide = _chain(hits, tells)
+        if best < n and sum(tells[p] for p in met) >= 2 * PIECE_RARE:  # else there can't be two pieces
+            best = max(best, _joined(wide, _narrow_pieces(hits, tells), tells))
+        return best / n
+
+
+class _Spots(dict):
+    """Item positions each text word can stand for."""
+
+    def __init__(self, item: Item) -> None:
+        super().__init__()
+        self.item = item
+
+    def __missing__(self, w: str) -> list[int]:
+        item = self.item
+        found = item.where.get(w)
         if found is None:
-            like = (ends.get("<" + w[:2], set()) | ends.get(">" + w[-2:], set())) if len(w) > 4 and w not in where else ()
-            found = known[w] = where.get(w) or [p for x in like if close(x, w) for p in where[x]]
+            like = (item.ends.get("<" + w[:2], set()) | item.ends.get(">" + w[-2:], set())) if len(w) > 4 else ()
+            found = [p for x in like if close(x, w) for p in item.where[x]]
+        if len(self) > 20_000:
+            self.clear()
+        self[w] = found
         return found
 
-    hits = []
-    for t, w in enumerate(text):
-        tries = [(t, p) for p in spots(w)]
-        if t and w not in where and text[t - 1] not in where:  # a word that damage has cut in two
-            tries += [(t - 1, p) for p in spots(text[t - 1] + w)]
-        if tries:
-            hits.append((t, tries))
-    tells = [w in rare for w in item]
-    met = {p for _, tries in hits for _, p in tries}
-    if len(met) < LEAST_WORDS * n:  # whatever their order, it is no leak
-        return 0.0
-    best, wide = _chain(hits, tells, math.inf)
-    if best < n and sum(tells[p] for p in met) >= 2 * PIECE_RARE:  # else there can't be two pieces
-        # a piece that only goes on across a wide gap starts anew as well, so that it counts by itself
-        both = []
-        for score, path in [*wide.values(), *_chain(hits, tells, PIECE_GAP)[1].values()]:
-            points = []
-            while path:
-                path, t, p = path
-                points.append((t, p))
-            both.append((points[0], score, points[::-1]))
-        both.sort()
-        strong = lambda x: len(x) >= PIECE and sum(tells[p] for _, p in x) >= PIECE_RARE
-        joined: list[tuple[float, int]] = []
-        for k, ((t1, p1), score, own) in enumerate(both):
-            top = score, len(own)
-            for ((u1, q1), _, before), (total, m) in zip(both[:k], joined):
-                if u1 >= t1 or before[0][1] >= p1:
-                    continue
-                # words of both pieces count once: the later one loses its first or the earlier one its last
-                late = [(t, p) for t, p in own if t > u1 and p > q1]
-                early = [(t, p) for t, p in before if t < own[0][0] and p < own[0][1]]
-                for kept, lost in ((late, len(own) - len(late)), (early, len(before) - len(early))):
-                    if strong(kept):
-                        top = max(top, (total + score - lost - JUMP, m + len(own) - lost))
-            joined.append(top)
-            if top[0] >= SOLID * top[1]:
-                best = max(best, top[1])
-    return best / n
+
+def _joined(wide: dict, narrow: dict, tells: list[bool]) -> int:
+    """Most words matched by strong pieces one after the other, each further one at the cost of ``JUMP``."""
+    # a piece that only goes on across a wide gap starts anew as well, so that it counts by itself
+    both = []
+    for score, path in [*wide.values(), *narrow.values()]:
+        points = []
+        while path:
+            path, t, p = path
+            points.append((t, p))
+        both.append((points[0], score, points[::-1]))
+    both.sort()
+    strong = lambda x: len(x) >= PIECE and sum(tells[p] for _, p in x) >= PIECE_RARE
+    best, joined = 0, []
+    for k, ((t1, p1), score, own) in enumerate(both):
+        top = score, len(own)
+        for ((u1, q1), _, before), (total, m) in zip(both[:k], joined):
+            if u1 >= t1 or before[0][1] >= p1:
+                continue
+            # words of both pieces count once: the later one loses its first or the earlier one its last
+            late = [(t, p) for t, p in own if t > u1 and p > q1]
+            early = [(t, p) for t, p in before if t < own[0][0] and p < own[0][1]]
+            for kept, lost in ((late, len(own) - len(late)), (early, len(before) - len(early))):
+                if strong(kept):
+                    top = max(top, (total + score - lost - JUMP, m + len(own) - lost))
+        joined.append(top)
+        if top[0] >= SOLID * top[1]:
+            best = max(best, top[1])
+    return best
 
 
 def scan(texts: list[str], index: ItemIndex) -> list[tuple[int, int, float]]:
@@ -269,7 +346,7 @@ def scan(texts: list[str], index: ItemIndex) -> list[tuple[int, int, float]]:
     out = []
     for no, text in enumerate(texts):
         own = words(text)
-        ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+        ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             continue
@@ -279,24 +356,13 @@ def scan(texts: list[str], index: ItemIndex) -> list[tuple[int, int, float]]:
         total = np.cumsum(gain)
         begin = np.arange(0, max(1, len(own) - STEP), STEP)
         end = np.minimum(begin + PASSAGE, len(own))
-        found: dict[int, list[int]] = defaultdict(list)
+        found: set[int] = set()
         for k in np.flatnonzero(total[end] - total[begin] >= index.least).tolist():
             terms = np.unique(ids[begin[k] : end[k]])
             terms = terms[terms >= 0]
-            for j in index.search(terms).tolist():
-                found[j].append(k)
-        for j, ks in found.items():
-            reach = len(index.words[j]) + AROUND
-            share, k = 0.0, 0
-            while k < len(ks) and share < 1.0:
-                a = max(0, int(begin[ks[k]]) - reach)
-                last = k
-                while last + 1 < len(ks) and begin[ks[last + 1]] - begin[ks[last]] <= reach:
-                    last += 1
-                share = max(share, passage_share(index.words[j], own[a : int(end[ks[last]]) + reach], index.term))
-                k = last + 1
-            if share < 1.0:  # the rest may stand anywhere, with cues put in between
-                share = max(share, passage_share(index.words[j], own, index.term))
+            found.update(index.search(terms).tolist())
+        for j in sorted(found):
+            share = index.items[j].share(own)
             if share >= LEAST_WORDS:
                 out.append((no, j, share))
     return out
