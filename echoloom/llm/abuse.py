@@ -265,7 +265,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]
     votes = labels.where("doc_id is not null and verdict is not null").select("doc_id", "reviewer", "verdict").distinct()
     per = votes.groupBy("doc_id").agg(*[F.avg((F.col("verdict") == c).cast("double")).alias(c) for c in CATEGORIES])
     per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.where("text is not null").select("doc_id", "text").distinct().join(per, "doc_id").orderBy("doc_id", "text").toPandas()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(per), "doc_id").distinct().orderBy("doc_id", "text").toPandas()
     return rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(np.float64)
 
 
