@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.config import AnalysisParams, min_cluster_size
+from echoloom.functions.text import trimmed
 from echoloom.functions.vectors import cosine, norm
 from echoloom.operators.graph import connected_components
 from echoloom.operators.intervals import merged
@@ -38,12 +39,12 @@ def similarities(windows: DataFrame, key: list[str], cents: DataFrame | None = N
     return windows.join(cents.select(*key, "centroid"), key, "left").withColumn("sim", F.coalesce(cosine(F.col("embedding"), F.col("centroid")), F.lit(0.0))).drop("centroid")
 
 
-def registry(windows: DataFrame, key: list[str] = ["job_id", "cluster_id"]) -> DataFrame:
+def registry(windows: DataFrame, key: tuple[str, ...] = ("job_id", "cluster_id")) -> DataFrame:
     """Per cluster: members, most central window (ties to the lowest index), its pages, and merged instances.
 
     Clusters whose centroid is the zero vector are dropped. Needs ``page, window_index, doc_char_start, doc_char_end``.
     """
-    real = windows.where("cluster_id is not null and cluster_id <> -1")
+    key, real = list(key), windows.where("cluster_id is not null and cluster_id <> -1")
     cents = centroids(real, key).where(norm(F.col("centroid")) > 0)
     sims = similarities(real, key, cents).join(cents.select(*key), key)
     base = sims.groupBy(*key).agg(F.count("*").alias("member_count"), F.max_by("window_index", F.struct("sim", -F.col("window_index"))).alias("central_window"), F.array_sort(F.collect_set("page")).alias("pages"))
@@ -207,7 +208,8 @@ def stabilised(x: np.ndarray, label: np.ndarray, least: int = 3) -> np.ndarray:
 def cluster_jobs(windows: DataFrame, params: AnalysisParams) -> DataFrame:
     """``job_id, window_index, hdbscan_label, cluster_id`` of every window; windows without a vector are noise.
 
-    With density clustering on, its labels are stabilised by k-means; otherwise leader clustering labels both.
+    Density or leader clusters are stabilised by k-means into ``cluster_id``; ``hdbscan_label`` holds the density
+    clusters and is -1 throughout where leader clustering runs. A job without any cluster is noise throughout.
     """
     smallest = min_cluster_size(params.min_repetitions, params.window_size, params.stride)
 
@@ -222,7 +224,7 @@ def cluster_jobs(windows: DataFrame, params: AnalysisParams) -> DataFrame:
                 first[ok] = hdbscan_labels(x, smallest, params.min_samples)
                 second[ok] = stabilised(x, first[ok])
             else:
-                first[ok] = second[ok] = leader_labels(x, smallest)
+                second[ok] = stabilised(x, leader_labels(x, smallest))
         return pd.DataFrame({"job_id": f["job_id"], "window_index": f["window_index"], "hdbscan_label": first, "cluster_id": second})
 
     kind = windows.schema["job_id"].dataType.simpleString()
@@ -233,16 +235,17 @@ def subphrase_links(windows: DataFrame, floor: float = SUBPHRASE_FLOOR) -> DataF
     """Renumbered ``job_id, window_index, cluster_id`` after clusters that are phrases of others are joined to them.
 
     A cluster goes into one with a similar centroid and longer text when at least half of its windows' texts stand,
-    whatever their case, in a text of the other on the same page. Ids then follow the first window's order.
+    whatever their case and surrounding white space, in a text of the other on the same page; blank texts stand in
+    none. Of two equally long clusters the earlier one takes in the later. Ids then follow the first window's order.
     """
     cents = centroids(windows, ["job_id", "cluster_id"])
     pairs = centroid_pairs(cents, "job_id", floor)
-    length = windows.where("cluster_id <> -1").groupBy("job_id", "cluster_id").agg(F.avg(F.char_length("text")).alias("len"))
+    length = windows.where("cluster_id <> -1").groupBy("job_id", "cluster_id").agg(F.avg(F.octet_length("text")).alias("len"))
     both = pairs.join(length.select("job_id", F.col("cluster_id").alias("a"), F.col("len").alias("la")), ["job_id", "a"]).join(length.select("job_id", F.col("cluster_id").alias("b"), F.col("len").alias("lb")), ["job_id", "b"])
-    sides = both.select("job_id", F.when(F.col("la") <= F.col("lb"), F.col("a")).otherwise(F.col("b")).alias("child"), F.when(F.col("la") <= F.col("lb"), F.col("b")).otherwise(F.col("a")).alias("parent"))
+    sides = both.select("job_id", F.when(F.col("la") < F.col("lb"), F.col("a")).otherwise(F.col("b")).alias("child"), F.when(F.col("la") < F.col("lb"), F.col("b")).otherwise(F.col("a")).alias("parent"))
     low = windows.select("job_id", "window_index", "cluster_id", "page", F.lower("text").alias("t"))
-    kid = sides.join(low.withColumnRenamed("cluster_id", "child"), ["job_id", "child"])
-    inside = kid.join(low.select("job_id", F.col("cluster_id").alias("parent"), "page", F.col("t").alias("pt")), ["job_id", "parent", "page"], "left").groupBy("job_id", "child", "parent", "window_index").agg(F.max(F.coalesce(F.col("pt").contains(F.col("t")), F.lit(False))).alias("hit"))
+    kid = sides.join(low.withColumnRenamed("cluster_id", "child"), ["job_id", "child"]).withColumn("t", trimmed(F.col("t")))
+    inside = kid.join(low.select("job_id", F.col("cluster_id").alias("parent"), "page", F.col("t").alias("pt")), ["job_id", "parent", "page"], "left").groupBy("job_id", "child", "parent", "window_index").agg(F.max(F.coalesce((F.col("t") != "") & F.col("pt").contains(F.col("t")), F.lit(False))).alias("hit"))
     sub = inside.groupBy("job_id", "child", "parent").agg(F.avg(F.col("hit").cast("int")).alias("share")).where("share >= 0.5")
     comp = connected_components(sub.select(F.struct("job_id", F.col("child").alias("c")).alias("a"), F.struct("job_id", F.col("parent").alias("c")).alias("b")))
     moved = windows.join(comp.select(F.col("node.job_id").alias("job_id"), F.col("node.c").alias("cluster_id"), F.col("component.c").alias("root")), ["job_id", "cluster_id"], "left")

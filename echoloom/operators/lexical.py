@@ -60,23 +60,37 @@ def candidates(docs: DataFrame, cfg: LexicalConfig = LexicalConfig()) -> DataFra
 
 
 def shingle_index(units: DataFrame, max_df_fraction: float) -> DataFrame:
-    """``doc_key, shingle, id`` of the shingles that are neither too common in their text nor alone."""
+    """``doc_key, shingle, id, df`` of the shingles that are neither too common in their text nor alone; ``df`` units have it."""
     n = units.groupBy("doc_key").agg(F.count("*").alias("n"))
     each = units.select("doc_key", "id", F.explode("shingles").alias("shingle"))
     df = each.groupBy("doc_key", "shingle").agg(F.count("*").alias("df")).where("df > 1")
-    keep = df.join(n, "doc_key").where(F.col("df") <= F.greatest(F.lit(2), F.ceil(F.col("n") * max_df_fraction))).select("doc_key", "shingle")
+    keep = df.join(n, "doc_key").where(F.col("df") <= F.greatest(F.lit(2), F.ceil(F.col("n") * max_df_fraction))).select("doc_key", "shingle", "df")
     return each.join(keep, ["doc_key", "shingle"])
 
 
+def exact_classes(units: DataFrame) -> DataFrame:
+    """``doc_key, id, first, n``: sentences and paragraphs that stand more than once, with the first of their class and its
+    size; common shingles don't matter here. A class of any size costs its rows, not its pairs."""
+    u = units.where((F.col("kind") != PHRASE) & (F.size("tokens") > 0)).select("doc_key", "id", F.xxhash64(F.array_join("tokens", " ")).alias("k"))
+    own = u.groupBy("doc_key", "k").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return u.join(own, ["doc_key", "k"]).select("doc_key", "id", "first", "n")
+
+
 def exact_pairs(units: DataFrame) -> DataFrame:
-    """``doc_key, a, b`` of sentences and paragraphs with equal tokens; common shingles don't matter here."""
+    """``doc_key, a, b`` of sentences and paragraphs with equal tokens, for chains along diagonals, which need every pair."""
     u = units.where(F.col("kind") != PHRASE).select("doc_key", "id", F.array_join("tokens", " ").alias("k"))
     return u.withColumnRenamed("id", "a").join(u.withColumnRenamed("id", "b"), ["doc_key", "k"]).where("a < b").select("doc_key", "a", "b")
 
 
-def near_pairs(index: DataFrame, fanout: int) -> DataFrame:
-    """``doc_key, a, b, hits``: each unit's later neighbours with the most shared shingles, at most ``fanout``."""
-    hits = index.withColumnRenamed("id", "a").join(index.withColumnRenamed("id", "b"), ["doc_key", "shingle"]).where("a < b").groupBy("doc_key", "a", "b").agg(F.count("*").alias("hits"))
+def near_pairs(index: DataFrame, fanout: int, share: int = 256) -> DataFrame:
+    """``doc_key, a, b, hits``: each unit's later neighbours with the most shared shingles, at most ``fanout``.
+
+    A shingle of more than ``share`` units is met in several parts, so that no task holds a common shingle's pairs.
+    """
+    parts = F.ceil(F.col("df") / share).cast("int")
+    left = index.select("doc_key", "shingle", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"))
+    right = index.select("doc_key", "shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"))
+    hits = left.join(right, ["doc_key", "shingle", "part"]).where("a < b").groupBy("doc_key", "a", "b").agg(F.count("*").alias("hits"))
     w = Window.partitionBy("doc_key", "a").orderBy(F.desc("hits"), "b")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fanout).drop("r")
 

@@ -19,16 +19,24 @@ TERMINATOR = re.compile(r"[.!?](?=\s|$)")
 
 
 def span_locations(spans: DataFrame, acts: DataFrame, paragraphs: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``act, paragraph_index, segment_id``: the paragraph that holds the span's start, else its act's first
-    paragraph, else the chapter's first act. ``spans`` need ``start``; ``acts`` ``act, start, end``."""
-    a = acts.select(*key, F.col("act"), F.col("start").alias("act_start"), F.col("end").alias("act_end"))
-    p = paragraphs.select(*key, F.col("act").alias("p_act"), F.col("paragraph_index").alias("p_no"), F.col("segment_id").alias("p_id"), F.col("doc_char_start").alias("p_start"), F.col("doc_char_end").alias("p_end"))
-    in_act = containing(spans, a, key, "start", "act_start", "act_end").drop("act_start", "act_end")
-    in_par = containing(in_act, p, key, "start", "p_start", "p_end").drop("p_start", "p_end")
-    first = acts.groupBy(*key).agg(F.min("act").alias("first_act"))
-    done = in_par.join(first, key, "left").withColumn("act", F.coalesce("p_act", "act", "first_act"))
-    no = F.coalesce("p_no", F.lit(1))
-    return done.withColumn("paragraph_index", no).withColumn("segment_id", F.coalesce("p_id", T.segment_id(F.col(key[-1]), F.col("act"), no))).drop("p_act", "p_no", "p_id", "first_act")
+    """Adds ``location``: chapter, act, paragraph, segment id, sentence, offsets in the act and in the document.
+
+    The paragraph is the one that holds the span's start, else its act's first (sentence 1); a span in no act is given to
+    the first act. ``spans`` need ``start, end``; ``acts`` ``chapter, act, start, end``; ``paragraphs`` as ``segment.assembled``
+    gives them. Without any act all is 1 and offsets count from 0.
+    """
+    a = acts.select(*key, F.col("act").alias("in_act"), F.col("start").alias("act_start"), F.col("end").alias("act_end"))
+    p = paragraphs.select(*key, F.col("paragraph_index").alias("p_no"), F.col("segment_id").alias("p_id"), F.col("doc_char_start").alias("p_start"), F.col("doc_char_end").alias("p_end"), F.col("text").alias("p_text"))
+    met = containing(containing(spans, a, key, "start", "act_start", "act_end"), p, key, "start", "p_start", "p_end")
+    met = met.join(acts.groupBy(*key).agg(F.min_by(F.struct("chapter", "act", "start"), "start").alias("lead")), key, "left")
+    known = F.col("in_act").isNotNull() & F.col("p_no").isNotNull()
+    act, base = F.coalesce("in_act", "lead.act", F.lit(1)), F.coalesce("act_start", "lead.start", F.lit(0))
+    chapter, no = F.coalesce("lead.chapter", F.lit(1)), F.when(known, F.col("p_no")).otherwise(1)
+    location = F.struct(
+        chapter.alias("chapter"), act.alias("act"), no.alias("paragraph_index"), F.when(known, F.col("p_id")).otherwise(T.segment_id(chapter, act, F.lit(1))).alias("segment_id"),
+        F.when(known, sentence_index("p_text", F.col("start") - F.col("p_start"))).otherwise(1).alias("sentence_index"),
+        F.greatest(F.col("start") - base, F.lit(0)).alias("scope_char_start"), F.greatest(F.col("end") - base, F.lit(0)).alias("scope_char_end"), F.col("start").alias("doc_char_start"), F.col("end").alias("doc_char_end"))
+    return met.withColumn("location", location).select(*spans.columns, "location")
 
 
 @F.pandas_udf(IntegerType())
@@ -86,6 +94,24 @@ def clip_to_act(spans: DataFrame, acts: DataFrame, key: list[str]) -> DataFrame:
     return met.withColumn("end", F.coalesce(F.least("end", "act_end"), F.col("end"))).drop("act_start", "act_end")
 
 
+def widened(spans: DataFrame, docs: DataFrame, key: list[str], acts: DataFrame | None = None, expand: bool = True) -> DataFrame:
+    """Spans cut to the act that holds their start and widened to sentences of that act alone, with their ``text``; empty ones
+    are dropped. ``docs(*key, text)``. A span in no act is widened over the whole text."""
+    if acts is not None:
+        a = acts.select(*key, F.col("start").alias("act_start"), F.col("end").alias("act_end"))
+        met = containing(spans, a, key, "start", "act_start", "act_end")
+    else:
+        met = spans.withColumn("act_start", F.lit(None).cast("int")).withColumn("act_end", F.lit(None).cast("int"))
+    full = met.join(docs.select(*key, F.col("text").alias("doc")), key).withColumn("end", F.coalesce(F.least("end", "act_end"), F.col("end")))
+    if expand:
+        base = F.coalesce("act_start", F.lit(0))
+        body = F.when(F.col("act_start").isNull(), F.col("doc")).otherwise(F.substring("doc", F.col("act_start") + 1, F.col("act_end") - F.col("act_start")))
+        full = full.withColumn("x", expand_to_sentences(body, F.col("start") - base, F.col("end") - base))
+        full = full.withColumn("start", (base + F.col("x.start")).cast("int")).withColumn("end", (base + F.col("x.end")).cast("int")).drop("x")
+    text = F.substring("doc", F.col("start") + 1, F.col("end") - F.col("start"))
+    return full.withColumn("text", text).drop("doc", "act_start", "act_end").where("end > start")
+
+
 def verdicts(spans: DataFrame, key: list[str], order: list[str], act: str = "act", similarity: str = "similarity", text: str = "text") -> DataFrame:
     """``*key, instance_count, cross_act, blast_words, needs_bridge, suggested_op`` of each cluster.
 
@@ -128,39 +154,53 @@ def best_similarity(spans: DataFrame, windows: DataFrame, key: list[str]) -> Dat
 def merge_passes(spans: DataFrame, doc: str) -> DataFrame:
     """Clusters of several passes as one list per document: ``doc, cluster_id, n_spans, n_passes, representative, spans``.
 
-    ``spans(doc, pass_no, cluster_id, start, end, text)``. In pass order, a cluster goes into the first earlier one
-    of which any span overlaps one of its own by half of the shorter; spans that one already covers by half are left
-    out, the longer text represents both. The fold depends on the order, so it runs per document.
+    ``spans(doc, pass_no, cluster_id, start, end, text)`` and, where known, ``similarity, members``, which the result's
+    ``spans`` keep. In pass order, a cluster goes into the first earlier one of which any span overlaps one of its own by
+    half of the shorter; spans that one already covers by half are left out, the longer text represents both. The fold
+    depends on the order, so it runs per document; only clusters that share a part of the text are compared.
     """
 
     def half(a, b) -> bool:
         common = min(a[1], b[1]) - max(a[0], b[0])
         return common > 0 and common * 100 // max(min(a[1] - a[0], b[1] - b[0]), 1) >= 50
 
+    cell = 1024
+    cells = lambda s: range(s[0] // cell, max(s[1] - 1, s[0]) // cell + 1)
+
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["pass_no", "cluster_id", "start", "end"])
+        alone = f["pass_no"].nunique() == 1
         out: list[dict] = []
+        near: dict[int, list[tuple[int, tuple]]] = {}  # spans of the list by the stretch of text they touch
         for (p, _), g in f.groupby(["pass_no", "cluster_id"], sort=True):
-            own = list(zip(g["start"].tolist(), g["end"].tolist(), g["text"].tolist()))
-            text = own[0][2] or ""
-            target = next((c for c in out if any(half(a, b) for a in c["spans"] for b in own)), None)
-            if target is None or f["pass_no"].nunique() == 1:
-                out.append({"spans": own, "text": text, "passes": {p}})
-                continue
-            target["spans"] += [b for b in own if not any(half(a, b) for a in target["spans"])]
-            target["passes"].add(p)
-            if len(text.encode()) > len(target["text"].encode()):
-                target["text"] = text
+            own = [tuple(r) for r in g[["start", "end", "text", "similarity", "members"]].itertuples(index=False)]
+            met = {} if alone else {id(b): {k for c in cells(b) for k, a in near.get(c, ()) if half(a, b)} for b in own}
+            target = min(set().union(*met.values()), default=None) if met else None
+            if target is None:
+                target, new = len(out), own
+                out.append({"spans": [], "text": own[0][2] or "", "passes": set()})
+            else:
+                new = [b for b in own if target not in met[id(b)]]
+                text = own[0][2] or ""
+                if len(text.encode()) > len(out[target]["text"].encode()):
+                    out[target]["text"] = text
+            out[target]["spans"] += new
+            out[target]["passes"].add(p)
+            for b in new:
+                for c in cells(b):
+                    near.setdefault(c, []).append((target, b))
         for c in out:
             c["spans"].sort(key=lambda s: (s[0], s[1]))
         out.sort(key=lambda c: c["spans"][0][0])
-        doc_key = f[doc].iloc[0]
+        doc_key, names = f[doc].iloc[0], ("start", "end", "text", "similarity", "members")
         return pd.DataFrame(
-            [(doc_key, i, len(c["spans"]), len(c["passes"]), c["text"], [{"start": s, "end": e} for s, e, _ in c["spans"]]) for i, c in enumerate(out)],
+            [(doc_key, i, len(c["spans"]), len(c["passes"]), c["text"], [dict(zip(names, s)) for s in c["spans"]]) for i, c in enumerate(out)],
             columns=[doc, "cluster_id", "n_spans", "n_passes", "representative", "spans"])
 
     kind = spans.schema[doc].dataType.simpleString()
-    return spans.select(doc, "pass_no", "cluster_id", "start", "end", "text").groupBy(doc).applyInPandas(fold, f"{doc} {kind}, cluster_id int, n_spans int, n_passes int, representative string, spans array<struct<start:int,end:int>>")
+    known = lambda c, t: F.col(c).cast(t).alias(c) if c in spans.columns else F.lit(None).cast(t).alias(c)
+    rows = spans.select(doc, "pass_no", "cluster_id", "start", "end", "text", known("similarity", "double"), known("members", "double"))
+    return rows.groupBy(doc).applyInPandas(fold, f"{doc} {kind}, cluster_id int, n_spans int, n_passes int, representative string, spans array<struct<start:int,end:int,text:string,similarity:double,members:double>>")
 
 
 def canonical_first(spans: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -133,3 +133,31 @@ def paragraph_index(acts: DataFrame, chapter: list[str]) -> DataFrame:
     lines = line_index(acts.select(key.alias("doc_key"), "text"))
     k = F.col("doc_key")
     return lines.select(*[k[c].alias(c) for c in chapter], k["act"].alias("act"), F.col("piece").alias("paragraph_index"), T.segment_id(k[chapter[-1]], k["act"], F.col("piece")).alias("segment_id"), (k["base"] + F.col("start")).alias("doc_char_start"), (k["base"] + F.col("end")).alias("doc_char_end"), "text")
+
+
+def assembled(acts: DataFrame, chapter: list[str], blank: str = "drop") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A chapter from its act drafts: ``docs(doc_key, text)``, and its manifest as ``acts(doc_key, chapter, act, start, end)``
+    and ``paragraphs(doc_key, act, paragraph_index, segment_id, doc_char_start, doc_char_end, text)``.
+
+    ``acts(*chapter, act, text)``, the last of ``chapter`` being its number; ``doc_key`` is the struct of ``chapter``. Bodies are
+    trimmed and joined by a blank line. A blank act is dropped, or raises with ``blank="error"``.
+    """
+    if blank == "error":
+        acts = acts.withColumn("text", F.when(F.coalesce(T.trimmed(F.col("text")), F.lit("")) == "", F.raise_error(F.lit("act draft text is empty")).cast("string")).otherwise(F.col("text")))
+    placed = chapter_offsets(acts, chapter)
+    key, number = F.struct(*chapter).alias("doc_key"), F.col(chapter[-1]).alias("chapter")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n\n")
+    docs = placed.groupBy(*chapter).agg(body.alias("text")).select(key, "text")
+    paragraphs = paragraph_index(placed, chapter).select(key, "act", "paragraph_index", "segment_id", "doc_char_start", "doc_char_end", "text")
+    return docs, placed.select(key, number, "act", "start", "end"), paragraphs
+
+
+def text_manifest(docs: DataFrame, chapter: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``acts`` and ``paragraphs`` as ``assembled`` gives them, of texts that come without acts: blank lines part acts, line
+    breaks paragraphs."""
+    blocks = line_index(docs, "\n\n")
+    acts = blocks.select("doc_key", F.lit(chapter).alias("chapter"), F.col("piece").alias("act"), "start", "end")
+    inner = line_index(blocks.select(F.struct("doc_key", "piece", F.col("start").alias("base")).alias("doc_key"), "text"))
+    k = F.col("doc_key")
+    lines = inner.select(k["doc_key"].alias("doc_key"), k["piece"].alias("act"), F.col("piece").alias("paragraph_index"), (k["base"] + F.col("start")).alias("doc_char_start"), (k["base"] + F.col("end")).alias("doc_char_end"), "text")
+    return acts, lines.withColumn("segment_id", T.segment_id(F.lit(chapter), F.col("act"), F.col("paragraph_index")))

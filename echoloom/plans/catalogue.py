@@ -73,9 +73,21 @@ def chapter_break_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_key", F.col("segment").cast("bigint").alias("segment"), F.col("doc_char_start").cast("bigint").alias("doc_char_start"), T.word_count(F.col("text")).cast("bigint").alias("n_words"))
 
 
-@query()
+SQL_RUN = SQL_WORD.replace(r"\x{1C}-\x{1F}", "")
+SQL_SPACE = f"[{SQL_RUN[2:-2]}]*"
+
+
+@query(rf"""WITH {DRAFTS}, l AS (SELECT draft_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos, len(string_split(text, chr(10))) AS lines FROM d),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{BREAK}') THEN 1 ELSE 0 END) OVER (PARTITION BY draft_id ORDER BY pos) AS seg, coalesce(sum(length(line) + 1) OVER (PARTITION BY draft_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+s AS (SELECT draft_id, seg, CAST(min(off) AS BIGINT) AS st, string_agg(line || CASE WHEN pos < lines - 1 THEN chr(10) ELSE '' END, '' ORDER BY pos) AS text FROM g GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY seg) AS segment, regexp_extract_all(text, '{SQL_RUN}{SQL_SPACE}') AS runs FROM s WHERE regexp_matches(text, '{SQL_RUN}')),
+e AS (SELECT draft_id, segment, st, length(text) AS tl, unnest(range(len(runs))) AS i, unnest(runs) AS r FROM n),
+p AS (SELECT draft_id, segment, st, tl, i // 400 AS p, sum(length(r)) AS len, count(*) AS tok FROM e GROUP BY 1, 2, 3, 4, 5),
+q AS (SELECT *, st + tl - sum(len) OVER (PARTITION BY draft_id, segment) + sum(len) OVER (PARTITION BY draft_id, segment ORDER BY p) AS en FROM p)
+SELECT draft_id AS doc_key, row_number() OVER (PARTITION BY draft_id ORDER BY segment, p) AS page, segment, CAST(CASE WHEN p = 0 THEN st ELSE en - len END AS BIGINT) AS doc_char_start, CAST(en AS BIGINT) AS doc_char_end, tok AS token_count FROM q""")
 def chapter_break_pages(spark: SparkSession, d: str) -> DataFrame:
-    return segment.chapter_break_pages(_docs(spark, d), BREAK, 400).select("doc_key", "page", "segment", "doc_char_start", "doc_char_end", "token_count")
+    p = segment.chapter_break_pages(_docs(spark, d), BREAK, 400)
+    return p.select("doc_key", *[F.col(c).cast("bigint").alias(c) for c in ("page", "segment", "doc_char_start", "doc_char_end", "token_count")])
 
 
 @query(rf"""WITH {PAGES}, n AS (SELECT job_id, page, len(regexp_extract_all(text, '[^ \t\n\f\r]+')) AS n FROM p WHERE text IS NOT NULL),
@@ -181,11 +193,6 @@ def near_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.col("doc_key").alias("story_id"), "a", "b", "hits", F.round(lexical.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 
 
-@query(f"WITH {DRAFTS}, t AS (SELECT story_id, draft_id, array_to_string({SQL_TOKENS}, ' ') AS k FROM d) SELECT x.story_id, x.draft_id AS a, y.draft_id AS b FROM t x JOIN t y ON x.story_id = y.story_id AND x.k = y.k AND x.draft_id < y.draft_id WHERE x.k <> ''")
-def exact_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.exact_pairs(_units(spark, d)).withColumnRenamed("doc_key", "story_id")
-
-
 @query(f"""WITH {SQL_NEAR}, f AS (SELECT story_id, draft_id, tok, count(*) AS c FROM (SELECT story_id, draft_id, unnest(k) AS tok FROM u) GROUP BY 1, 2, 3),
 sides AS (SELECT n.story_id, n.a, n.b, f.tok, f.c AS ca, 0 AS cb FROM near n JOIN f ON f.story_id = n.story_id AND f.draft_id = n.a UNION ALL SELECT n.story_id, n.a, n.b, f.tok, 0, f.c FROM near n JOIN f ON f.story_id = n.story_id AND f.draft_id = n.b),
 each AS (SELECT story_id, a, b, tok, sum(ca) AS ca, sum(cb) AS cb FROM sides GROUP BY 1, 2, 3, 4)
@@ -213,9 +220,19 @@ def _paragraph_units(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("story_id").alias("doc_key"), (F.row_number().over(w) - 1).alias("para"), at.alias("start"), (at + F.char_length("text")).alias("end"), F.lit("paragraph").alias("kind"), T.lexical_tokens(F.col("text")).alias("tokens")).withColumn("id", F.col("para"))
 
 
-@query(rf"""WITH {DRAFTS}, q AS (SELECT story_id, draft_id, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS text, unnest(range(len(regexp_split_to_array(text, '\n{{2,}}')))) AS pos FROM d),
+SQL_UNITS = rf"""q AS (SELECT story_id, draft_id, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS text, unnest(range(len(regexp_split_to_array(text, '\n{{2,}}')))) AS pos FROM d),
 b AS (SELECT story_id, draft_id, pos, regexp_replace(text, '^[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g') AS text FROM q),
-u AS (SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY draft_id, pos) - 1 AS para, {SQL_TOKENS} AS k FROM b WHERE text <> ''),
+u AS (SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY draft_id, pos) - 1 AS para, {SQL_TOKENS} AS k FROM b WHERE text <> '')"""
+
+
+@query(f"WITH {DRAFTS}, {SQL_UNITS}, k AS (SELECT story_id, para, array_to_string(k, ' ') AS k FROM u) SELECT story_id, para, min(para) OVER c AS first, count(*) OVER c AS n FROM k WHERE k <> '' WINDOW c AS (PARTITION BY story_id, k) QUALIFY n > 1")
+def exact_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of a story that stand in it more than once, word for word, with the first of their class."""
+    c = lexical.exact_classes(_paragraph_units(spark, d))
+    return c.select(F.col("doc_key").alias("story_id"), F.col("id").cast("bigint").alias("para"), F.col("first").cast("bigint").alias("first"), "n")
+
+
+@query(rf"""WITH {DRAFTS}, {SQL_UNITS},
 m AS (SELECT x.story_id, x.para AS pa, y.para AS pb, y.para - x.para AS dd, len(x.k) AS words FROM u x JOIN u y ON x.story_id = y.story_id AND array_to_string(x.k, ' ') = array_to_string(y.k, ' ') AND x.para < y.para),
 i AS (SELECT *, pa - row_number() OVER (PARTITION BY story_id, dd ORDER BY pa) AS isle FROM m),
 r AS (SELECT *, least(max(pa) OVER (PARTITION BY story_id, dd, isle) - pa + 1, dd) AS run FROM i),
@@ -324,10 +341,15 @@ def merge_passes(spark: SparkSession, d: str) -> DataFrame:
     return report.merge_passes(s, "draft_id").drop("spans")
 
 
-@query()
+SQL_GAP = "[" + SQL_RUN[2:-2] + r"\x{1C}-\x{1F}]"
+
+
+@query(rf"""WITH {SPANS}, {DRAFTS}, x AS (SELECT s.span_id, d.text, least(s.st, length(d.text)) AS o FROM s JOIN d ON d.draft_id = s.draft_id),
+n AS (SELECT span_id, text, len(regexp_extract_all(substr(text, 1, o), '[.!?]{SQL_GAP}')) AS k, len(regexp_extract_all(text, '[.!?]{SQL_GAP}')) + CASE WHEN regexp_matches(text, '[.!?]$') THEN 1 ELSE 0 END AS n FROM x WHERE o IS NOT NULL)
+SELECT span_id, CAST(greatest(1, CASE WHEN k < n OR n = 0 OR NOT regexp_matches(text, '[.!?]{SQL_GAP}*$') THEN k + 1 ELSE k END) AS INTEGER) AS sentence_index FROM n""")
 def sentence_indexes(spark: SparkSession, d: str) -> DataFrame:
     """The sentence, by the engine's simple rule, in which each span of a known draft begins."""
-    s = stored.spans(spark, d).select("span_id", "draft_id", "start").join(_docs(spark, d).withColumnRenamed("doc_key", "draft_id"), "draft_id")
+    s = stored.spans(spark, d).where("start is not null").select("span_id", "draft_id", "start").join(_docs(spark, d).withColumnRenamed("doc_key", "draft_id"), "draft_id")
     return s.select("span_id", report.sentence_index("text", "start").alias("sentence_index"))
 
 
@@ -337,6 +359,59 @@ def expanded_spans(spark: SparkSession, d: str) -> DataFrame:
     return s.select("span_id", report.expand_to_sentences("text", "start", "end").alias("x")).select("span_id", F.col("x.start").alias("span_start"), F.col("x.end").alias("span_end"))
 
 
+def _assembled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each story's chapters with their manifest; the drafts of a chapter, in order of their ids, are its acts."""
+    drafts = stored.drafts(spark, d)
+    no = F.dense_rank().over(Window.partitionBy("story_id", "chapter").orderBy("draft_id")).alias("act")
+    return tuple(cut(x) for x in segment.assembled(drafts.where("chapter is not null").select("story_id", "chapter", no, "text"), ["story_id", "chapter"]))
+
+
+SQL_ACTS = rf"""n AS (SELECT story_id, chapter, draft_id, dense_rank() OVER (PARTITION BY story_id, chapter ORDER BY draft_id) AS act, {SQL_TRIM} AS body FROM d WHERE chapter IS NOT NULL),
+a AS (SELECT *, CAST(coalesce(sum(length(body) + 2) OVER (PARTITION BY story_id, chapter ORDER BY act ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM n WHERE body <> '')"""
+
+
+@query(rf"""WITH {DRAFTS}, {SQL_ACTS}, w AS (SELECT *, len(regexp_extract_all(body, '{SQL_RUN}')) AS tok FROM a)
+SELECT story_id, chapter, row_number() OVER (PARTITION BY story_id, chapter ORDER BY act) AS page, st AS doc_char_start, st + length(body) AS doc_char_end, CAST(tok AS BIGINT) AS token_count FROM w WHERE tok > 0""")
+def scope_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each act of each chapter."""
+    docs, acts, _ = _assembled(spark, d)
+    p = segment.paginate(docs, acts)
+    return p.select("doc_key.story_id", "doc_key.chapter", *[F.col(c).cast("bigint").alias(c) for c in ("page", "doc_char_start", "doc_char_end", "token_count")])
+
+
+@query(rf"""WITH {DRAFTS}, {SQL_ACTS}, l AS (SELECT story_id, chapter, act, st, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS pos FROM a),
+g AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY story_id, chapter, act ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+t AS (SELECT *, length(regexp_extract(line, '^{SQL_SPACE}')) AS lead, regexp_replace(line, '^{SQL_SPACE}|{SQL_SPACE}$', '', 'g') AS t FROM g)
+SELECT story_id, chapter, act, row_number() OVER (PARTITION BY story_id, chapter, act ORDER BY pos) AS paragraph_index, printf('ch%02d_a%02d_p%02d', chapter, act, row_number() OVER (PARTITION BY story_id, chapter, act ORDER BY pos)) AS segment_id, CAST(st + off + lead AS BIGINT) AS doc_char_start, CAST(st + off + lead + length(t) AS BIGINT) AS doc_char_end FROM t WHERE t <> ''""")
+def paragraph_manifest(spark: SparkSession, d: str) -> DataFrame:
+    p = _assembled(spark, d)[2]
+    return p.select("doc_key.story_id", "doc_key.chapter", F.col("act").cast("bigint").alias("act"), F.col("paragraph_index").cast("bigint").alias("paragraph_index"), "segment_id", F.col("doc_char_start").cast("bigint").alias("doc_char_start"), F.col("doc_char_end").cast("bigint").alias("doc_char_end"))
+
+
+def _draft_acts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every draft as the one act of its own text, with its lines as paragraphs."""
+    src = stored.drafts(spark, d).withColumn("act", F.coalesce("act", F.lit(1))).withColumn("chapter", F.coalesce("chapter", F.lit(1)))
+    acts = src.select("draft_id", "chapter", "act", F.lit(0).alias("start"), F.char_length("text").alias("end"))
+    lines = segment.line_index(src.select(F.struct("draft_id", "chapter", "act").alias("doc_key"), "text"))
+    k = F.col("doc_key")
+    return acts, lines.select(k["draft_id"].alias("draft_id"), F.col("piece").alias("paragraph_index"), T.segment_id(k["chapter"], k["act"], F.col("piece")).alias("segment_id"), F.col("start").alias("doc_char_start"), F.col("end").alias("doc_char_end"), "text")
+
+
+@query(rf"""WITH {SPANS}, {DRAFTS}, a AS (SELECT draft_id, coalesce(chapter, 1) AS chapter, coalesce(act, 1) AS act, text FROM d), l AS (SELECT draft_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM a),
+g AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY draft_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+t AS (SELECT *, length(regexp_extract(line, '^{SQL_SPACE}')) AS lead, regexp_replace(line, '^{SQL_SPACE}|{SQL_SPACE}$', '', 'g') AS t FROM g),
+p AS (SELECT draft_id, row_number() OVER (PARTITION BY draft_id ORDER BY pos) AS no, CAST(off + lead AS BIGINT) AS p0, CAST(off + lead + length(t) AS BIGINT) AS p1, t FROM t WHERE t <> ''),
+m AS (SELECT s.span_id, a.chapter, a.act, s.st, s.en, length(a.text) AS n, p.no, least(s.st - p.p0, length(p.t)) AS o, p.t FROM s JOIN a USING (draft_id) LEFT JOIN p ON p.draft_id = s.draft_id AND s.st >= p.p0 AND s.st < p.p1 AND s.st < length(a.text) WHERE s.st IS NOT NULL AND s.en IS NOT NULL),
+k AS (SELECT *, len(regexp_extract_all(substr(t, 1, o), '[.!?]{SQL_GAP}')) AS k, len(regexp_extract_all(t, '[.!?]{SQL_GAP}')) + CASE WHEN regexp_matches(t, '[.!?]$') THEN 1 ELSE 0 END AS e FROM m)
+SELECT span_id, chapter, act, CAST(coalesce(no, 1) AS INTEGER) AS paragraph_index, printf('ch%02d_a%02d_p%02d', chapter, act, coalesce(no, 1)) AS segment_id, CAST(CASE WHEN no IS NULL THEN 1 ELSE greatest(1, CASE WHEN k < e OR e = 0 OR NOT regexp_matches(t, '[.!?]{SQL_GAP}*$') THEN k + 1 ELSE k END) END AS INTEGER) AS sentence_index FROM k""")
+def span_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter, act, paragraph, segment id and sentence of every span of a known draft."""
+    acts, paragraphs = _draft_acts(spark, d)
+    s = stored.spans(spark, d).where("start is not null and end is not null").select("span_id", "draft_id", "start", "end").join(acts.select("draft_id"), "draft_id", "left_semi")
+    at = report.span_locations(s, acts, paragraphs, ["draft_id"])
+    return at.select("span_id", "location.chapter", "location.act", F.col("location.paragraph_index").cast("int").alias("paragraph_index"), "location.segment_id", "location.sentence_index")
+
+
 # --- vectors and clusters
 
 
@@ -365,7 +440,16 @@ def cluster_registry(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("hue", F.round(C.hue(F.col("cluster_id")), 6))
 
 
-@query()
+SQL_REGISTRY = f"""{WINDOWS}, v AS (SELECT job_id, cluster_id, window_index, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM w WHERE cluster_id IS NOT NULL AND cluster_id <> -1 AND len(embedding) > 0),
+m AS (SELECT job_id, cluster_id, pos, avg(x) AS m FROM v GROUP BY 1, 2, 3), nz AS (SELECT job_id, cluster_id, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1, 2 HAVING sum(m * m) > 0),
+q AS (SELECT v.job_id, v.cluster_id, v.window_index, sum(v.x * m.m) AS dot, sqrt(sum(v.x * v.x)) AS len FROM v JOIN m USING (job_id, cluster_id, pos) GROUP BY 1, 2, 3),
+r AS (SELECT w.job_id, w.cluster_id, w.window_index, w.page, coalesce(CASE WHEN q.len > 0 THEN greatest(least(q.dot / q.len / nz.norm, 1), -1) ELSE 0 END, 0) AS sim FROM w JOIN nz USING (job_id, cluster_id) LEFT JOIN q USING (job_id, cluster_id, window_index)),
+o AS (SELECT job_id, cluster_id, doc_char_start AS st, doc_char_start + length(text) AS en FROM w WHERE doc_char_start IS NOT NULL AND cluster_id <> -1),
+i AS (SELECT *, CASE WHEN st >= max(en) OVER (PARTITION BY job_id, cluster_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY job_id, cluster_id ORDER BY st, en) = 1 THEN 1 ELSE 0 END AS nw FROM o),
+n AS (SELECT job_id, cluster_id, sum(nw) AS n FROM i GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SQL_REGISTRY} SELECT r.job_id, r.cluster_id, count(*) AS member_count, arg_max(window_index, (round(sim, 12), -window_index)) AS central_window, CAST(coalesce(max(n.n), 0) AS BIGINT) AS instance_count, CAST(count(DISTINCT page) AS INTEGER) AS n_pages, round((r.cluster_id * CAST(0.6180339887 AS DOUBLE)) % CAST(1 AS DOUBLE), 6) AS hue FROM r LEFT JOIN n USING (job_id, cluster_id) GROUP BY r.job_id, r.cluster_id")
 def window_registry(spark: SparkSession, d: str) -> DataFrame:
     w = stored.windows(spark, d, "job_id", "window_index", "page", "doc_char_start", "text", "cluster_id", "embedding").withColumn("doc_char_end", F.col("doc_char_start") + F.char_length("text"))
     return clusters.registry(w).select("job_id", "cluster_id", "member_count", "central_window", "instance_count", F.size("pages").alias("n_pages"), F.round("hue", 6).alias("hue"))
@@ -402,7 +486,10 @@ def linked_subphrases(spark: SparkSession, d: str) -> DataFrame:
     return clusters.subphrase_links(stored.windows(spark, d, "job_id", "window_index", "page", "text", "cluster_id", "embedding"))
 
 
-@query()
+@query(rf"""WITH {DRAFTS}, t AS (SELECT draft_id, unnest(regexp_extract_all(text, '{SQL_WORD}')) AS w FROM d), u AS (SELECT DISTINCT w, encode(w) AS b FROM t),
+x AS (SELECT w, list_reduce(list_prepend(5381::HUGEINT, [('0x' || hex(b)[2 * i - 1:2 * i])::HUGEINT FOR i IN range(1, octet_length(b) + 1)]), lambda h, y: (h * 33 + y) % 18446744073709551616::HUGEINT) % 64 AS k FROM u),
+c AS (SELECT draft_id, k, count(*) AS c FROM t JOIN x USING (w) GROUP BY 1, 2)
+SELECT d.draft_id AS doc_key, CASE WHEN count(c) > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm, CAST(count(c) AS INTEGER) AS n_buckets FROM d LEFT JOIN c USING (draft_id) GROUP BY d.draft_id""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = V.hash_embedding(F.col("text"), 64)
     return _docs(spark, d).select("doc_key", v.alias("v")).select("doc_key", F.round(V.norm(F.col("v")), 4).alias("norm"), F.size(F.filter("v", lambda x: x > 0)).alias("n_buckets"))
@@ -512,13 +599,42 @@ def job_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("job_id").agg(F.count("*").alias("n_windows"), F.sum(F.coalesce((F.size("embedding") == 384).cast("bigint"), F.lit(0))).alias("n_vectors"), F.max("window_index").cast("bigint").alias("last_index"))
 
 
-@query()
+SQL_ESTIMATES = ", ".join(f"CAST(CASE WHEN n > {p.window_size} THEN (n - {p.window_size}) // {p.stride} + 1 WHEN n >= 3 THEN 1 ELSE 0 END AS BIGINT) AS {p.name}" for p in PRESETS["full_multi_pass"].passes if p.method == "embedding")
+
+
+@query(f"WITH {DRAFTS}, c AS (SELECT draft_id, {SQL_WORDS} AS n FROM d) SELECT draft_id AS doc_key, {SQL_ESTIMATES} FROM c")
 def pass_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Windows that each pass of the full bundle would make of each draft."""
     n = _docs(spark, d).select("doc_key", T.word_count(F.col("text")).alias("n"))
     return n.select("doc_key", *[segment.window_estimate(F.col("n"), p.window_size, p.stride).alias(p.name) for p in PRESETS["full_multi_pass"].passes if p.method == "embedding"])
 
 
+SQL_DRAFT_PATH = r"CAST(nullif(regexp_extract(document_path, '([0-9]+)(\.[A-Za-z]+)?$', 1), '') AS BIGINT)"
+
+
+@query(rf"""WITH {JOBS}, {DRAFTS}, h AS (SELECT draft_id, sha256(text) AS hash FROM d), n AS (SELECT job_id, count(*) AS n FROM (SELECT DISTINCT job_id, page FROM pages) GROUP BY 1), k AS (SELECT j.*, h.hash AS now FROM j LEFT JOIN h ON h.draft_id = {SQL_DRAFT_PATH}),
+c AS (SELECT document_path, arg_max(job_id, (CAST(created_at AS TIMESTAMPTZ), job_id)) AS complete_job FROM k WHERE status = 'complete' AND document_hash = now GROUP BY 1),
+p AS (SELECT document_path, arg_max(job_id, (CAST(updated_at AS TIMESTAMPTZ), job_id)) AS partial_job FROM k WHERE status = 'partial' GROUP BY 1),
+a AS (SELECT DISTINCT document_path FROM j WHERE document_path IS NOT NULL)
+SELECT a.document_path, complete_job, coalesce(n.n, 0) AS page_count, partial_job, round(CASE WHEN q.windows_total > 0 THEN CAST(q.windows_committed AS DOUBLE) / q.windows_total WHEN q.job_id IS NOT NULL THEN 0 END, 6) AS done FROM a LEFT JOIN c USING (document_path) LEFT JOIN p USING (document_path) LEFT JOIN n ON n.job_id = complete_job LEFT JOIN j q ON q.job_id = partial_job""")
+def session_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: the newest complete job of its present text with its pages, and the last partial one with its share done."""
+    path = F.regexp_extract("document_path", r"([0-9]+)(\.[A-Za-z]+)?$", 1)
+    now = _docs(spark, d).select(F.col("doc_key").alias("draft_id"), F.sha2("text", 256).alias("current_hash"))
+    jobs = stored.latest_jobs(spark, d).withColumn("draft_id", F.when(path != "", path.cast("bigint")))
+    return stored.session_state(jobs.join(now, "draft_id", "left"), stored.pages(spark, d))
+
+
+@query(f"""WITH {WINDOWS}, b AS (SELECT job_id, window_index // 32 AS batch, max(committed_at) AS done_at FROM w WHERE committed_at IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, CASE WHEN lag(done_at) OVER o IS NOT NULL THEN greatest(epoch_us(done_at) - epoch_us(lag(done_at) OVER o), 0) / 1000000.0 END AS took FROM b WINDOW o AS (PARTITION BY job_id ORDER BY batch)),
+m AS (SELECT *, avg(took) OVER (PARTITION BY job_id ORDER BY batch ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean FROM t)
+SELECT job_id, batch, round(coalesce(mean, 0), 3) AS mean_seconds, round(coalesce(mean, 0) * (max(batch) OVER (PARTITION BY job_id) - batch), 3) AS eta_seconds FROM m""")
+def batch_eta(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling mean of the last 50 batches' durations, and the time the job's remaining batches would take at it."""
+    w = stored.windows(spark, d, "job_id", "window_index").join(table(spark, d, "windows").groupBy("window_id").agg(F.max("committed_at").alias("committed_at")), "window_id")
+    return stored.rolling_eta(w.where("committed_at is not null"), 32).select("job_id", "batch", F.round("mean_seconds", 3).alias("mean_seconds"), F.round("eta_seconds", 3).alias("eta_seconds"))
+
+
 # --- whole analyses
 
 
@@ -527,18 +643,27 @@ def embedding_report(spark: SparkSession, d: str) -> DataFrame:
     """One embedding pass over all drafts with leader clustering, from pages to located spans."""
     from echoloom.operators import contract
 
-    return contract.embedding_instances(_docs(spark, d), AnalysisParams(20, 10, enable_hdbscan=False)).select("doc_key", "cluster_id", "instance_id", "start", "end", F.round("similarity", 4).alias("similarity"))
+    return contract.embedding_instances(_docs(spark, d), AnalysisParams(20, 10, enable_hdbscan=False)).select("doc_key", "cluster_id", "instance_id", "start", "end", "members", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def stored_report(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of all stored jobs, from their windows and pages."""
+    from echoloom.operators import contract
+
+    w = stored.windows(spark, d, "job_id", "window_index", "doc_char_start", "text", "cluster_id", "embedding")
+    return contract.stored_report(w, stored.pages(spark, d)).select("job_id", "cluster_id", "instance_id", "start", "end", "members", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def multi_pass_report(spark: SparkSession, d: str) -> DataFrame:
-    """A lexical and an embedding pass over every chapter, merged into one JSON report each."""
-    from echoloom.config import LEXICAL, MultiPassConfig, PassSpec
+    """All five passes of the full bundle over every chapter with its acts, merged into one JSON report each."""
     from echoloom.operators import contract
 
-    docs = _chapters(spark, d)
-    bundle = MultiPassConfig((LEXICAL, PassSpec("chapter_fine", "chapter", "embedding", 50, 25)), enable_hdbscan=False)
-    return contract.report_json(docs, contract.multi_pass(docs, bundle)).select("doc_key.story_id", "doc_key.chapter", "report")
+    docs, acts, paragraphs = _assembled(spark, d)
+    bundle = PRESETS["full_multi_pass"]
+    passes = contract.multi_pass(docs, bundle, acts)
+    return contract.report_json(docs, passes, bundle.passes, acts, paragraphs, bundle.tokens_per_page).select("doc_key.story_id", "doc_key.chapter", "report")
 
 
 @query()

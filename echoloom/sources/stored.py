@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echoloom.runtime import table
@@ -47,3 +47,30 @@ def job_for_document(jobs: DataFrame) -> DataFrame:
     done = jobs.where("status = 'complete'").groupBy("document_path").agg(F.max_by("job_id", F.struct(moment(F.col("created_at")), "job_id")).alias("complete_job"))
     part = jobs.where("status = 'partial'").groupBy("document_path").agg(F.max_by("job_id", F.struct(moment(F.col("updated_at")), "job_id")).alias("partial_job"))
     return done.join(part, "document_path", "full").select("document_path", "complete_job", "partial_job")
+
+
+def session_state(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``document_path, complete_job, page_count, partial_job, done`` of every document with a job.
+
+    ``jobs`` carry ``current_hash``, that of the document as it is now: a complete job counts only for the text it was run
+    over. Documents without either kind of job have nulls.
+    """
+    found = job_for_document(jobs.where("status <> 'complete' or document_hash = current_hash"))
+    n = pages.select("job_id", "page").distinct().groupBy(F.col("job_id").alias("complete_job")).agg(F.count("*").alias("page_count"))
+    share = F.when(F.col("windows_total") > 0, F.col("windows_committed") / F.col("windows_total")).otherwise(0.0)
+    part = jobs.where("status = 'partial'").select(F.col("job_id").alias("partial_job"), F.round(share, 6).alias("done"))
+    every = jobs.select("document_path").where("document_path is not null").distinct()
+    return every.join(found, "document_path", "left").join(n, "complete_job", "left").join(part, "partial_job", "left").select("document_path", "complete_job", F.coalesce("page_count", F.lit(0)).alias("page_count"), "partial_job", "done")
+
+
+def rolling_eta(windows: DataFrame, batch: int, last: int = 50) -> DataFrame:
+    """``job_id, batch, mean_seconds, eta_seconds``: the mean duration of the last ``last`` batches and what the remaining ones
+    would take; 0 before a duration is known. ``windows(job_id, window_index, committed_at)``; a batch lasts from the commit of the one
+    before it to its own."""
+    per = windows.groupBy("job_id", F.floor(F.col("window_index") / batch).alias("batch")).agg(F.max("committed_at").alias("at"))
+    w = Window.partitionBy("job_id").orderBy("batch")
+    took = F.greatest(F.unix_micros("at") - F.unix_micros(F.lag("at").over(w)), F.lit(0)) / 1e6
+    mean = F.coalesce(F.avg("took").over(w.rowsBetween(1 - last, 0)), F.lit(0.0))
+    left = F.max("batch").over(Window.partitionBy("job_id")) - F.col("batch")
+    timed = per.withColumn("took", F.when(F.lag("at").over(w).isNotNull(), took)).withColumn("mean_seconds", mean)
+    return timed.select("job_id", "batch", "mean_seconds", (F.col("mean_seconds") * left).alias("eta_seconds"))

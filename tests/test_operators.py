@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echoloom.config import AnalysisParams, LexicalConfig
+from echoloom.config import LEXICAL, AnalysisParams, LexicalConfig, MultiPassConfig, PassSpec
 from echoloom.functions import color as C
 from echoloom.functions import text as T
 from echoloom.functions import vectors as V
-from echoloom.operators import clusters, contract, intervals, lexical, raster, report
+from echoloom.operators import clusters, contract, intervals, lexical, raster, report, segment
 from echoloom.operators.graph import connected_components
+from echoloom.sources import stored
 
 A = "The old mill stood by the river and nobody had entered it for eleven long years."
 B = "Nora counted the lanterns twice before she let the others into the narrow damp hall."
@@ -151,8 +152,107 @@ def test_report_json(spark):
     body = f"{A} {B}\n\n{B}"
     out = contract.lexical_json(docs(spark, f"{body}\n\n{MIDDLE}\n\n{body}", MIDDLE)).orderBy("doc_key").collect()
     r = contract.validate_report(out[0]["report"])
-    assert r["merged_repetition_report"]["clusters"][0]["instance_count"] == 2
-    with pytest.raises(contract.ContractError):
-        contract.validate_report(out[1]["report"])  # nothing repeats, so no pass is listed
-    with pytest.raises(contract.ContractError):
-        contract.validate_report("{")
+    c = r["merged_repetition_report"]["clusters"][0]
+    assert c["instance_count"] == 2 and len(c["duplicates"]) == 1 and c["canonical"] == c["spans"][0]
+    none = contract.validate_report(out[1]["report"])  # nothing repeats, but the pass was run
+    assert [p["repetition_report"]["clusters"] for p in none["passes"]] == [[]] and none["merged_repetition_report"]["stats"]["cluster_count"] == 0
+    for bad in ("{", "[]", out[0]["report"].replace('"chapter":1', '"chapter":2', 1), out[0]["report"].replace("ch01_", "ch02_")):
+        with pytest.raises(contract.ContractError):
+            contract.validate_report(bad)
+
+
+def test_report_shape(spark):
+    """Every field of the contract, over a chapter of two acts that share a passage."""
+    acts = spark.createDataFrame([("s", 3, 1, f"  {A} {B}\n{MIDDLE}"), ("s", 3, 2, f"{A} {B}\nOnce more, something else was said.\n"), ("s", 3, 4, " \n ")], "story string, chapter int, act int, text string")
+    docs_, manifest, paragraphs = segment.assembled(acts, ["story", "chapter"])
+    passes = contract.multi_pass(docs_, MultiPassConfig((LEXICAL, PassSpec("fine", "act", "embedding", 10, 10)), enable_hdbscan=False, tokens_per_page=200), manifest)
+    rows = contract.report_json(docs_, passes, (LEXICAL, PassSpec("fine", "act", "embedding", 10, 10)), manifest, paragraphs, 200).collect()
+    r = contract.validate_report(rows[0]["report"])
+    text = docs_.first()["text"]
+    assert set(r) == {"schema_version", "scope", "scope_manifest", "passes", "merged_repetition_report"}
+    assert r["scope"]["chapter"] == 3 and r["scope"]["doc_char_end"] == len(text)
+    assert [a["act"] for a in r["scope_manifest"]["acts"]] == [1, 2] and r["scope_manifest"]["acts"][0]["paragraphs"][1]["segment_id"] == "ch03_a01_p02"
+    assert [(p["pass_label"], p.get("method"), p["window_size"]) for p in r["passes"]] == [("lexical", "lexical", 0), ("fine", None, 10)]
+    for part in [r["merged_repetition_report"], *[p["repetition_report"] for p in r["passes"]]]:
+        assert set(part) == {"boundary_version", "stats", "clusters"} and part["clusters"]
+        assert part["stats"]["total_duplicate_instances"] == sum(len(c["duplicates"]) for c in part["clusters"])
+        for c in part["clusters"]:
+            assert set(c) == {"cluster_id", "representative_text", "instance_count", "total_word_estimate", "canonical", "duplicates", "spans", "suggested_op", "cross_act", "needs_bridge"}
+            assert [s["instance_id"] for s in c["spans"]] == list(range(1, c["instance_count"] + 1)) and c["duplicates"] == c["spans"][1:]
+            assert c["cross_act"] == (len({s["location"]["act"] for s in c["spans"]}) > 1)
+            for s in c["spans"]:
+                at = s["location"]
+                assert set(s) == {"location", "cluster_id", "instance_id", "text", "similarity_to_centroid", "member_window_count"}
+                assert set(at) == {"chapter", "act", "paragraph_index", "segment_id", "sentence_index", "scope_char_start", "scope_char_end", "doc_char_start", "doc_char_end"}
+                assert s["text"] == text[at["doc_char_start"] : at["doc_char_end"]]
+                base = r["scope_manifest"]["acts"][at["act"] - 1]
+                assert at["scope_char_start"] == at["doc_char_start"] - base["doc_char_start"]
+    for s in (s for c in r["passes"][1]["repetition_report"]["clusters"] for s in c["spans"]):
+        act = r["scope_manifest"]["acts"][s["location"]["act"] - 1]
+        assert act["doc_char_start"] <= s["location"]["doc_char_start"] < s["location"]["doc_char_end"] <= act["doc_char_end"]
+
+
+def test_spans_stay_in_their_act(spark):
+    text = "One act ends here without a stop\n\nthe next act begins. And it goes on."
+    acts = spark.createDataFrame([(1, 1, 1, 0, 32), (1, 1, 2, 34, len(text))], "doc_key int, chapter int, act int, start int, end int")
+    spans = spark.createDataFrame([(1, 8, 40), (1, 38, 45)], "doc_key int, start int, end int")
+    d = spark.createDataFrame([(1, text)], "doc_key int, text string")
+    got = {(r["start"], r["end"], r["text"]) for r in report.widened(spans, d, ["doc_key"], acts).collect()}
+    assert got == {(0, 32, text[:32]), (34, 54, text[34:54])}
+    assert {(r["start"], r["end"]) for r in report.widened(spans, d, ["doc_key"], acts, expand=False).collect()} == {(8, 32), (38, 45)}
+
+
+def test_blank_acts(spark):
+    acts = spark.createDataFrame([(1, 1, "a"), (1, 2, "\n\n")], "chapter int, act int, text string")
+    assert [r["text"] for r in segment.assembled(acts, ["chapter"])[0].collect()] == ["a"]
+    with pytest.raises(Exception, match="empty"):
+        segment.assembled(acts, ["chapter"], blank="error")[0].collect()
+
+
+def test_leader_labels_are_stabilised(spark):
+    x, _ = _groups(noise=0)
+    rows = [("j", i, v.tolist()) for i, v in enumerate(x)] + [("lone", 0, [1.0] * 16)]
+    w = spark.createDataFrame(rows, "job_id string, window_index int, embedding array<float>")
+    got = {(r["job_id"], r["window_index"]): (r["hdbscan_label"], r["cluster_id"]) for r in clusters.cluster_jobs(w, AnalysisParams(10, 5, enable_hdbscan=False)).collect()}
+    assert {f for f, _ in got.values()} == {-1} and got["lone", 0] == (-1, -1)
+    assert [got["j", i][1] for i in range(24)] == clusters.stabilised(x, clusters.leader_labels(x, 6)).tolist()
+
+
+def test_subphrases(spark):
+    def w(c, i, page, text, v):
+        return ("j", i, page, text, [float(k) for k in v], c)
+
+    rows = [w(0, 0, 1, "a long repeated block of words", (1, 0)), w(0, 1, 2, "a long repeated block of words", (1, 0)), w(1, 2, 1, "  Repeated BLOCK ", (1, 0.1)), w(1, 3, 2, "repeated block", (1, 0.1)), w(2, 4, 1, " ", (1, 0.2)), w(2, 5, 2, "", (1, 0.2)), w(-1, 6, 1, "noise", (0, 1))]
+    got = {r["window_index"]: r["cluster_id"] for r in clusters.subphrase_links(spark.createDataFrame(rows, "job_id string, window_index int, page int, text string, embedding array<float>, cluster_id int")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: -1}
+
+
+def test_sessions(spark):
+    t = "document_path string, job_id string, status string, document_hash string, current_hash string, windows_total int, windows_committed int, created_at string, updated_at string"
+    at = "2024-01-01T00:00:00Z"
+    jobs = spark.createDataFrame([("a", "old", "complete", "x", "y", 1, 1, at, at), ("a", "part", "partial", "x", "y", 4, 1, at, at), ("b", "new", "complete", "y", "y", 1, 1, at, at), ("c", "run", "running", None, None, 0, 0, at, at)], t)
+    pages = spark.createDataFrame([("new", 1), ("new", 1), ("new", 2)], "job_id string, page int")
+    got = {r["document_path"]: tuple(r)[1:] for r in stored.session_state(jobs, pages).collect()}
+    assert got == {"a": (None, 0, "part", 0.25), "b": ("new", 2, None, None), "c": (None, 0, None, None)}
+
+
+def test_components_raise_rather_than_stop(spark):
+    chain = spark.range(64).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+    star = spark.range(1, 2000).selectExpr("0L as a", "id as b")
+    assert connected_components(star).where("component <> 0").count() == 0
+
+
+def test_intermediates_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from echoloom import runtime
+
+    folder = Path(runtime.shared_dir(spark).removeprefix("file://"))
+    with runtime.intermediates(spark):
+        kept = set(folder.iterdir()) if folder.exists() else set()
+        assert runtime.cut(spark.range(3)).count() == 3
+        assert set(folder.iterdir()) - kept
+    assert set(folder.iterdir()) == kept
