@@ -1,11 +1,12 @@
 """Problem 5: long exact spans shared between records.
 
-A shared run need not fill a paragraph, so the unit that is min-hashed is every stretch of ``length``
-consecutive code points: its minhash under one hash function of ``GRAM``-code-point grams is kept with
-its text. Equal stretches have equal minhashes, so one band of one row has recall 1; sliding the
-stretch makes the minima repeat, which leaves about two fingerprints per ``length - GRAM`` code points.
-Records that collide in a fingerprint are joined, each colliding pair is verified over all its stretches
-of ``length`` code points, and groups are the connected components of the verified links.
+A shared run need not fill a paragraph and may cross several, so signatures of paragraphs can't find it. The unit that
+is min-hashed is every stretch of ``length`` consecutive code points instead: its minhash under one hash function of
+``GRAM``-code-point grams is kept with its place. Equal stretches have equal minhashes, so one band of one row has
+recall 1; sliding the stretch makes the minima repeat, which leaves about two fingerprints per ``length - GRAM`` code
+points. Records that collide in a fingerprint are joined on the shift between its places; along each shift the texts
+themselves are compared, code point by code point, for runs of ``length``. Groups are the connected components of the
+verified links.
 """
 
 from __future__ import annotations
@@ -52,9 +53,13 @@ def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return out
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def fingerprints(text: str, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of the minima of all stretches of ``length`` code points."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = code_points(text)
     if len(codes) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = gram_hashes(codes, gram)
@@ -66,9 +71,20 @@ def fingerprints(text: str, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     return h[at], at
 
 
+def runs_along(x: np.ndarray, y: np.ndarray, shift: int, length: int) -> list[tuple[int, int]]:
+    """``start, end`` in ``x`` of the runs of at least ``length`` equal code points where ``x[i]`` meets ``y[i - shift]``."""
+    a, b = max(0, shift), min(len(x), len(y) + shift)
+    if b - a < length:
+        return []
+    broken = np.flatnonzero(x[a:b] != y[a - shift : b - shift])
+    edge = np.r_[-1, broken, b - a]
+    k = np.flatnonzero(np.diff(edge) > length)
+    return list(zip((a + edge[k] + 1).tolist(), (a + edge[k + 1]).tolist()))
+
+
 def common_stretches(x: str, y: str, length: int) -> tuple[list[dict], list[dict]]:
-    """Where ``x`` and ``y`` hold stretches of ``length`` code points of the other: merged ``s, e`` of either."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y)]
+    """Where two texts hold stretches of ``length`` code points of the other, whatever the shift: merged ``s, e`` of either."""
+    codes = [code_points(t) for t in (x, y)]
     if min(map(len, codes)) < length:
         return [], []
     hx, hy = (gram_hashes(c, length) for c in codes)
@@ -80,6 +96,10 @@ def common_stretches(x: str, y: str, length: int) -> tuple[list[dict], list[dict
     return sides[0], sides[1]
 
 
+#: Places of one fingerprint in one text up to which each gives a shift; texts that repeat themselves more are compared at all shifts.
+PLACES = 8
+
+
 def shared_runs(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     """``texts(cid, text)`` with distinct ``cid`` -> ``a, b, a_runs, b_runs``, ``a < b``.
 
@@ -92,27 +112,51 @@ def shared_runs(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [pd.DataFrame({"fp": [], "cid": []}, dtype=np.int64)]
+            out = [pd.DataFrame({"fp": [], "cid": [], "at": []}, dtype=np.int64)]
             for c, t in zip(f["cid"], f["text"]):
-                h = np.unique(fingerprints(t, length, gram)[0])
-                out.append(pd.DataFrame({"fp": h.view(np.int64), "cid": np.full(len(h), c, np.int64)}))
+                h, at = fingerprints(t, length, gram)
+                if len(h):
+                    known, first, n = np.unique(h, return_index=True, return_counts=True)
+                    if n.max() > PLACES:  # -1 stands for too many places
+                        many = np.isin(h, known[n > PLACES])
+                        h, at = np.r_[h[~many], known[n > PLACES]], np.r_[at[~many], np.full((n > PLACES).sum(), -1)]
+                    out.append(pd.DataFrame({"fp": h.view(np.int64), "cid": np.full(len(h), c, np.int64), "at": at}))
             yield pd.concat(out)
 
-    marks = cut(texts.where(F.char_length("text") >= length).mapInPandas(mark, "fp bigint, cid bigint"))
-    crowd = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.ceil(F.col("n") / 1000).cast("bigint").alias("parts"))
-    met = marks.join(crowd, "fp")
-    left = met.select("fp", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.col("cid").alias("a"))
-    right = met.select("fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"))
-    pairs = left.join(right, ["fp", "part"]).where("a < b").select("a", "b").distinct()
+    marks = cut(texts.where(F.char_length("text") >= length).mapInPandas(mark, "fp bigint, cid bigint, at bigint"))
+    crowd = marks.groupBy("fp").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    met = marks.join(crowd.select("fp", F.ceil(F.col("n") / 1000).cast("bigint").alias("parts")), "fp")
+    left = met.select("fp", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.col("cid").alias("a"), F.col("at").alias("p"))
+    right = met.select("fp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("at").alias("q"))
+    shift = F.when((F.col("p") >= 0) & (F.col("q") >= 0), F.col("p") - F.col("q")).cast("int")
+    # null shifts are dropped from the set, but seen in the flag
+    pairs = left.join(right, ["fp", "part"]).where("a < b").groupBy("a", "b").agg(F.collect_set(shift).alias("shifts"), F.max(shift.isNull()).alias("every"))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+
+        def codes(cid: int, text: str) -> np.ndarray:
+            x = known.get(cid)
+            if x is None:
+                if len(known) > 256:
+                    known.clear()
+                x = known[cid] = code_points(text)
+            return x
+
         for f in frames:
-            rows = []
-            for a, b, x, y in zip(f["a"], f["b"], f["xa"], f["xb"]):
-                p, q = common_stretches(x, y, length)
+            out: list[list] = [[], [], [], []]
+            for a, b, x, y, shifts, every in zip(f["a"], f["b"], f["xa"], f["xb"], f["shifts"], f["every"]):
+                if every:
+                    p, q = common_stretches(x, y, length)
+                else:
+                    x, y = codes(a, x), codes(b, y)
+                    each = {(s, e, d) for d in shifts.tolist() for s, e in runs_along(x, y, d, length)}
+                    p = [{"s": s, "e": e} for s, e in sorted({(s, e) for s, e, _ in each})]
+                    q = [{"s": s, "e": e} for s, e in sorted({(s - d, e - d) for s, e, d in each})]
                 if p:
-                    rows.append((a, b, p, q))
-            yield pd.DataFrame(rows, columns=["a", "b", "a_runs", "b_runs"])
+                    for column, value in zip(out, (a, b, p, q)):
+                        column.append(value)
+            yield pd.DataFrame(dict(zip(("a", "b", "a_runs", "b_runs"), out)))
 
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("xa")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("xb")), "b")
     return both.mapInPandas(verify, "a bigint, b bigint, a_runs array<struct<s int, e int>>, b_runs array<struct<s int, e int>>")
