@@ -1,30 +1,33 @@
 """Problem 4: sentence units in any language or script.
 
-Periods are disambiguated from the document itself: a word that stands with a period before a small letter
-or a digit elsewhere in the document is an abbreviation there, a capitalised word that stands inside a
-sentence elsewhere is a name, one that also occurs in small letters is an ordinary word that must have begun
-a sentence. What the document doesn't tell is taken from counts over the whole collection, and failing those
-from a short fixed list. Each script has its own terminators.
+Periods are disambiguated from the document itself first: a word that stands with a period before a small letter,
+a digit or a comma elsewhere in the document, and never plainly, is an abbreviation there; one that stands plainly is
+none, whatever a list says of it. A capitalised word that stands inside a sentence elsewhere is a name, one that also
+occurs in small letters an ordinary word that must have begun a sentence. What the document doesn't tell is taken
+from counts over the whole collection, and failing those from a short fixed list. Each script has its own terminators.
 """
 
 from __future__ import annotations
 
+import re as stdlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.runtime import table
+from echoloom.runtime import cut, table
 
 BLANK = re.compile(r"(?:\r\n|[\n\r \x85])[^\S\n\r]*(?:\r\n|[\n\r \x85])\s*| \s*")
 STOP = re.compile(r"[.．](?:\s?[.．])+|[.．]|[!?…。！？؟۔।॥｡։።]|;|;")
 CLOSERS = "\"'”’“»«›‹」』】）)]｣〉》"
 OPENING = {"„": "“”", "“": "”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", '"': '"', "‘": "’", "'": "'", "｢": "｣"}
+OPENERS = re.compile("[" + "".join(map(re.escape, OPENING)) + "]")
 DASHES = "-–—―"
-#: The longest stretch that an opening mark is taken to quote.
-QUOTE_SPAN = 600
+ALNUM = re.compile(r"[\p{L}\p{N}]")
 THAI, GREEK, DEVANAGARI, CJK = (re.compile(f"[{x}]") for x in (r"\p{Thai}", r"\p{Greek}", r"\p{Devanagari}", r"\p{Han}\p{Hiragana}\p{Katakana}"))
 TOKEN_BEFORE = re.compile(r"[^\s\"'“”„«»‹›()\[\]（）「」『』¿¡—–,;:!?…，、。！？：；]+$")
 WORD_AFTER = re.compile(r"[\p{L}\p{M}'’-]+")
@@ -35,70 +38,74 @@ BEFORE_NUMBER = set("no nr nos vol vols fig figs ch chap p pp pag pág cap núm
 MAY_END = set("etc a.m p.m jr sr ltd bros inc co corp usw vorm nachm u.s.w κ.λπ π.μ μ.μ т.д т.п др н.э n.chr v.chr j.-c d.c a.c रु कि.मी".split())
 NEVER_END = set("av v n e.g i.e vs cf viz d.h z.b u.a bzw evtl ggf p.ej p.ex c.-à-d т.е т.к напр δηλ π.χ".split()) | BEFORE_NUMBER
 JOINING = ("because", "but", "and", "until", "لأن", "لكن", "ثم", "و", "حتى", "क्योंकि", "और", "लेकिन", "जब तक", "मगर", "因为", "但是", "而且", "直到", "所以", "だから", "しかし", "そして", "から", "แต่", "และ", "เพราะ", "จน")
+JOINS = re.compile("|".join(x if CJK.match(x) else x + r"(?!\p{L})" for x in JOINING))
+JOINS_UNSPACED = re.compile("|".join(x for x in JOINING if len(x) > 1 and not x.isascii()))
 REPORTS = re.compile(r"[^。！？!?\n“「『：:]{1,14}?(?:说|說|道|问|問|喊|答|叫|想|念|と)(?=[。，,：:！？\s]|$)|と")
 
 
-#: Reporting clauses after a quotation where a capital or no case at all could begin a new sentence.
-SAID = re.compile(
-    r"(?:\p{Lu}[\p{L}\p{M}'’-]*\s+){1,3}(?:said|asked|whispered|replied|answered|shouted|cried|murmured|called|sagte|fragte|rief|flüsterte|antwortete|dit|demanda|murmura|dijo|preguntó|susurró|сказал|сказала|спросил|спросила|ответил|είπε|ρώτησε)(?:\s+\p{Ll}+)?[.!?…]"
-    r"|(?:قال|سأل|همس|أجاب|صاح|قالت|سألت)\s+[\p{L}\p{M}]+(?:\s+[\p{L}\p{M}]+)?[.!؟]"
-    r"|[\p{L}\p{M}]+\s+ने\s+(?:\S+\s+)?(?:कहा|पूछा|बोला)[।!?]"
-)
-
-
-class Counts(dict):
-    """Per word: times with a period, times without, times with a period and a small letter or digit after it."""
-
-
-def count_words(text: str) -> Counts:
-    out = Counts()
-    for m in re.finditer(r"(\p{L}(?:[\p{L}\p{M}\-’]|\.(?=\p{L}))*)(?:(\.)(?=(\s+[\p{Ll}\d]|[,;:])?))?", text):
-        w = m[1].lower()
-        dotted, low = bool(m[2]) or w.endswith("."), bool(m[3])
-        w = w.rstrip(".")
-        a, b, c = out.get(w, (0, 0, 0))
-        out[w] = (a + dotted, b + (not dotted), c + (dotted and low))
-    return out
-
-
-def is_abbreviation(c: tuple[int, int, int]) -> bool:
-    dotted, plain, low = c
-    return dotted >= 5 and low >= 0.25 * dotted and dotted >= 6 * plain
+#: Words of a reporting clause after a quotation at most.
+CLAUSE = 4
+GOES_ON = re.compile(r"\.(?=\s+[\p{Ll}\d]|[,;:])")
+INNER = re.compile(r"(?<=[\p{Ll},] )\p{Lu}[\p{L}\p{M}'’-]*")
+PLAIN = stdlib.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w.])")
+SMALL = stdlib.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
 class Document:
-    """What a document says about its own words; ``corpus`` is the collection's set of abbreviations."""
-
-    def __init__(self, text: str, corpus: frozenset[str]) -> None:
-        self.text, self.corpus = text, corpus
-        self.counts: Counts | None = None
-
-    def word(self, w: str) -> tuple[int, int, int]:
-        if self.counts is None:
-            self.counts = count_words(self.text)
-        return self.counts.get(w, (0, 0, 0))
-
-    def abbreviation(self, w: str) -> bool:
-        dotted, plain, low = self.word(w)
-        return w in BEFORE_NAME or w in NEVER_END or w in MAY_END or w in self.corpus or (low >= 1 and plain == 0 and len(w) <= 6)
-
-    def ordinary(self, w: str) -> bool:
-        """The capitalised ``w`` also stands in small letters."""
-        return w.lower() != w and re.search(rf"(?<![\p{{L}}\p{{M}}]){re.escape(w.lower())}(?![\p{{L}}\p{{M}}])", self.text) is not None
-
-    def name(self, w: str) -> bool:
-        """``w`` stands capitalised after a word in small letters."""
-        return re.search(rf"[\p{{Ll}},] {re.escape(w)}(?![\p{{L}}])", self.text) is not None
+    """What a document says about its own words; ``short`` and ``ordinary`` are what the collection says of them: its
+    abbreviations, and words that stand in small letters unless they begin a sentence. Each index is built once, when first asked for."""
+
+    def __init__(self, text: str, short: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()) -> None:
+        self.text, self.short, self.ordinary = text, short, ordinary
+        self.titles: dict[str, int] = {}
+
+    @cached_property
+    def dotted(self) -> dict[str, int]:
+        """Times each word stands with a period after which its sentence goes on."""
+        out: dict[str, int] = {}
+        for m in GOES_ON.finditer(self.text):
+            w = TOKEN_BEFORE.search(self.text[max(0, m.start() - 24) : m.start()])
+            if w:
+                w = w[0].lower().lstrip("(¿¡-–—")
+                out[w] = out.get(w, 0) + 1
+        return out
+
+    @cached_property
+    def plain(self) -> Counter:
+        """Times each word stands without a period."""
+        return Counter(PLAIN.findall(self.text.lower()))
+
+    @cached_property
+    def small(self) -> set[str]:
+        return set(SMALL.findall(self.text))
+
+    @cached_property
+    def inner(self) -> set[str]:
+        """Words that stand capitalised inside a sentence."""
+        return set(INNER.findall(self.text))
+
+    def stands_plain(self, w: str) -> int:
+        """``plain``, but a title without its period before a name counts as none."""
+        n = self.plain.get(w, 0)
+        if not n or w not in BEFORE_NAME:
+            return n
+        if w not in self.titles:
+            self.titles[w] = len(stdlib.findall(rf"(?<![\w.]){stdlib.escape(w)}(?![\w.])(?!\s+[^\W\d_])", self.text.lower())) + sum(1 for m in stdlib.finditer(rf"(?i:(?<![\w.]){stdlib.escape(w)})\s+([^\W\d_])", self.text) if m[1].islower())
+        return self.titles[w]
+
+    def begins(self, w: str) -> bool:
+        """The capitalised ``w`` is an ordinary word, so it begins a sentence."""
+        if not w or not w[0].isupper() or w in self.inner:
+            return False
+        return w.lower() in self.small or w.lower() in self.ordinary
 
 
 def quotes(par: str) -> list[tuple[int, int]]:
     """Stretches between an opening mark and its closing mark."""
-    out, i, n = [], 0, len(par)
-    while i < n:
-        ends = OPENING.get(par[i])
-        if ends is None:
-            i += 1
-            continue
+    out, i = [], 0
+    while m := OPENERS.search(par, i):
+        i = m.start()
+        ends = OPENING[par[i]]
         c, before, after = par[i], par[i - 1 : i], par[i + 1 : i + 2]
         if c in "\"'‘»" and (before.isalnum() or after.isspace() or not after or (c != '"' and before and before in ".!?…,")):
             i += 1
@@ -106,7 +113,7 @@ def quotes(par: str) -> list[tuple[int, int]]:
         j = i + 1
         while True:
             j = min((k for k in (par.find(e, j) for e in ends) if k >= 0), default=-1)
-            if j < 0 or j - i > QUOTE_SPAN:
+            if j < 0 or _opened_again(par, i, j):
                 j = -1
                 break
             # an apostrophe inside a word closes nothing
@@ -125,6 +132,16 @@ def quotes(par: str) -> list[tuple[int, int]]:
     return out
 
 
+def _opened_again(par: str, i: int, j: int) -> bool:
+    """Between the opening mark at ``i`` and the closing one at ``j`` the same mark opens anew: the first has lost its end."""
+    k = par.find(par[i], i + 1, j)
+    while k >= 0:
+        if par[i] not in OPENING[par[i]] or (par[k - 1].isspace() and not par[k + 1 : k + 2].isspace()):
+            return True
+        k = par.find(par[i], k + 1, j)
+    return par[i] in OPENING[par[i]] and par[j] == par[i] and par[j - 1].isspace() and par[j + 1 : j + 2].isalnum()
+
+
 def _ends(doc: Document, par: str, m: re.Match, start: int, end: int) -> bool:
     """Whether the stop ``m`` of the paragraph, with its closing marks up to ``end``, ends the sentence begun at ``start``."""
     stop, at = m[0], m.start()
@@ -147,15 +164,15 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, end: int) -> bool:
         return not said or not said[0].islower()
     if nxt.islower():
         return False
-    if any(tail.startswith(x) and (CJK.match(x) or not tail[len(x) : len(x) + 1].isalpha()) for x in JOINING) and (dots or closed):
+    if (dots or closed) and JOINS.match(tail):
         return False
-    if dots and any(tail.startswith(x) for x in JOINING if len(x) > 1 and not x.isascii()):
+    if dots and JOINS_UNSPACED.match(tail):
         return False
     if closed and CJK.search(nxt):
         opened = par[start:at].lstrip()[:1]
         if tail.startswith("と") or (opened in "“「『" and REPORTS.match(tail)):
             return False
-    if closed and par[start:at].lstrip()[:1] in OPENING and SAID.match(tail):
+    if closed and par[start:at].lstrip()[:1] in OPENING and _reports(doc, tail):
         return False
     if not period or dots:
         if stop in "!?" and not closed and gap == "" and nxt.isalnum() and nxt.isascii() and not nxt.isupper():
@@ -182,27 +199,51 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, end: int) -> bool:
         line = par.rfind("\n", 0, at) + 1
         return par[max(start, line) : at].strip() != token
     w = token.lower().lstrip("(¿¡-–—")
-    flat = w.replace(" ", "")
+    flat = w.replace("\u00a0", "")
     letters = [x for x in w if x.isalpha()]
     following = WORD_AFTER.match(tail)
     following = following[0] if following else ""
     if not letters:
         return True
-    if len(letters) == 1 and len(w) == 1:  # an initial
-        return following in STARTERS and w not in BEFORE_NAME
+    if len(w) == 1:  # an initial
+        return w not in BEFORE_NAME and not (len(following) == 1 and tail[1:2] == ".") and doc.begins(following)
+    if "." in flat.strip("."):  # several initials or short forms
+        if len(letters) <= 4 and flat not in MAY_END and not flat.endswith(("a.m", "p.m")):
+            return doc.begins(following)
+    listed = flat in MAY_END or flat in NEVER_END or flat in BEFORE_NAME or flat.endswith(("a.m", "p.m"))
+    goes_on = doc.dotted.get(flat, 0)
+    if not listed and flat not in doc.short and (not goes_on or flat in doc.ordinary):
+        return True  # a small letter after a common word's period is a slip
+    if nxt.isdigit() and (flat in BEFORE_NUMBER or goes_on or flat in doc.short):
+        return False
+    plain = doc.stands_plain(flat)
+    if plain and plain >= goes_on:  # the document uses it as a word
+        return True
     if flat in MAY_END or flat.endswith(("a.m", "p.m")):
         return not nxt.isdigit()
-    if flat in NEVER_END or (nxt.isdigit() and (flat in BEFORE_NUMBER or doc.abbreviation(flat))):
-        return False
-    if flat in BEFORE_NAME:
+    if (goes_on and len(flat) <= LONGEST) or flat in doc.short:
+        return doc.begins(following)
+    return not listed
+
+
+#: Letters of an abbreviation that a document alone can make known.
+LONGEST = 9
+
+
+def _reports(doc: Document, tail: str) -> bool:
+    """After a quotation that begins its sentence: a clause of few words up to the next stop, without a quotation of its own, which
+    begins with a name or in a script without capitals."""
+    stop = STOP.search(tail)
+    clause = tail[: stop.start()] if stop else tail
+    words = clause.split()
+    if not 0 < len(words) <= CLAUSE or any(c in OPENING or c in ",;:،؛" or c in DASHES for c in clause) or CJK.search(clause):
         return False
-    if "." in flat.strip(".") and len(letters) <= 4:  # several initials or short forms
-        return following in STARTERS or (doc.ordinary(following) and not doc.name(following))
-    if doc.abbreviation(flat) and not doc.word(flat)[1]:
-        if following and re.match(r"\p{Lu}", following):
-            return doc.ordinary(following) and not doc.name(following)
+    first = WORD_AFTER.match(words[0])
+    if first is None or first[0] != words[0]:
         return False
-    return True
+    if first[0][0].isupper():  # a name and, in small letters, what it did
+        return len(words) > 1 and words[-1][0].islower() and not doc.begins(first[0])
+    return not first[0][0].islower() and len(words) > 1
 
 
 def following_month(tail: str) -> bool:
@@ -213,10 +254,6 @@ def following_month(tail: str) -> bool:
 #: Months that follow an ordinal number with a period.
 MONTHS = set("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
 STOP_CHARS = ".．!?…。！？؟۔।॥"
-#: Words that mostly begin sentences.
-STARTERS = set("The A An At By In On It He She They We You I Two Some Before After Once Late As For Without That Her His Their Der Die Das Ein Eine Im Am Le La Les Un Une El Los Las Una".split())
-
-
 def _thai_space(par: str, m: re.Match) -> bool:
     a, b = par[m.start() - 1 : m.start()], par[m.end() : m.end() + 1]
     if "\n" in m[0] or "\r" in m[0] or not a or not b:
@@ -227,14 +264,15 @@ def _thai_space(par: str, m: re.Match) -> bool:
 SPACE = re.compile(r"\s+")
 
 
-def sentences(text: str, corpus: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """Code-point spans of the sentences of a text, in order."""
-    doc, out = Document(text, corpus), []
+def sentences(text: str, short: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Code-point spans of the sentences of a text, in order; ``short`` and ``ordinary`` are the collection's abbreviations and
+    ordinary words among the text's own."""
+    doc, out = Document(text, short, ordinary), []
     begin = 0
     for end, after in [*((m.start(), m.end()) for m in BLANK.finditer(text)), (len(text), len(text))]:
         par, offset = text[begin:end], begin
         begin = after
-        if not any(c.isalnum() for c in par):
+        if not ALNUM.search(par):
             continue
         quoted = quotes(par)
         inside = lambda i: any(a < i < b for a, b in quoted)
@@ -264,7 +302,7 @@ def sentences(text: str, corpus: frozenset[str] = frozenset()) -> list[tuple[int
             lead = len(piece) - len(piece.lstrip())
             a, b = a + lead, a + len(piece.rstrip())
             if a < b:
-                if any(c.isalnum() for c in par[a:b]) or not out or out[-1][1] <= offset:
+                if ALNUM.search(par, a, b) or not out or out[-1][1] <= offset:
                     out.append((offset + a, offset + b))
                 else:  # stray marks belong to the sentence before them
                     out[-1] = (out[-1][0], offset + b)
@@ -280,40 +318,57 @@ def _closes(par: str, i: int, quoted: list[tuple[int, int]]) -> bool:
     return not any(a == i for a, _ in quoted) and not par[i + 1 : i + 2].isalnum()
 
 
-def corpus_abbreviations(df: DataFrame, text: str) -> list[str]:
-    """Words that behave as abbreviations over the whole collection; short ones only, so their number is bounded."""
+#: How a word counts in the collection: times with a period at least before it can be an abbreviation, share of these after which
+#: the sentence goes on, times as many as it stands plainly; times in small letters before a word is ordinary, and times as
+#: many as it stands capitalised inside a sentence.
+DOTTED, GOING_ON, RATHER, IN_SMALL, RATHER_SMALL = 5, 0.25, 6, 5, 4
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            total: dict[str, list[int]] = {}
-            for t in f["t"]:
-                for w, c in count_words(t).items():
-                    if len(w) <= 8 and (c[0] or len(w) <= 6):
-                        x = total.setdefault(w, [0, 0, 0])
-                        for k in range(3):
-                            x[k] += c[k]
-            yield pd.DataFrame([(w, *x) for w, x in total.items()], columns=["w", "dotted", "plain", "low"])
 
-    counts = df.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "w string, dotted bigint, plain bigint, low bigint")
-    total = counts.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("dotted", "plain", "low")])
-    return [r["w"] for r in total.where("dotted >= 5 and low >= 0.25 * dotted and dotted >= 6 * plain").select("w").collect()]
+def collection_words(texts: DataFrame) -> DataFrame:
+    """``w, short, ordinary`` of the words of distinct ``texts(t)`` that the collection knows as abbreviations or as ordinary words.
+
+    Words are counted by built-in expressions over all texts; marks put into the text tell a period after which the
+    sentence goes on and a capital inside a sentence.
+    """
+    marked = F.regexp_replace(F.translate("t", "\u0001\u0002", ""), r"\.(?=\s+[\p{Ll}\d]|[,;:])", "\u0001")
+    marked = F.regexp_replace(marked, r"(?<=[\p{Ll},] )(?=\p{Lu})", "\u0002")
+    each = texts.select(F.explode(F.regexp_extract_all(marked, F.lit("\u0002?\\p{L}(?:[\\p{L}\\p{M}’-]|[.\u0001](?=\\p{L}))*+[.\u0001]?"), F.lit(0))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    bare = F.regexp_replace(F.translate("k", "\u0001\u0002", "."), r"\.$", "")
+    w = F.lower(bare)
+    dotted = F.col("k").rlike("[.\u0001]$") | w.contains(".")
+    count = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
+    words = each.groupBy(w.alias("w")).agg(count(dotted, "dotted"), count(~dotted, "plain"), count(F.col("k").endswith("\u0001"), "going"), count(~dotted & (bare == w), "small"), count(F.col("k").startswith("\u0002"), "inner"))
+    short = (F.col("dotted") >= DOTTED) & (F.col("going") >= GOING_ON * F.col("dotted")) & (F.col("dotted") >= RATHER * F.col("plain"))
+    ordinary = (F.col("small") >= IN_SMALL) & (F.col("small") >= RATHER_SMALL * F.col("inner"))
+    return words.select("w", short.alias("short"), ordinary.alias("ordinary")).where("short or ordinary")
 
 
 def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, sentence_index, sent_start, sent_end`` in code points, ``sentence_index`` from 0.
 
     Null, empty and blank texts have no sentences; repeated rows count once, a key with several texts has the
-    sentences of each. Other columns are ignored.
+    sentences of each. Other columns are ignored. What the collection knows of a text's words before periods and of
+    the words after them is joined to the text, whatever the size of the vocabulary.
     """
-    src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
-    known = src.sparkSession.sparkContext.broadcast(frozenset(corpus_abbreviations(src, "t")))
+    src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null").distinct()
+    known = cut(collection_words(src.select("t").distinct()))
+    # only short words before a period, and what follows them, are ever asked for
+    before = F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}])(\p{L}[\p{L}\p{M}.’-]{0,11})\.(?=\s)"), F.lit(1))
+    after = F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}])\p{L}[\p{L}\p{M}.’-]{0,11}\.\s+[\"'“„«(]*(\p{Lu}[\p{L}\p{M}'’-]*)"), F.lit(1))
+    told = F.regexp_extract_all("t", F.lit(r"[\"'”’“»«‹›」』]\s+(\p{Lu}[\p{L}\p{M}'’-]*)"), F.lit(1))
+    asked = src.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.transform(F.concat(before, after, told), F.lower))).alias("w"))
+    facts = asked.join(known, "w").groupBy("h").agg(F.collect_set(F.when(F.col("short"), F.col("w"))).alias("short"), F.collect_set(F.when(F.col("ordinary"), F.col("w"))).alias("ordinary"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, k, a, b) for i, t in zip(f["id"], f["t"]) for k, (a, b) in enumerate(sentences(t, known.value))]
+            rows: list[tuple] = []
+            for i, t, s, o in zip(f["id"], f["t"], f["short"], f["ordinary"]):
+                own = sentences(t, frozenset(s) if s is not None else frozenset(), frozenset(o) if o is not None else frozenset())
+                rows += [(i, k, a, b) for k, (a, b) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["id", "sentence_index", "sent_start", "sent_end"])
 
-    return src.distinct().mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, sentence_index int, sent_start int, sent_end int")
+    whole = src.withColumn("h", F.xxhash64("t")).join(facts, "h", "left").select("id", "t", "short", "ordinary")
+    return whole.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, sentence_index int, sent_start int, sent_end int")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,12 @@ CASES = [
     ("“The end came!” Virowsor said. A tail.", ["“The end came!” Virowsor said.", "A tail."]),
     ("«كالعادة نسي!» قال توميفا. الخباز عد.", ["«كالعادة نسي!» قال توميفا.", "الخباز عد."]),
     ("Es war lang. »Die kam!«, sagte Rufa. Ende.", ["Es war lang.", "»Die kam!«, sagte Rufa.", "Ende."]),
+    ("The no. of cats rose. I said no. They left. We said no. Then he came. It was no use.", ["The no. of cats rose.", "I said no.", "They left.", "We said no.", "Then he came.", "It was no use."]),
+    ("“Go away!” Anna muttered quietly. He ran.", ["“Go away!” Anna muttered quietly.", "He ran."]),
+    ("“Go away!” The door closed. Behind the door she waited.", ["“Go away!”", "The door closed.", "Behind the door she waited."]),
+    ("“" + "It rained. " * 80 + "It stopped!” said Anna. He ran.", ["“" + "It rained. " * 80 + "It stopped!” said Anna.", "He ran."]),
+    ("He spoke to J. R. Tolan. She met J. Her friend stayed with her.", ["He spoke to J. R. Tolan.", "She met J.", "Her friend stayed with her."]),
+    ("“It broke. “It held!” said Zan. He ran.", ["“It broke.", "“It held!” said Zan.", "He ran."]),
     ("", []),
     (" \n ", []),
 ]
@@ -80,6 +86,28 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentences(text)] == want
 
 
+def test_sentences_take_linear_time():
+    import time
+
+    took = []
+    for n in (200, 1600):
+        text = "".join(f"They met Dr. Name{i} no. {i} at approx. noon. Otherword{i} went on, etc. Then it was over. " for i in range(n))
+        began = time.process_time()
+        assert len(sentences.sentences(text)) >= 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 4 * took[0]
+
+
+def test_collection_tells_what_a_document_does_not(spark):
+    rows = [(i, f"He came bzg. early on day {i} and saw the house. They saw the bzg. tree, and so on.") for i in range(6)]
+    df = spark.createDataFrame([*rows, (9, "We met bzg. Alder there. It rained bzg. They left.")], "k int, text string")
+    known = {r["w"]: (r["short"], r["ordinary"]) for r in sentences.collection_words(df.select(F.col("text").alias("t"))).collect()}
+    assert known["bzg"][0] and not known["bzg"][1]
+    got = [(r["sent_start"], r["sent_end"]) for r in sentences.split_sentences(df, "k", "text").where("id = 9").orderBy("sent_start").collect()]
+    text = "We met bzg. Alder there. It rained bzg. They left."
+    assert [text[a:b] for a, b in got][0] == "We met bzg. Alder there."
+
+
 def test_sentence_frame(spark):
     df = spark.createDataFrame([(1, "One. Two.", 5), (1, "One. Two.", 6), (2, None, 1), (3, "", 1)], "k int, text string, sentence_index int")
     assert sorted(map(tuple, sentences.split_sentences(df, "k", "text").collect())) == [(1, 0, 0, 4), (1, 1, 5, 9)]
