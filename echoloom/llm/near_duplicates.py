@@ -126,8 +126,19 @@ def trie_pairs(roots: np.ndarray, sketches: np.ndarray, budget: int, leaf: int =
         al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*parts))
 
 
-def sketch_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``id, sh array<bigint>, hi, lo bigint, bands array<bigint>``, one row per distinct ``(id, text)`` with a token."""
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null").distinct()
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
+def sketch_sets(df: DataFrame, key: str, text: str, size: int, keep: bool = True) -> DataFrame:
+    """``id, cid, hi, lo bigint, bands array<bigint>``, one row per distinct ``(id, text)`` with a token, and with ``keep`` the
+    set itself, ``sh array<bigint>``. ``cid`` is the set's hash."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(BITS)
@@ -145,17 +156,32 @@ def sketch_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 for r in range(ROWS):
                     band = mix(band * BASE + m[r * BANDS : (r + 1) * BANDS])
                 band = mix(band + np.arange(1, BANDS + 1, dtype=np.uint64))
-                rows.append((i, s.view(np.int64), hi, lo, band.view(np.int64)))
+                rows.append((i, _set_id(s), hi, lo, band.view(np.int64), *((s.view(np.int64),) if keep else ())))
             if len(cache) > 1_000_000:
                 cache.clear()
-            yield pd.DataFrame(rows, columns=["id", "sh", "hi", "lo", "bands"])
+            yield pd.DataFrame(rows, columns=["id", "cid", "hi", "lo", "bands", *(("sh",) if keep else ())])
 
-    src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null").distinct()
-    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, sh array<bigint>, hi bigint, lo bigint, bands array<bigint>")
+    src = _texts(df, key, text)
+    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, cid bigint, hi bigint, lo bigint, bands array<bigint>" + (", sh array<bigint>" if keep else ""))
 
 
-def near_pairs(sets: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
-    """``a, b, similarity`` of distinct sets (``id, sh, hi, lo, bands``) at or above ``threshold``, ``a < b``."""
+def shingle_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``cid, sh array<bigint>`` of every distinct set."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, int] = {}
+        for f in frames:
+            sets = [shingle_hashes(WORD.findall(t.lower()), size, cache) for t in f["t"]]
+            sets = [s for s in sets if len(s)]
+            if len(cache) > 1_000_000:
+                cache.clear()
+            yield pd.DataFrame({"cid": [_set_id(s) for s in sets], "sh": [s.view(np.int64) for s in sets]})
+
+    return _texts(df, key, text).mapInPandas(run, "cid bigint, sh array<bigint>").dropDuplicates(["cid"])
+
+
+def trie_links(sets: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """``a, b`` of the sets (``id, hi, lo, bands``) that share a root and differ by no more bits than the budget allows, ``a < b``."""
     rows = sets.select(F.explode("bands").alias("root"), "id", "hi", "lo")
     crowd = rows.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
     placed = rows.join(crowd.select("root", "blocks"), "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -186,26 +212,43 @@ def near_pairs(sets: DataFrame, threshold: float, block_rows: int = 4096) -> Dat
         if kept is not None and len(kept):
             yield from flush(kept)
 
-    links = keyed.repartition("node").sortWithinPartitions("node").mapInPandas(walk, f"a {kind}, b {kind}").where("a < b").distinct()
-    slim = sets.select("id", "sh")
-    both = links.join(slim.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+    return keyed.repartition("node").sortWithinPartitions("node").mapInPandas(walk, f"a {kind}, b {kind}").where("a < b").distinct()
+
+
+def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the links whose sets (``id, sh``) have at least ``threshold`` in common."""
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     sim = common / (F.size("sa") + F.size("sb") - common)
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_pairs(sets: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """``a, b, similarity`` of distinct sets (``id, sh, hi, lo, bands``) at or above ``threshold``, ``a < b``."""
+    return verified(trie_links(sets, threshold, block_rows), sets, threshold)
+
+
+#: Linked records up to which the second read of the texts is filtered by a broadcast set.
+BROADCAST_IDS = 2_000_000
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.72) -> tuple[DataFrame, DataFrame]:
     """Pairs between classes of equal shingle sets, and the classes.
 
     Returns ``links(a, b, similarity)`` between classes and ``members(id, cid, class_id)``; ``a``, ``b`` and
     ``cid`` are hashes of the set, ``class_id`` is the smallest id that has it. Null or token-free texts are in no class; a key with
-    several texts is in several classes; repeated rows count once; other columns are ignored.
+    several texts is in several classes; repeated rows count once; other columns are ignored. Only sketches are kept of all
+    records; the sets of those that link are built again from their texts.
     """
-    sets = cut(sketch_sets(df, key, text, size).withColumn("cid", F.xxhash64("sh")))
-    own = sets.groupBy("cid").agg(F.min("id").alias("class_id"))
-    members = sets.select("id", "cid").join(own, "cid").select("id", "cid", "class_id").distinct()
-    slim = sets.join(own, "cid").where("id = class_id").select(F.col("cid").alias("id"), "sh", "hi", "lo", "bands")
-    return near_pairs(slim, threshold), members
+    sketched = cut(sketch_sets(df, key, text, size, keep=False))
+    own = sketched.groupBy("cid").agg(F.min("id").alias("class_id"), F.min_by(F.struct("hi", "lo", "bands"), "id").alias("k"))
+    members = sketched.select("id", "cid").join(own.select("cid", "class_id"), "cid").select("id", "cid", "class_id").distinct()
+    links = cut(trie_links(own.select(F.col("cid").alias("id"), "k.*"), threshold))
+    ends = links.select(F.col("a").alias("cid")).union(links.select("b")).distinct()
+    wanted = cut(own.join(ends, "cid", "left_semi").select(F.col("class_id").alias(key)).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = cut(shingle_sets(df.select(key, text).join(few, key, "left_semi"), key, text, size).withColumnRenamed("cid", "id"))
+    return verified(links, sets, threshold), members
 
 
 THRESHOLD, SHINGLE = 0.72, 5
