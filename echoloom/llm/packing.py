@@ -2,8 +2,9 @@
 
 Every document gets its length in tokens of a public tokenizer and a hashed vector (the mean of random
 directions of its tokens) projected to three dimensions. The points are put in the order of a Hilbert
-curve, range-partitioned along it, and each stretch of the curve is packed best-fit, so that a container
-holds documents from one neighbourhood. A document is divided only when it alone exceeds the capacity;
+curve, and each stretch of the curve is packed best-fit, so that a container holds documents from one
+neighbourhood. Stretches are ranges of the curve's cells, drawn from the number of documents in each cell, so
+they and the containers' numbers depend on the documents alone and not on how Spark lays them out. A document is divided only when it alone exceeds the capacity;
 its full parts are containers of their own and its remainder is packed like any document.
 """
 
@@ -25,8 +26,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIMS, BITS = 3, 10
-#: Documents on one stretch of the curve, packed together.
-STRETCH = 2048
+#: Documents on one stretch of the curve, packed together; bits a dimension of the curve's cells (32,768 of them, whatever the input).
+STRETCH, COARSE = 2048, 5
 
 
 def encoder(folder: str, vocabulary: str):
@@ -107,6 +108,20 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def stretches(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For every cell of the curve the first cell of its stretch, and in how many parts a stretch of one crowded cell is cut."""
+    first, parts = np.arange(1 << DIMS * COARSE), np.ones(1 << DIMS * COARSE, np.int64)
+    begin, held = 0, 0
+    for c in sorted(counts):
+        if held and (held + counts[c] > STRETCH):
+            begin, held = c, 0
+        first[c] = begin if held else c
+        begin = first[c]
+        held += counts[c]
+        parts[c] = max(1, -(-counts[c] // STRETCH))
+    return first, parts
+
+
 def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id, part, container, token_start, n_tokens``: every token of every document in exactly one container.
 
@@ -118,9 +133,12 @@ def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENI
         raise ValueError("capacity must be positive")
     src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     kind = src.schema["id"].dataType.simpleString()
+    src.sparkSession.sparkContext.addFile(os.path.join(folder, vocabulary))  # the driver's copy goes to every executor
 
     def size(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = encoder(folder, vocabulary)
+        from pyspark import SparkFiles
+
+        encoding = encoder(os.path.dirname(SparkFiles.get(vocabulary)), vocabulary)
         directions = token_directions(encoding)
         for f in frames:
             for a in range(0, len(f), 512):  # long texts in small batches
@@ -131,10 +149,10 @@ def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENI
     shape = f"id {kind}, h bigint, n bigint, " + ", ".join(f"p{d} double" for d in range(DIMS))
     sized = cut(src.withColumn("h", F.xxhash64("t")).select("id", "h", "t").mapInPandas(size, shape).dropDuplicates(["id", "h"]))
     names = [f"p{d}" for d in range(DIMS)]
-    stats = sized.agg(F.count("*").alias("count"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    # rounded, so that the order of a sum doesn't move a document to another cell
+    stats = sized.agg(*[F.round(F.avg(c), 6).alias(f"m_{c}") for c in names], *[F.round(F.stddev_pop(c), 6).alias(f"s_{c}") for c in names]).first()
     mean = np.array([stats[f"m_{c}"] or 0.0 for c in names])
     wide = np.array([stats[f"s_{c}"] or 1.0 for c in names])
-    stretches = max(1, -(-stats["count"] // STRETCH))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -142,9 +160,19 @@ def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENI
             cells = np.minimum(((z + 1) / 2 * 2**BITS).astype(np.int64), 2**BITS - 1)
             yield pd.DataFrame({"id": f["id"], "h": f["h"], "n": f["n"], "curve": hilbert_key(cells, BITS)})
 
-    # the id's hash breaks ties, so that a pile of equal texts is spread over stretches
-    placed = sized.mapInPandas(place, f"id {kind}, h bigint, n bigint, curve bigint").withColumn("tie", F.xxhash64("id"))
-    ordered = placed.repartitionByRange(stretches, "curve", "tie").withColumn("stretch", F.spark_partition_id())
+    # the hash of id and text breaks ties and spreads a pile of equal texts
+    placed = cut(sized.mapInPandas(place, f"id {kind}, h bigint, n bigint, curve bigint").withColumn("tie", F.xxhash64("id", "h")))
+    cell = F.shiftright("curve", DIMS * (BITS - COARSE))
+    counts = {r["c"]: r["k"] for r in placed.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect()}  # at most 32,768 rows
+    first, parts = stretches(counts)
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            c = f["curve"].to_numpy() >> (DIMS * (BITS - COARSE))
+            part = ((f["tie"].to_numpy().view(np.uint64) >> np.uint64(33)).astype(np.int64) * parts[c]) >> 31
+            yield f.assign(stretch=first[c] * 2**16 + part)
+
+    ordered = placed.mapInPandas(assign, f"id {kind}, h bigint, n bigint, curve bigint, tie bigint, stretch bigint")
 
     def fill(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["curve", "tie", "h"], ignore_index=True)
@@ -163,7 +191,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int, folder: str = TOKENI
             "token_start": part * capacity, "n_tokens": np.where(last, rest[doc], capacity),
         })
 
-    # stretches are about STRETCH documents each, by construction of the range partitioning
+    # a stretch has about STRETCH documents, twice that at most but for chance
     return ordered.groupBy("stretch").applyInPandas(fill, f"id {kind}, part int, container bigint, token_start bigint, n_tokens bigint")
 
 

@@ -201,6 +201,17 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), "k", "text", 128).count() == 0
 
 
+def test_containers_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 16)
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randrange(1, 40)) for _ in range(120)] + ["the same again"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    one, two = (sorted(map(tuple, packing.pack(x, "k", "text", 64).collect())) for x in (df.repartition(1), df.repartition(7, "text")))
+    assert one == two
+    first, parts = packing.stretches({3: 10, 5: 5, 6: 40, 9: 1})
+    assert first[[3, 5, 6, 9]].tolist() == [3, 3, 6, 9] and parts[[3, 5, 6, 9]].tolist() == [1, 1, 3, 1]
+
+
 def test_hilbert_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert_key(cells, 3)
