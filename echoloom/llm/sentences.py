@@ -331,7 +331,7 @@ def collection_words(texts: DataFrame) -> DataFrame:
     sentence goes on and a capital inside a sentence.
     """
     marked = F.regexp_replace(F.translate("t", "\u0001\u0002", ""), r"\.(?=\s+[\p{Ll}\d]|[,;:])", "\u0001")
-    marked = F.regexp_replace(marked, r"(?<=[\p{Ll},] )(?=\p{Lu})", "\u0002")
+    marked = F.regexp_replace(marked, r"([\p{Ll},] )(?=\p{Lu})", "$1\u0002")
     each = texts.select(F.explode(F.regexp_extract_all(marked, F.lit("\u0002?\\p{L}(?:[\\p{L}\\p{M}’-]|[.\u0001](?=\\p{L}))*+[.\u0001]?"), F.lit(0))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     bare = F.regexp_replace(F.translate("k", "\u0001\u0002", "."), r"\.$", "")
     w = F.lower(bare)
@@ -352,11 +352,14 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null").distinct()
     known = cut(collection_words(src.select("t").distinct()))
-    # only short words before a period, and what follows them, are ever asked for
-    before = F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}])(\p{L}[\p{L}\p{M}.’-]{0,11})\.(?=\s)"), F.lit(1))
-    after = F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}])\p{L}[\p{L}\p{M}.’-]{0,11}\.\s+[\"'“„«(]*(\p{Lu}[\p{L}\p{M}'’-]*)"), F.lit(1))
-    told = F.regexp_extract_all("t", F.lit(r"[\"'”’“»«‹›」』]\s+(\p{Lu}[\p{L}\p{M}'’-]*)"), F.lit(1))
-    asked = src.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.transform(F.concat(before, after, told), F.lower))).alias("w"))
+    # only short words before a period are ever asked for, and what follows the shortest of them
+    pieces = F.split(F.translate("t", "\n\r\t\u00a0", "    "), r"\. +")
+    clean = lambda w: F.lower(F.translate(w, "\"'“”„«»‹›()[]¿¡…,;:!?", ""))
+    before = F.transform(pieces, lambda x: clean(F.substring_index(x, " ", -1)))
+    after = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: clean(F.substring_index(x, " ", 1)))
+    short = F.filter(before, lambda w: F.char_length(w) <= 12)
+    follows = F.filter(F.zip_with(before, after, lambda w, x: F.when((F.char_length(w) <= 6) | w.contains("."), x)), lambda x: x.isNotNull())
+    asked = src.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.concat(short, follows))).alias("w")).where("w <> ''")
     facts = asked.join(known, "w").groupBy("h").agg(F.collect_set(F.when(F.col("short"), F.col("w"))).alias("short"), F.collect_set(F.when(F.col("ordinary"), F.col("w"))).alias("ordinary"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
