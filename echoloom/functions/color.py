@@ -47,3 +47,18 @@ def cell_span(start: Column, end: Column, chars: Column) -> tuple[Column, Column
 def midpoint_cell(start: Column, end: Column, chars: Column) -> tuple[Column, Column]:
     c = linear_cell(F.floor((start + end) / 2), chars)
     return F.floor(c / GRID).cast("smallint"), (c % GRID).cast("smallint")
+
+
+#: Rendered size in pixels from which a cell shows its clusters one by one instead of their blend.
+DITHER_WIDTH, DITHER_HEIGHT = 100, 200
+
+
+def dithers(width: Column, height: Column) -> Column:
+    return (width >= DITHER_WIDTH) & (height >= DITHER_HEIGHT)
+
+
+def dither_index(row: Column, col: Column, clusters: Column) -> Column:
+    """Which of a cell's clusters (from 0, in order of similarity) a pixel shows: a checkerboard for two, thirds, quadrants,
+    and a scatter for more. Fixed values: the patterns' factors."""
+    scatter = F.when(clusters == 3, (row * 3 + col * 7) % 3).when(clusters == 4, (row % 2) * 2 + col % 2).otherwise((row * 11 + col * 7) % clusters)
+    return F.when(clusters <= 1, F.lit(0)).when(clusters == 2, (row + col) % 2).otherwise(scatter).cast("int")

@@ -71,8 +71,8 @@ def token_ids(text: Column, vocabulary: int = 30521) -> Column:
 
 
 def truncated(text: Column, most: int = 256) -> Column:
-    """The text before its ``most``-th white-space character."""
-    return F.regexp_extract(text, rf"^(?s)((?:\S*+\s){{0,{most - 1}}}+\S*+)", 1)
+    """The text before its ``most``-th character of Unicode white space."""
+    return F.regexp_extract(text, rf"^(?sU)((?:\S*+\s){{0,{most - 1}}}+\S*+)", 1)
 
 
 def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -23,13 +23,6 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a0 < b1) & (b0 < a1)
 
 
-def half_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """The common part is at least half of the shorter interval, in whole percents."""
-    common = F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0))
-    shorter = F.greatest(F.least(a1 - a0, b1 - b0), F.lit(1))
-    return F.floor(common * 100 / shorter) >= 50
-
-
 def as_of(points: DataFrame, marks: DataFrame, key: list[str], at: str, mark: str, value: str) -> DataFrame:
     """Adds to each point the value of the last mark at or before it, or of the first mark if there is none.
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions import color as C
+from echoloom.operators.intervals import as_of
+from echoloom.operators.report import highlight_hue
 
 DEEPEST = 8
 
@@ -21,7 +23,7 @@ def painted_cells(windows: DataFrame, pages: DataFrame, deepest: int = DEEPEST)
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= deepest).select("job_id", "page", "cell", "rank", "cluster_id", "sim", "window_index")
 
 
-def blended_cells(cells: DataFrame, gamma: float = 1.5, threshold: float = 0.75, hidden: list[int] = []) -> DataFrame:
+def blended_cells(cells: DataFrame, gamma: float = 1.5, threshold: float = 0.75, hidden: tuple[int, ...] = ()) -> DataFrame:
     """``job_id, page, cell, r, g, b``: visible clusters' colours weighted by ``sim ** gamma``; cells without are absent."""
     shown = cells.where((F.col("sim") >= threshold) & ~F.col("cluster_id").isin(list(hidden)))
     w = Window.partitionBy("job_id", "page", "cell").orderBy("rank")
@@ -81,3 +83,31 @@ def cell_detail(cells: DataFrame, threshold: float = 0.75) -> DataFrame:
     top = shown.where(F.col("rank") == 1).select("job_id", "page", "cell", "cluster_id", "sim")
     first = shown.groupBy("job_id", "cluster_id", F.col("page").alias("other_page")).agg(F.min("cell").alias("other_cell"))
     return top.join(first, ["job_id", "cluster_id"]).where("page <> other_page")
+
+
+def dithered_cells(cells: DataFrame, width: int, height: int, threshold: float = 0.75) -> DataFrame:
+    """``job_id, page, cell, clusters, pixels``: the clusters shown at or above the threshold, best first, and the cluster of
+    each of ``width`` times ``height`` pixels, row by row."""
+    shown = cells.where(F.col("sim") >= threshold).groupBy("job_id", "page", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cluster_id"))), lambda x: x["cluster_id"]).alias("clusters"))
+    pixel = lambda i: F.get("clusters", C.dither_index(F.floor(i / width).cast("int"), i % width, F.size("clusters")))
+    return shown.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel))
+
+
+def cell_windows(cells: DataFrame, windows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """``job_id, page, cell, cluster_id, sim, n_clusters, text``: each cell's top cluster at or above the threshold and the longest
+    text among that cluster's windows on the page (ties to the first window)."""
+    shown = cells.where(F.col("sim") >= threshold)
+    top = shown.groupBy("job_id", "page", "cell").agg(F.min_by(F.struct("cluster_id", "sim"), "rank").alias("t"), F.count_distinct("cluster_id").alias("n_clusters"))
+    longest = windows.where("text is not null").groupBy("job_id", "page", "cluster_id").agg(F.max_by("text", F.struct(F.octet_length("text"), -F.col("window_index"))).alias("text"))
+    return top.select("job_id", "page", "cell", "t.cluster_id", "t.sim", "n_clusters").join(longest, ["job_id", "page", "cluster_id"], "left")
+
+
+def highlights(spans: DataFrame, pages: DataFrame, hues: DataFrame, key: str = "job_id") -> DataFrame:
+    """``*key, page, start, end, cluster_id, instance_id, role, hue, similarity, text`` of every span of a report.
+
+    The first instance of a cluster is ``canonical``, the others are duplicates. ``hues(*key, cluster_id, reg)`` is the registry's;
+    clusters it doesn't know get one of twelve hues. Reports of several kinds are highlighted together by their union.
+    """
+    on = as_of(spans.select(key, "cluster_id", "instance_id", "start", "end", "similarity", "text"), pages.select(key, "doc_char_start", "page"), [key], "start", "doc_char_start", "page")
+    role = F.when(F.col("instance_id") == 0, "canonical").otherwise("duplicate")
+    return on.join(hues, [key, "cluster_id"], "left").withColumn("role", role).withColumn("hue", highlight_hue(F.col("cluster_id"), F.col("reg"))).drop("reg")

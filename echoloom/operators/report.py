@@ -87,13 +87,6 @@ def expand_to_sentences(text: pd.Series, start: pd.Series, end: pd.Series) -> pd
     return pd.DataFrame([expand(t or "", int(a), int(b)) for t, a, b in zip(text, start, end)], columns=["start", "end"])
 
 
-def clip_to_act(spans: DataFrame, acts: DataFrame, key: list[str]) -> DataFrame:
-    """Cuts each span to the act that holds its start; a span in no act stays as it is."""
-    a = acts.select(*key, F.col("start").alias("act_start"), F.col("end").alias("act_end"))
-    met = containing(spans, a, key, "start", "act_start", "act_end")
-    return met.withColumn("end", F.coalesce(F.least("end", "act_end"), F.col("end"))).drop("act_start", "act_end")
-
-
 def widened(spans: DataFrame, docs: DataFrame, key: list[str], acts: DataFrame | None = None, expand: bool = True) -> DataFrame:
     """Spans cut to the act that holds their start and widened to sentences of that act alone, with their ``text``; empty ones
     are dropped. ``docs(*key, text)``. A span in no act is widened over the whole text."""

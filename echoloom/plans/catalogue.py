@@ -74,7 +74,8 @@ def chapter_break_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_RUN = SQL_WORD.replace(r"\x{1C}-\x{1F}", "")
-SQL_SPACE = f"[{SQL_RUN[2:-2]}]*"
+SQL_SPACE1 = f"[{SQL_RUN[2:-2]}]"
+SQL_SPACE = SQL_SPACE1 + "*"
 
 
 @query(rf"""WITH {DRAFTS}, l AS (SELECT draft_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos, len(string_split(text, chr(10))) AS lines FROM d),
@@ -326,12 +327,16 @@ def best_window_similarity(spark: SparkSession, d: str) -> DataFrame:
     return r.select("job_id", "cluster_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {SPANS}, {PAGES}, f AS (SELECT job_id, arg_min(page, doc_char_start) AS page FROM p GROUP BY 1), x AS (SELECT s.*, p.page AS pg FROM s ASOF LEFT JOIN p ON s.job_id = p.job_id AND s.st >= p.doc_char_start) SELECT x.span_id, x.job_id, coalesce(x.pg, f.page) AS page, x.st AS doc_char_start, x.en AS doc_char_end, x.cluster_id, round((x.cluster_id * CAST(0.6180339887 AS DOUBLE)) % CAST(1 AS DOUBLE), 6) AS hue FROM x LEFT JOIN f USING (job_id)")
+@query(f"""WITH {SPANS}, {PAGES}, g AS (SELECT DISTINCT job_id, cluster_id FROM windows WHERE cluster_id IS NOT NULL AND cluster_id <> -1), o AS (SELECT *, row_number() OVER (PARTITION BY job_id, cluster_id ORDER BY st, span_id) AS rn FROM s),
+f AS (SELECT job_id, arg_min(page, doc_char_start) AS page FROM p GROUP BY 1), x AS (SELECT o.*, p.page AS pg FROM o ASOF LEFT JOIN p ON o.job_id = p.job_id AND o.st >= p.doc_char_start)
+SELECT x.job_id, coalesce(x.pg, f.page) AS page, x.st AS doc_char_start, x.en AS doc_char_end, x.cluster_id, rn - 1 AS instance_id, CASE WHEN rn = 1 THEN 'canonical' ELSE 'duplicate' END AS role, round(CASE WHEN g.job_id IS NOT NULL THEN (x.cluster_id * CAST(0.6180339887 AS DOUBLE)) % CAST(1 AS DOUBLE) ELSE ((x.cluster_id % 12 + 12) % 12) / 12 END, 6) AS hue FROM x LEFT JOIN f USING (job_id) LEFT JOIN g ON g.job_id = x.job_id AND g.cluster_id = x.cluster_id""")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    s = stored.spans(spark, d).select("span_id", "job_id", "start", "end", "cluster_id")
-    on = intervals.as_of(s, stored.pages(spark, d).select("job_id", "doc_char_start", "page"), ["job_id"], "start", "doc_char_start", "page")
-    known = s.select("job_id", "cluster_id").distinct().withColumn("reg", C.hue(F.col("cluster_id")))
-    return on.join(known, ["job_id", "cluster_id"], "left").select("span_id", "job_id", "page", F.col("start").alias("doc_char_start"), F.col("end").alias("doc_char_end"), "cluster_id", F.round(report.highlight_hue(F.col("cluster_id"), F.col("reg")), 6).alias("hue"))
+    """Where the viewer marks the stored spans; clusters that no stored window has get a hue of their own."""
+    s = stored.spans(spark, d)
+    s = s.withColumn("instance_id", F.row_number().over(Window.partitionBy("job_id", "cluster_id").orderBy("start", "span_id")) - 1).withColumn("similarity", F.col("similarity_to_centroid"))
+    known = table(spark, d, "windows").select("job_id", "cluster_id").where("cluster_id is not null and cluster_id <> -1").distinct().withColumn("reg", C.hue(F.col("cluster_id")))
+    h = raster.highlights(s, stored.pages(spark, d), known)
+    return h.select("job_id", "page", F.col("start").alias("doc_char_start"), F.col("end").alias("doc_char_end"), "cluster_id", F.col("instance_id").cast("bigint").alias("instance_id"), "role", F.round("hue", 6).alias("hue"))
 
 
 @query()
@@ -495,6 +500,31 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_key", v.alias("v")).select("doc_key", F.round(V.norm(F.col("v")), 4).alias("norm"), F.size(F.filter("v", lambda x: x > 0)).alias("n_buckets"))
 
 
+SQL_HASHED = rf"""t AS (SELECT draft_id, unnest(regexp_extract_all(text, '{SQL_WORD}')) AS w, unnest(range(len(regexp_extract_all(text, '{SQL_WORD}')))) AS pos FROM d), u AS (SELECT DISTINCT w, encode(w) AS b FROM t),
+x AS (SELECT w, list_reduce(list_prepend(5381::HUGEINT, [('0x' || hex(b)[2 * i - 1:2 * i])::HUGEINT FOR i IN range(1, octet_length(b) + 1)]), lambda h, y: (h * 33 + y) % 18446744073709551616::HUGEINT) AS h FROM u)"""
+
+
+@query(f"WITH {DRAFTS}, {SQL_HASHED} SELECT draft_id AS doc_key, count(*) AS n_tokens, CAST(sum(h % 30521 + 1) AS BIGINT) AS id_sum, CAST(arg_min(h % 30521 + 1, pos) AS INTEGER) AS first_id FROM t JOIN x USING (w) GROUP BY 1")
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudo token ids of every draft that has a word."""
+    ids = _docs(spark, d).select("doc_key", V.token_ids(F.col("text")).alias("k")).where(F.size("k") > 0)
+    return ids.select("doc_key", F.size("k").cast("bigint").alias("n_tokens"), F.aggregate("k", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), F.get("k", F.lit(0)).alias("first_id"))
+
+
+@query(rf"""WITH {DRAFTS}, s AS (SELECT draft_id, text, regexp_extract_all(text, '{SQL_RUN}|{SQL_SPACE1}') AS parts FROM d),
+p AS (SELECT draft_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM s), c AS (SELECT *, sum(CASE WHEN regexp_full_match(part, '{SQL_SPACE1}') THEN 1 ELSE 0 END) OVER (PARTITION BY draft_id ORDER BY pos) AS seen FROM p)
+SELECT d.draft_id AS doc_key, CAST(coalesce(sum(CASE WHEN seen < 256 THEN length(part) END), 0) AS BIGINT) AS n_chars FROM d LEFT JOIN c USING (draft_id) GROUP BY 1""")
+def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Length of what an embedder that reads 256 words gets of each draft."""
+    return _docs(spark, d).select("doc_key", F.char_length(V.truncated(F.col("text"))).cast("bigint").alias("n_chars"))
+
+
+@query("WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM n), l AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1) SELECT vec_id, pos, round(CASE WHEN l > 0 THEN x / l ELSE x END, 6) AS x FROM x JOIN l USING (vec_id)")
+def normalised_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.normalised(F.col("embedding"))).alias("pos", "x"))
+    return v.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+
+
 # --- rasters
 
 
@@ -549,6 +579,24 @@ def cell_detail(spark: SparkSession, d: str) -> DataFrame:
     return c.select("job_id", "page", F.col("cell").cast("bigint").alias("cell"), "cluster_id", F.round("sim", 6).alias("sim"), "other_page", F.col("other_cell").cast("bigint").alias("other_cell"))
 
 
+@query(f"""WITH {SQL_CELLS}, s AS (SELECT * FROM k WHERE sim >= 0.75), t AS (SELECT job_id, page, cell, arg_min(cluster_id, rank) AS cluster_id, arg_min(sim, rank) AS sim, count(DISTINCT cluster_id) AS n_clusters FROM s GROUP BY 1, 2, 3),
+l AS (SELECT job_id, page, cluster_id, arg_max(text, (strlen(text), -window_index)) AS text FROM w WHERE text IS NOT NULL GROUP BY 1, 2, 3)
+SELECT t.job_id, t.page, t.cell, t.cluster_id, round(t.sim, 6) AS sim, t.n_clusters, l.text FROM t LEFT JOIN l ON l.job_id = t.job_id AND l.page = t.page AND l.cluster_id = t.cluster_id""")
+def cell_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = stored.windows(spark, d, "job_id", "window_index", "page", "text", "cluster_id")
+    return raster.cell_windows(_cells(spark, d), w).withColumn("cell", F.col("cell").cast("bigint")).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {SQL_CELLS}, s AS (SELECT *, row_number() OVER (PARTITION BY job_id, page, cell ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY job_id, page, cell) AS n FROM k WHERE sim >= 0.75),
+q AS (SELECT job_id, page, cell, n, unnest(range(24)) AS px FROM (SELECT DISTINCT job_id, page, cell, n FROM s)), y AS (SELECT *, px // 6 AS r, px % 6 AS c FROM q),
+j AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN (r + c) % 2 WHEN n = 3 THEN (r * 3 + c * 7) % 3 WHEN n = 4 THEN (r % 2) * 2 + c % 2 ELSE (r * 11 + c * 7) % n END AS i FROM y)
+SELECT j.job_id, j.page, j.cell, string_agg(CAST(s.cluster_id AS VARCHAR), ',' ORDER BY px) AS pixels FROM j JOIN s ON s.job_id = j.job_id AND s.page = j.page AND s.cell = j.cell AND s.i = j.i GROUP BY 1, 2, 3""")
+def dithered_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell's clusters spread over patches of six by four pixels."""
+    x = raster.dithered_cells(_cells(spark, d), 6, 4)
+    return x.select("job_id", "page", F.col("cell").cast("bigint").alias("cell"), F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
+
+
 @query(f"WITH {WINDOWS}, {PAGES}, m AS (SELECT w.window_id, CASE WHEN char_count > 0 THEN least(CAST(floor(((char_start + char_end) // 2) / char_count * 400) AS INTEGER), 399) ELSE 0 END AS c FROM w JOIN p ON p.job_id = w.job_id AND p.page = w.page) SELECT window_id, CAST(c // 20 AS SMALLINT) AS sub_cell_row, CAST(c % 20 AS SMALLINT) AS sub_cell_col FROM m")
 def midpoint_cells(spark: SparkSession, d: str) -> DataFrame:
     w = stored.windows(spark, d, "job_id", "page", "char_start", "char_end").join(stored.pages(spark, d).select("job_id", "page", "char_count"), ["job_id", "page"])

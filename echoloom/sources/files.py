@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.config import MultiPassConfig
+from echoloom.functions.text import trimmed
+from echoloom.operators.segment import assembled
 
 ACT_NAME = r"chapter_(\d+)_act_(\d+)\.json$"
 REQUEST = """text string, scope_manifest struct<chapter:int, acts:array<struct<act:int, scope_char_start:int, scope_char_end:int, doc_char_start:int, doc_char_end:int,
@@ -19,12 +24,49 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def act_drafts(spark: SparkSession, story: str) -> DataFrame:
-    """``chapter, act, text`` of a story's act drafts; intro and revision files don't match the name. An empty act raises."""
+    """``chapter, act, text`` of a story's act drafts; intro and revision files don't match the name, numbers count from 1. An
+    empty or blank act raises."""
     raw = spark.read.schema("text string").option("multiLine", True).json(f"{story}/drafts/chapter_*_act_*.json")
     name = F.col("_metadata.file_name")
     rows = raw.select(F.regexp_extract(name, ACT_NAME, 1).alias("c"), F.regexp_extract(name, ACT_NAME, 2).alias("a"), "text").where("c <> ''")
-    ok = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.raise_error(F.lit("an act is empty")).cast("string")).otherwise(F.col("text"))
-    return rows.select(F.col("c").cast("int").alias("chapter"), F.col("a").cast("int").alias("act"), ok.alias("text"))
+    ok = F.when(F.coalesce(trimmed(F.col("text")), F.lit("")) == "", F.raise_error(F.lit("an act is empty")).cast("string")).otherwise(F.col("text"))
+    return rows.select(F.col("c").cast("int").alias("chapter"), F.col("a").cast("int").alias("act"), ok.alias("text")).where("chapter > 0 and act > 0")
+
+
+def chapter_source(spark: SparkSession, story: str, chapter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One chapter of a story folder as text with its manifest (``segment.assembled``); a chapter without acts raises."""
+    acts = act_drafts(spark, story).where(F.col("chapter") == chapter)
+    if acts.isEmpty():
+        raise FileNotFoundError(f"chapter {chapter} has no act draft")
+    return assembled(acts, ["chapter"], blank="error")
+
+
+#: Fixed value: pages of a PDF that are read.
+PDF_PAGES = 300
+
+
+def pdf_files(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``doc_key, page, text`` of the first ``PDF_PAGES`` pages of each PDF file.
+
+    ``extract`` gives the texts of a file's pages; without it the library ``pypdf`` is used, which has to be installed on the
+    executors. A file that can't be read raises.
+    """
+
+    def pages(content: bytes) -> list[str]:
+        import io
+
+        from pypdf import PdfReader
+
+        return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages[:PDF_PAGES]]
+
+    read = extract or pages
+
+    @F.pandas_udf("array<string>")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: list(read(bytes(c))))
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    return raw.select(F.col("path").alias("doc_key"), F.posexplode(run("content")).alias("page", "text")).where(F.col("page") < PDF_PAGES).withColumn("page", F.col("page") + 1)
 
 
 def chapter_list(spark: SparkSession, story: str) -> DataFrame:
@@ -34,7 +76,7 @@ def chapter_list(spark: SparkSession, story: str) -> DataFrame:
     if found.isEmpty():
         outline = spark.read.schema("chapters array<struct<chapter_number:int>>").option("multiLine", True).json(f"{story}/story_outline.json")
         found = outline.select(F.explode("chapters.chapter_number").alias("chapter")).where("chapter is not null").distinct()
-    return found.orderBy("chapter")
+    return found.where("chapter > 0").orderBy("chapter")
 
 
 def chapter_fallback(spark: SparkSession, story: str, chapter: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ TABLES = {
     "pages": "job_id string, page int, doc_char_start int, doc_char_end int, char_count int, token_count int, pagination_mode string",
     "job_events": "job_id string, document_path string, document_hash string, settings_hash string, status string, windows_total int, windows_committed int, created_at timestamp, updated_at timestamp",
     "outputs": "job_id string, report string",
+    "settings": "job_id string, settings string",
 }
+#: Where settings of no job in particular are kept.
+GENERAL = "_general"
 
 
 class JobStore:
@@ -57,6 +62,25 @@ class JobStore:
         for name in TABLES:
             drop_path(self.spark, f"{self.path(name)}/job_id={job_id}")
 
+    def ensure_tables(self) -> None:
+        """Writes every table that isn't there yet, empty."""
+        for name, schema in TABLES.items():
+            if self.read(name).isEmpty():
+                self.spark.createDataFrame([], schema).write.mode("append").partitionBy("job_id").parquet(self.path(name))
+
+    def save_settings(self, settings: dict, job_id: str = GENERAL) -> None:
+        """Display settings of a job, or general ones, in place of those kept before."""
+        self.replace_job("settings", self.spark.createDataFrame([(json.dumps(settings), job_id)], "settings string, job_id string"))
+
+    def load_settings(self, defaults: dict, job_id: str = GENERAL) -> dict:
+        """The settings kept, completed by ``defaults``; these alone where none are kept or they can't be read."""
+        row = self.read("settings").where(F.col("job_id") == job_id).select("settings").first()
+        try:
+            kept = json.loads(row["settings"]) if row else {}
+        except (TypeError, json.JSONDecodeError):
+            kept = {}
+        return defaults | (kept if isinstance(kept, dict) else {})
+
     def save_output(self, reports: DataFrame) -> None:
         self.replace_job("outputs", reports.select("report", "job_id"))
 
@@ -68,3 +92,37 @@ def synced_catalog(catalog: DataFrame, jobs: DataFrame) -> DataFrame:
     kept = catalog.join(done, "job_id", "left_semi")
     new = done.join(catalog, "job_id", "left_anti").select("job_id", F.concat(F.lit("window "), F.col("window_size")).alias("name"), F.lit(None).cast("string").alias("alias"))
     return kept.select("job_id", "name", "alias").union(new).join(done, "job_id").orderBy("window_size", "created_at").select("job_id", "name", "alias")
+
+
+def renamed(catalog: DataFrame, job_id: str, name: str) -> DataFrame:
+    """The catalog with another name for one entry; an empty name, one that is taken and an unknown entry raise ``ValueError``."""
+    name = name.strip()
+    if not name:
+        raise ValueError("a result's name can't be empty")
+    rows = catalog.where((F.col("job_id") == job_id) | (F.col("name") == name)).select("job_id", "name").collect()
+    if any(r["name"] == name and r["job_id"] != job_id for r in rows):
+        raise ValueError(f"a result named {name!r} exists already")
+    if not any(r["job_id"] == job_id for r in rows):
+        raise ValueError(f"no result of job {job_id!r}")
+    return catalog.withColumn("name", F.when(F.col("job_id") == job_id, name).otherwise(F.col("name")))
+
+
+def aliased(catalog: DataFrame, job_id: str, alias: str | None) -> DataFrame:
+    """The catalog with another alias for one entry; none or a blank one takes it away."""
+    alias = (alias or "").strip() or None
+    return catalog.withColumn("alias", F.when(F.col("job_id") == job_id, F.lit(alias).cast("string")).otherwise(F.col("alias")))
+
+
+def without(catalog: DataFrame, job_id: str) -> DataFrame:
+    return catalog.where(F.col("job_id") != job_id)
+
+
+def activated(catalog: DataFrame, job_id: str | None) -> DataFrame:
+    """The catalog with ``active`` true for one entry at most; an unknown job makes none active."""
+    return catalog.withColumn("active", F.coalesce(F.col("job_id") == F.lit(job_id), F.lit(False)))
+
+
+def with_page_counts(catalog: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``page_count``, 0 for jobs without pages."""
+    n = pages.select("job_id", "page").distinct().groupBy("job_id").agg(F.count("*").alias("page_count"))
+    return catalog.join(n, "job_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
