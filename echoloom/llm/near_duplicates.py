@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.operators.graph import connected_components
+from echoloom.plans.catalogue import SQL_TOKENS
 from echoloom.runtime import cut, table
 
 WORD = regex.compile(r"[\p{Alphabetic}\p{N}']+")
@@ -277,4 +278,9 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p6_found": f"""WITH d AS (SELECT DISTINCT draft_id, text FROM drafts WHERE draft_id IS NOT NULL AND text IS NOT NULL), t AS (SELECT row_number() OVER () AS u, draft_id, {SQL_TOKENS} AS k FROM d), w AS (SELECT * FROM t WHERE len(k) > 0),
+sh AS (SELECT DISTINCT u, draft_id, array_to_string(k[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(k) - {SHINGLE - 1}, 1) + 1)) AS i FROM w)), n AS (SELECT u, count(*) AS n FROM sh GROUP BY 1),
+c AS (SELECT x.u AS a, y.u AS b, x.draft_id AS p, y.draft_id AS q, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.draft_id < y.draft_id GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT p AS draft_a, q AS draft_b FROM c JOIN n na ON na.u = a JOIN n nb ON nb.u = b WHERE c / (na.n + nb.n - c) >= {THRESHOLD}""",
+}

@@ -212,4 +212,8 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_share": p5_share}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": f"""WITH r AS (SELECT 'draft' AS kind, draft_id AS id, NULL AS owner, text FROM drafts UNION SELECT 'span', span_id, draft_id, text FROM spans), t AS (SELECT DISTINCT kind, id, owner, text FROM r WHERE id IS NOT NULL AND length(text) >= {LENGTH}),
+g AS (SELECT DISTINCT kind, id, owner, hash(substr(text, i, {LENGTH})) AS h FROM (SELECT *, unnest(range(1, length(text) - {LENGTH} + 2)) AS i FROM t))
+SELECT DISTINCT a.id AS draft_id, b.kind AS other_kind, b.id AS other_id FROM g a JOIN g b ON a.h = b.h WHERE a.kind = 'draft' AND CASE WHEN b.kind = 'draft' THEN a.id < b.id ELSE b.owner IS NULL OR b.owner <> a.id END""",
+}

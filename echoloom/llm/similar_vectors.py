@@ -258,4 +258,9 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
-ORACLE: dict[str, str] = {}
+#: Every usable vector against every other, by window; a window with several vectors counts by its best.
+SQL_VECTORS = "v AS (SELECT DISTINCT window_id, CAST(embedding AS FLOAT[384]) AS e FROM windows WHERE window_id IS NOT NULL AND len(embedding) = 384 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)"
+ORACLE = {
+    "p2_found": f"""WITH {SQL_VECTORS}, s AS (SELECT a.window_id AS x, b.window_id AS y, max(array_cosine_similarity(a.e, b.e)) AS c FROM v a JOIN v b ON a.window_id <> b.window_id WHERE array_cosine_similarity(a.e, b.e) >= 0.93 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM s) SELECT DISTINCT least(x, y) AS window_a, greatest(x, y) AS window_b FROM r WHERE r <= 10""",
+}
