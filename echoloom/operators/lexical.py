@@ -87,12 +87,15 @@ def near_pairs(index: DataFrame, fanout: int, share: int = 256) -> DataFrame:
 
     A shingle of more than ``share`` units is met in several parts, so that no task holds a common shingle's pairs.
     """
+    # the join and the count run on longs; the text's key comes back for the few pairs that stay
     parts = F.ceil(F.col("df") / share).cast("int")
-    left = index.select("doc_key", "shingle", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"))
-    right = index.select("doc_key", "shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"))
-    hits = left.join(right, ["doc_key", "shingle", "part"]).where("a < b").groupBy("doc_key", "a", "b").agg(F.count("*").alias("hits"))
-    w = Window.partitionBy("doc_key", "a").orderBy(F.desc("hits"), "b")
-    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fanout).drop("r")
+    own = index.select(F.xxhash64("doc_key", "shingle").alias("k"), F.xxhash64("doc_key").alias("d"), "id", parts.alias("parts"))
+    left = own.select("k", "d", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
+    right = own.select("k", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+    hits = left.join(right, ["k", "d", "part"]).where("a < b").groupBy("d", "a", "b").agg(F.count("*").alias("hits"))
+    w = Window.partitionBy("d", "a").orderBy(F.desc("hits"), "b")
+    best = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fanout)
+    return best.join(index.select("doc_key").distinct().withColumn("d", F.xxhash64("doc_key")), "d").select("doc_key", "a", "b", "hits")
 
 
 def jaccard(a: Column, b: Column) -> Column:
