@@ -2,9 +2,10 @@
 
 The test items, a fixed and small table whose size is checked, form a BM25 inverted index over their
 words; documents are cut into overlapping passages and every passage is a query. The index is walked
-with block-max WAND: a passage's upper bound is the sum of its terms' largest impacts, taken per block of
-items; passages and blocks that can't reach an item's threshold are dropped before any item is scored,
-and all items above the threshold are returned. Each is verified by aligning the item's words, in order,
+with block-max WAND's bounds: a passage's upper bound is the sum of its terms' largest impacts, then the same per
+block of items; passages and blocks that can't reach an item's threshold are dropped before any item is scored,
+and all items above the threshold are returned. As the bounds are sums over whole passages at once, no pivot has to
+move along the lists. Each is verified by aligning the item's words, in order,
 with the document around the passage.
 
 Words are folded before they are compared: wrong encodings are undone where possible, case, accents,
@@ -16,17 +17,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Container, Iterator
 from functools import lru_cache
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.runtime import table
+from echoloom.runtime import cut, table
 
 #: Timing lines of either cue format, cue numbers on a line of their own, the format's header, markup.
 NOISE = re.compile(r"^[ \t]*(?:[0-9:.,]+[ \t]*-+>[^\n]*|[0-9]+|WEBVTT[^\n]*)[ \t\r]*$|<[^<>\n]{0,60}>|\{[^{}\n]{0,60}\}|&[a-z]{2,6};", re.M)
@@ -105,49 +107,82 @@ def words(text: str) -> list[str]:
     return WORD.findall(fold(PUT_IN.sub(" ", text)))
 
 
+class Collection(NamedTuple):
+    """What BM25 needs to know of all items, however they are cut into groups: their number, mean length in words, and in how
+    many of them each word stands."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, listed: list[list[str]]) -> Collection:
+        df: Counter = Counter()
+        for w in listed:
+            df.update(set(w))
+        return cls(len(listed), sum(map(len, listed)) / max(len(listed), 1), dict(df))
+
+
+class Postings:
+    """Lists of ``(place, value)`` by term, one after the other; the largest value per term and run of ``width`` places with ``blocks``."""
+
+    def __init__(self, term: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int) -> None:
+        order = np.lexsort((place, term))
+        self.place, self.value = place[order], value[order]
+        self.begin = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def blocks(self, width: int) -> Postings:
+        terms = len(self.begin) - 1
+        term, block = np.repeat(np.arange(terms), np.diff(self.begin)), self.place // width
+        new = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
+        return Postings(term[new], block[new], np.maximum.reduceat(self.value, new) if len(new) else self.value, terms)
+
+    def sums(self, terms: np.ndarray, places: int, keep: np.ndarray | None = None, width: int = 1) -> np.ndarray:
+        """Sum of the values of ``terms`` at every place, of those whose block ``keep`` holds."""
+        first, last = self.begin[terms], self.begin[terms + 1]
+        n = last - first
+        till = n.cumsum()
+        at = (first - till + n).repeat(n) + np.arange(till[-1])
+        place, value = self.place[at], self.value[at]
+        if keep is not None:
+            ok = keep[place // width]
+            place, value = place[ok], value[ok]
+        return np.bincount(place, value, places)
+
+
 class ItemIndex:
-    """BM25 inverted index of the items, in blocks of ``BLOCK`` items of similar length."""
+    """BM25 inverted index of the items, sorted by length: postings with block maxima over runs of ``BLOCK`` items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], collection: Collection | None = None) -> None:
         listed = [(i, w) for i, t in items if t for w in [words(t)] if w]
         listed.sort(key=lambda x: (len(x[1]), x[0]))
         self.ids, self.words = [i for i, _ in listed], [w for _, w in listed]
-        n = len(listed)
-        length = np.array([len(w) for w in self.words], float)
-        df: dict[str, int] = defaultdict(int)
-        for w in self.words:
-            for t in set(w):
-                df[t] += 1
-        rare = {t: d for t, d in df.items() if d <= max(3, MOST_ITEMS * n)}
+        known = collection or Collection.of(self.words)
+        rare = lambda t: known.df[t] <= max(3, MOST_ITEMS * known.n)
         # an item of common words alone keeps them all
-        plain = {t for w in self.words if not any(x in rare for x in w) for t in w}
-        df = {t: d for t, d in df.items() if t in rare or t in plain}
-        self.term = {t: k for k, t in enumerate(df)}
-        idf = np.array([np.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.values()])
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1.0)) if n else length
-        blocks = -(-n // BLOCK)
-        self.impact = np.zeros((len(df), n), np.float32)
-        for j, w in enumerate(self.words):
-            for t in set(w) & df.keys():
-                k, f = self.term[t], w.count(t)
-                self.impact[k, j] = idf[k] * f * (K1 + 1) / (f + norm[j])
-        self.items = [Item(w, self.term) for w in self.words]
-        self.need = LEAST_SCORE * self.impact.sum(0)
-        pad = np.zeros((len(df), blocks * BLOCK - n), np.float32)
-        self.block_max = np.concatenate([self.impact, pad], 1).reshape(len(df), blocks, BLOCK).max(2) if n else pad
-        self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
+        kept = [{t: c for t, c in own.items() if rare(t)} or own for own in map(Counter, self.words)]
+        self.term = {t: k for k, t in enumerate(sorted({t for own in kept for t in own}))}
+        rows = [(self.term[t], j, c, known.df[t]) for j, own in enumerate(kept) for t, c in own.items()]
+        term, item, count, df = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
+        length = np.array([len(w) for w in self.words], float)
+        norm = K1 * (1 - B + B * length / max(known.mean, 1.0))
+        value = np.log(1 + (known.n - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + norm[item])
+        n = len(listed)
+        self.postings = Postings(term, item, value, len(self.term))
+        self.maxima = self.postings.blocks(BLOCK)
+        self.items = [Item(w, own) for w, own in zip(self.words, kept)]
+        self.need = LEAST_SCORE * np.bincount(item, value, n)
+        self.block_need = np.minimum.reduceat(self.need, np.arange(0, n, BLOCK)) if n else np.zeros(0)
         self.least = self.block_need.min() if n else 0.0
-        self.term_max = self.impact.max(1) if n else np.zeros(0)
+        self.term_max = np.maximum.reduceat(self.postings.value, self.postings.begin[:-1]) if rows else np.zeros(0)
 
     def search(self, terms: np.ndarray) -> np.ndarray:
         """Items whose score over the distinct ``terms`` reaches their need; blocks are skipped by their bounds."""
-        bound = self.block_max[terms].sum(0)
-        hits = []
-        for b in np.flatnonzero(bound >= self.block_need):
-            own = slice(b * BLOCK, (b + 1) * BLOCK)
-            score = self.impact[terms, own].sum(0)
-            hits.append(b * BLOCK + np.flatnonzero(score >= self.need[own]))
-        return np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        keep = self.maxima.sums(terms, len(self.block_need)) >= self.block_need
+        if not keep.any():
+            return np.zeros(0, np.int64)
+        score = self.postings.sums(terms, len(self.ids), keep, BLOCK)
+        return np.flatnonzero((score >= self.need) & (score > 0))
 
 
 @lru_cache(1 << 16)
@@ -378,14 +413,27 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_
     listed = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     src = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("t")).where("doc is not null and t is not null")
     kinds = src.schema["doc"].dataType.simpleString(), listed.schema["i"].dataType.simpleString()
-    groups = max(1, -(-listed.count() // INDEX_ITEMS))
+
+    def distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            each = [(i, words(t)) for i, t in zip(f["i"], f["t"])]
+            rows = [(i, w, len(own)) for i, own in each if own for w in set(own)]
+            yield pd.DataFrame(rows, columns=["i", "w", "n"])
+
+    # counted once over all items, so that groups don't change a score
+    held = cut(listed.withColumn("g", F.xxhash64("i", "t")).select(F.col("g").alias("i"), "t").mapInPandas(distinct_words, "i bigint, w string, n int"))
+    df = cut(held.groupBy("w").agg(F.count("*").alias("df")))
+    size = held.select("i", "n").distinct().agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+    groups = max(1, -(-size["n"] // INDEX_ITEMS))
+    own = lambda g, c: F.pmod(c, F.lit(groups)) == g
     spark, result = docs.sparkSession, None
     for g in range(groups):
-        part = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(groups)) == g).collect()]
-        shared = spark.sparkContext.broadcast(sorted(part))
+        part = sorted(tuple(r) for r in listed.where(own(g, F.xxhash64("i", "t"))).collect())
+        counts = {r["w"]: r["df"] for r in held.where(own(g, F.col("i"))).select("w").distinct().join(df, "w").collect()}
+        shared = spark.sparkContext.broadcast((part, Collection(size["n"], size["mean"] or 0.0, counts)))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value)
+            index = ItemIndex(*shared.value)
             for f in frames:
                 f = f.reset_index(drop=True)
                 hits = scan(f["t"].tolist(), index)

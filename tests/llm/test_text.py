@@ -247,6 +247,29 @@ def test_leaks(spark):
     assert leakage.leaked(df, items.limit(0), "k", "text", "i", "t").count() == 0
 
 
+def test_groups_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [prose(rng, 50) for _ in range(30)]
+    docs_ = spark.createDataFrame([(k, prose(rng, 40) + " " + t + " " + prose(rng, 60)) for k, t in enumerate(texts)] + [(99, texts[3][: len(texts[3]) // 2])], "k bigint, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    one = sorted(map(tuple, leakage.leaked(docs_, items, "k", "text", "i", "t").collect()))
+    monkeypatch.setattr(leakage, "INDEX_ITEMS", 7)
+    assert sorted(map(tuple, leakage.leaked(docs_, items, "k", "text", "i", "t").collect())) == one and len(one) >= 30
+
+
+def test_bounds_drop_no_item():
+    rng = random.Random(11)
+    index = leakage.ItemIndex([(i, prose(rng, rng.randrange(20, 90))) for i in range(70)])
+    table_ = np.zeros((len(index.term), len(index.ids)))
+    for k in range(len(index.term)):
+        a, b = index.postings.begin[k : k + 2]
+        table_[k, index.postings.place[a:b]] = index.postings.value[a:b]
+    assert np.allclose(index.term_max, table_.max(1)) and np.allclose(index.need, leakage.LEAST_SCORE * table_.sum(0))
+    for _ in range(40):
+        terms = np.unique(np.array(rng.sample(range(len(index.term)), min(12, len(index.term)))))
+        assert index.search(terms).tolist() == np.flatnonzero(table_[terms].sum(0) >= index.need).tolist()
+
+
 def test_leak_with_cues_put_in_between():
     rng = random.Random(9)
     w = ITEM.split()
