@@ -230,19 +230,94 @@ def nearest_vectors(df: DataFrame, key: str, embedding: str, dim: int, k: int =
     known = cut(sketches(src.select("cid", "embedding"), dim, tables).dropDuplicates(["cid"]))
     pairs = cut(candidate_pairs(known, min_cosine))
     close = cut(exact_cosines(src, pairs, min_cosine))
-    # of a class of equal vectors, k + 1 members are enough for anyone's k nearest under the tie rule
-    place = Window.partitionBy("cid").orderBy("id")
-    shared = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid")
     usable_cids = known.select("cid")
-    top = members.join(usable_cids, "cid", "left_semi").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).select("cid", F.col("id").alias("neighbour"))
+    shared = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid")
     copies = shared.join(usable_cids, "cid", "left_semi").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("cosine"))
     links = close.union(close.select("b", "a", "cosine")).union(copies)
+    return _ranked(links, members, members.join(usable_cids, "cid", "left_semi"), k)
+
+
+def _ranked(links: DataFrame, members: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """``id, neighbour, cosine, rank`` from ``links(a, b, cosine)`` between classes of equal vectors: ``members`` of ``a`` get the
+    ``k`` most similar of ``others`` in ``b``, ties to the smaller id."""
+    # of a class of equal vectors, k + 1 members are enough for anyone's k nearest under the tie rule
+    place = Window.partitionBy("cid").orderBy("id")
+    top = others.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).select("cid", F.col("id").alias("neighbour"))
     met = links.join(members.withColumnRenamed("cid", "a"), "a").join(top.withColumnRenamed("cid", "b"), "b").where("id <> neighbour")
     best = met.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Query vectors held at once by every task (25 MB at 384 values), and vectors compared with them at once.
+HELD, STRIP = 16_384, 512
+
+
+def nearest_of_queries(df: DataFrame, key: str, embedding: str, dim: int, k: int = 10, every: int = 20) -> DataFrame:
+    """``id, neighbour, cosine, rank``: the ``k`` most similar other ids of a stated query set, however dissimilar, without loss.
+
+    The query set is every id whose hash is divisible by ``every``. Queries are compared with all vectors in blocks of
+    ``HELD``; each task keeps the ``k`` best of each query. Nulls, repeated rows and ties are handled as by ``nearest_vectors``;
+    an id has fewer than ``k`` rows only where there are no more vectors.
+    """
+    src = df.select(F.col(key).alias("id"), F.col(embedding).alias("embedding")).where(F.col("id").isNotNull() & usable("embedding", dim)).withColumn("cid", F.xxhash64("embedding"))
+
+    def scale(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x, ok = unit_rows(f["embedding"])
+                yield pd.DataFrame({"id": f["id"][ok], "cid": f["cid"][ok], "v": [r.tobytes() for r in x[ok]]})
+
+    kind = src.schema["id"].dataType.simpleString()
+    asked = cut(src.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInPandas(scale, f"id {kind}, cid bigint, v binary"))
+    blocks = max(1, -(-asked.select("cid").distinct().count() // HELD))
+    own = asked.dropDuplicates(["cid"]).select("cid", "v").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(blocks)))
+    own, spark, found = cut(own), df.sparkSession, None
+    for b in range(blocks):
+        held = own.where(F.col("block") == b).select("cid", "v").collect()
+        shared = spark.sparkContext.broadcast((np.array([r["cid"] for r in held], np.int64), b"".join(r["v"] for r in held)))
+        del held
+
+        def compare(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            queries, v = shared.value
+            q = np.frombuffer(v, np.float32).reshape(-1, dim)
+            best, who = np.full((len(q), k), -2.0, np.float32), np.zeros((len(q), k), np.int64)
+            for f in frames:
+                f = f[~f["cid"].duplicated().to_numpy()]
+                if not len(f) or not len(q):
+                    continue
+                x, ok = unit_rows(f["embedding"])
+                x, cid = x[ok], f["cid"].to_numpy()[ok]
+                for a in range(0, len(x), STRIP):
+                    s, theirs = q @ x[a : a + STRIP].T, cid[a : a + STRIP]
+                    i, j = np.nonzero(s > best[:, -1:])
+                    if not len(i):
+                        continue
+                    fresh = (queries[i] != theirs[j]) & ~(who[i] == theirs[j][:, None]).any(1)  # copies across batches count once
+                    i, j = i[fresh], j[fresh]
+                    order = np.lexsort((-s[i, j], i))
+                    i, j = i[order], j[order]
+                    at = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, at = i[at < k], j[at < k], at[at < k]
+                    rows, place = np.unique(i, return_inverse=True)
+                    more, names = np.full((len(rows), k), -2.0, np.float32), np.zeros((len(rows), k), np.int64)
+                    more[place, at], names[place, at] = s[i, j], theirs[j]
+                    both, ids = np.concatenate([best[rows], more], 1), np.concatenate([who[rows], names], 1)
+                    top = np.argsort(-both, 1, kind="stable")[:, :k]
+                    best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+            i, j = np.nonzero(best > -2)
+            yield pd.DataFrame({"a": queries[i], "b": who[i, j], "cosine": np.minimum(best[i, j].astype(float), 1.0)})
+
+        one = src.select("cid", "embedding").mapInPandas(compare, "a bigint, b bigint, cosine double")
+        order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+        one = cut(one.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b", "cosine"))
+        shared.destroy()
+        found = one if found is None else found.union(one)
+    asking, all_ = cut(asked.select("id", "cid").distinct()), cut(src.select("id", "cid").distinct())
+    same = asking.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("cosine")).distinct()
+    return _ranked(found.union(same), asking, all_, k)
+
+
 DIM, K, MIN_COSINE = 384, 10, 0.93
 
 
@@ -257,7 +332,13 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("window_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar windows of one window in twenty, however dissimilar: the exact answer to measure the others by."""
+    near = nearest_of_queries(table(spark, sf_dir, "windows"), "window_id", "embedding", DIM, K)
+    return near.select(F.col("id").alias("window_id"), "neighbour", F.round("cosine", 4).alias("cosine"), "rank")
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_nearest": p2_nearest}
 #: Every usable vector against every other, by window; a window with several vectors counts by its best.
 SQL_VECTORS = "v AS (SELECT DISTINCT window_id, CAST(embedding AS FLOAT[384]) AS e FROM windows WHERE window_id IS NOT NULL AND len(embedding) = 384 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)"
 ORACLE = {
