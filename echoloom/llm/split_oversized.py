@@ -128,7 +128,9 @@ def split_oversized(df: DataFrame, key: list[str], text: str, unit: str, limit:
             ]
             yield pd.DataFrame(rows, columns=[*names, "piece_no", "n_pieces", "piece_start", "piece_end", "piece_size", "piece_text"])
 
-    over = sized.where(F.col("__n") > limit).drop("__n").distinct()
+    # few bytes but much work a row: spread over all tasks instead of as many as the bytes ask for
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    over = sized.where(F.col("__n") > limit).drop("__n").distinct().repartition(parts, *names)
     shape = f"{kinds}, piece_no int, n_pieces int, piece_start int, piece_end int, piece_size int, piece_text string"
     cutup = over.mapInPandas(cut, shape)
     whole = sized.where(F.col("__n") <= limit).distinct().select(
