@@ -238,6 +238,7 @@ def subphrase_links(windows: DataFrame, floor: float = SUBPHRASE_FLOOR) -> DataF
     whatever their case and surrounding white space, in a text of the other on the same page; blank texts stand in
     none. Of two equally long clusters the earlier one takes in the later. Ids then follow the first window's order.
     """
+    windows = windows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))  # windows without a label are noise
     cents = centroids(windows, ["job_id", "cluster_id"])
     pairs = centroid_pairs(cents, "job_id", floor)
     length = windows.where("cluster_id <> -1").groupBy("job_id", "cluster_id").agg(F.avg(F.octet_length("text")).alias("len"))

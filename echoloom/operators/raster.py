@@ -55,7 +55,8 @@ def canvases(cells: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def encoded(canvas: DataFrame) -> DataFrame:
-    return canvas.select("job_id", "page", F.base64("rgba").alias("rgba_base64"))
+    # Spark's encoder breaks lines, the payload's format has none
+    return canvas.select("job_id", "page", F.translate(F.base64("rgba"), "\r\n", "").alias("rgba_base64"))
 
 
 def selected(frame: DataFrame, pages: DataFrame) -> DataFrame:

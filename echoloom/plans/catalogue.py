@@ -358,7 +358,19 @@ def sentence_indexes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("span_id", report.sentence_index("text", "start").alias("sentence_index"))
 
 
-@query()
+def _sql_expanded(source: str, *keys: str) -> str:
+    """CTEs that end in ``xx(*keys, text, a, b)``: the spans ``st, en`` of ``source(*keys, text, st, en)`` widened to sentences."""
+    k = ", ".join(keys)
+    return rf"""x0 AS (SELECT {k}, text, CAST(length(text) AS BIGINT) AS n, CAST(least(st, length(text)) AS BIGINT) AS st, CAST(greatest(least(st, length(text)), least(en, length(text))) AS BIGINT) AS en FROM {source}),
+x1 AS (SELECT *, reverse(substr(text, 1, st)) AS pre, CASE WHEN en > st THEN en - 1 ELSE en END AS anchor FROM x0),
+x2 AS (SELECT *, CASE WHEN instr(pre, chr(10) || chr(10)) > 0 THEN st - instr(pre, chr(10) || chr(10)) - 1 ELSE -1 END AS para, st - length(regexp_extract(pre, '^[^.!?]*')) - 1 AS stop, regexp_extract(substr(text, anchor + 1), '(?s)^.*?[.!?]({SQL_GAP}|$)') AS found, instr(substr(text, en + 1), chr(10) || chr(10)) AS gap FROM x1),
+x3 AS (SELECT *, CASE WHEN para >= 0 AND para + 2 < st THEN para + 2 ELSE stop + 1 END AS lead FROM x2),
+x4 AS (SELECT *, lead + length(regexp_extract(substr(text, lead + 1), '^{SQL_GAP}*')) AS skipped FROM x3),
+xx AS (SELECT {k}, text, CASE WHEN n = 0 OR st = 0 THEN 0 WHEN para >= 0 AND para + 2 < st THEN skipped WHEN stop >= 0 THEN least(skipped, st) ELSE 0 END AS a,
+CASE WHEN en >= n THEN n WHEN anchor > 0 AND substr(text, anchor + 1, 1) IN ('.', '!', '?') THEN anchor + 1 WHEN gap > 0 THEN en + gap - 1 WHEN found <> '' THEN anchor + length(found) - CASE WHEN regexp_matches(found, '{SQL_GAP}$') THEN 1 ELSE 0 END ELSE n END AS b FROM x4)"""
+
+
+@query(f"WITH {SPANS}, {DRAFTS}, q AS (SELECT s.span_id, d.text, s.st, s.en FROM s JOIN d USING (draft_id)), {_sql_expanded('q', 'span_id')} SELECT span_id, CAST(a AS INTEGER) AS span_start, CAST(b AS INTEGER) AS span_end FROM xx")
 def expanded_spans(spark: SparkSession, d: str) -> DataFrame:
     s = stored.spans(spark, d).select("span_id", "draft_id", "start", "end").join(_docs(spark, d).withColumnRenamed("doc_key", "draft_id"), "draft_id")
     return s.select("span_id", report.expand_to_sentences("text", "start", "end").alias("x")).select("span_id", F.col("x.start").alias("span_start"), F.col("x.end").alias("span_end"))
@@ -486,7 +498,15 @@ def hdbscan(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_jobs(_job_vectors(spark, d), AnalysisParams(100, 50))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {SQL_REGISTRY}, ce AS (SELECT job_id, cluster_id, list(m ORDER BY pos) AS c FROM m JOIN nz USING (job_id, cluster_id) GROUP BY 1, 2), le AS (SELECT job_id, cluster_id, avg(strlen(text)) AS len FROM w WHERE cluster_id <> -1 GROUP BY 1, 2),
+sd AS (SELECT a.job_id, CASE WHEN la.len < lb.len THEN a.cluster_id ELSE b.cluster_id END AS child, CASE WHEN la.len < lb.len THEN b.cluster_id ELSE a.cluster_id END AS parent FROM ce a JOIN ce b ON a.job_id = b.job_id AND a.cluster_id < b.cluster_id JOIN le la ON la.job_id = a.job_id AND la.cluster_id = a.cluster_id JOIN le lb ON lb.job_id = b.job_id AND lb.cluster_id = b.cluster_id WHERE list_cosine_similarity(a.c, b.c) >= 0.85),
+tx AS (SELECT job_id, window_index, cluster_id, page, lower(text) AS t, regexp_replace(lower(text), '^[	- ]+|[	- ]+$', '', 'g') AS k FROM w),
+hi AS (SELECT sd.job_id, child, parent, c.window_index, coalesce(max(CASE WHEN c.k <> '' AND contains(p.t, c.k) THEN 1 ELSE 0 END), 0) AS hit FROM sd JOIN tx c ON c.job_id = sd.job_id AND c.cluster_id = child LEFT JOIN tx p ON p.job_id = sd.job_id AND p.cluster_id = parent AND p.page = c.page GROUP BY 1, 2, 3, 4),
+su AS (SELECT job_id, child, parent FROM hi GROUP BY 1, 2, 3 HAVING avg(hit) >= 0.5), ed AS (SELECT job_id, child AS a, parent AS b FROM su UNION SELECT job_id, parent, child FROM su),
+re AS (SELECT job_id, a, a AS b FROM ed UNION SELECT re.job_id, re.a, ed.b FROM re JOIN ed ON ed.job_id = re.job_id AND ed.a = re.b), ro AS (SELECT job_id, a AS cluster_id, min(b) AS root FROM re GROUP BY 1, 2),
+za AS (SELECT w.job_id, w.window_index, CASE WHEN coalesce(w.cluster_id, -1) = -1 THEN -1 ELSE coalesce(ro.root, w.cluster_id) END AS root FROM w LEFT JOIN ro ON ro.job_id = w.job_id AND ro.cluster_id = w.cluster_id),
+fi AS (SELECT job_id, root, dense_rank() OVER (PARTITION BY job_id ORDER BY min(window_index)) - 1 AS no FROM za WHERE root <> -1 GROUP BY job_id, root)
+SELECT za.job_id, za.window_index, CAST(coalesce(fi.no, -1) AS INTEGER) AS cluster_id FROM za LEFT JOIN fi ON fi.job_id = za.job_id AND fi.root = za.root""")
 def linked_subphrases(spark: SparkSession, d: str) -> DataFrame:
     return clusters.subphrase_links(stored.windows(spark, d, "job_id", "window_index", "page", "text", "cluster_id", "embedding"))
 
@@ -558,7 +578,9 @@ def subcell_blend(spark: SparkSession, d: str) -> DataFrame:
     return raster.blended_cells(_cells(spark, d)).withColumn("cell", F.col("cell").cast("bigint"))
 
 
-@query()
+@query(f"""WITH {SQL_BLEND}, u AS (SELECT job_id, page, cell, {_srgb('r')}, {_srgb('g')}, {_srgb('b')} FROM t), q AS (SELECT DISTINCT job_id, page FROM p), y AS (SELECT job_id, page, unnest(range(400)) AS cell FROM q),
+j AS (SELECT y.job_id, y.page, y.cell, CASE WHEN u.cell IS NULL THEN '22222AFF' ELSE printf('%02X%02X%02XFF', u.r, u.g, u.b) END AS px FROM y LEFT JOIN u ON u.job_id = y.job_id AND u.page = y.page AND u.cell = y.cell)
+SELECT job_id, page, base64(from_hex(string_agg(px, '' ORDER BY cell))) AS rgba_base64 FROM j GROUP BY 1, 2""")
 def page_canvases(spark: SparkSession, d: str) -> DataFrame:
     return raster.encoded(raster.canvases(raster.blended_cells(_cells(spark, d)), stored.pages(spark, d)))
 
@@ -694,13 +716,20 @@ def embedding_report(spark: SparkSession, d: str) -> DataFrame:
     return contract.embedding_instances(_docs(spark, d), AnalysisParams(20, 10, enable_hdbscan=False)).select("doc_key", "cluster_id", "instance_id", "start", "end", "members", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+@query(rf"""WITH {SQL_REGISTRY}, {PAGES}, dt AS (SELECT job_id, string_agg(text, '' ORDER BY page) AS text FROM p GROUP BY 1),
+wi AS (SELECT r.job_id, r.cluster_id, w.doc_char_start AS st, w.doc_char_start + length(w.text) AS en, CASE WHEN len(w.embedding) > 0 THEN r.sim ELSE 0 END AS sim FROM r JOIN w ON w.job_id = r.job_id AND w.window_index = r.window_index WHERE w.text IS NOT NULL),
+wf AS (SELECT *, CASE WHEN st >= max(en) OVER (PARTITION BY job_id, cluster_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY job_id, cluster_id ORDER BY st, en) = 1 THEN 1 ELSE 0 END AS nw FROM wi),
+wg AS (SELECT *, sum(nw) OVER (PARTITION BY job_id, cluster_id ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS isle FROM wf),
+wm AS (SELECT job_id, cluster_id, min(st) AS st, max(en) AS en, count(*) AS members FROM wg GROUP BY job_id, cluster_id, isle), wx AS (SELECT wm.*, dt.text FROM wm JOIN dt USING (job_id)),
+{_sql_expanded('wx', 'job_id', 'cluster_id', 'members')}, sp AS (SELECT * FROM xx WHERE b > a),
+bs AS (SELECT job_id, cluster_id, a, b, coalesce(max(sim), 0) AS sim FROM (SELECT DISTINCT job_id, cluster_id, a, b FROM sp) LEFT JOIN wi USING (job_id, cluster_id) WHERE st < b AND a < en GROUP BY 1, 2, 3, 4)
+SELECT sp.job_id, sp.cluster_id, CAST(row_number() OVER (PARTITION BY sp.job_id, sp.cluster_id ORDER BY sp.a, sp.b) - 1 AS INTEGER) AS instance_id, CAST(sp.a AS INTEGER) AS span_start, CAST(sp.b AS INTEGER) AS span_end, sp.members, round(coalesce(bs.sim, 0), 6) AS similarity FROM sp LEFT JOIN bs ON bs.job_id = sp.job_id AND bs.cluster_id = sp.cluster_id AND bs.a = sp.a AND bs.b = sp.b""")
 def stored_report(spark: SparkSession, d: str) -> DataFrame:
     """The spans of all stored jobs, from their windows and pages."""
     from echoloom.operators import contract
 
     w = stored.windows(spark, d, "job_id", "window_index", "doc_char_start", "text", "cluster_id", "embedding")
-    return contract.stored_report(w, stored.pages(spark, d)).select("job_id", "cluster_id", "instance_id", "start", "end", "members", F.round("similarity", 6).alias("similarity"))
+    return contract.stored_report(w, stored.pages(spark, d)).select("job_id", "cluster_id", "instance_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "members", F.round("similarity", 6).alias("similarity"))
 
 
 @query()

@@ -42,13 +42,9 @@ HOLDS = {
     "lcs_score": "a < b and score between 0 and 1",
     "lexical_report": "end > start and score > 0 and word_count > 0 and instance_id >= 0",
     "merge_passes": "n_spans >= 1 and n_passes >= 1 and representative is not null",
-    "expanded_spans": "span_start >= 0 and span_end >= span_start",
     "leader_clusters": "hdbscan_label = -1 and cluster_id >= -1",
     "hdbscan": "hdbscan_label >= -1 and (cluster_id >= 0 or hdbscan_label = -1)",
-    "linked_subphrases": "cluster_id is null or cluster_id >= -1",
-    "page_canvases": "length(unbase64(rgba_base64)) = 1600",
     "embedding_report": "end > start and members >= 1 and similarity > 0.5",
-    "stored_report": "end > start and members >= 1 and similarity between -1 and 1",
     "multi_pass_report": "size(from_json(report, 'passes array<struct<pass_label:string>>').passes) = 5",
     "page_payloads": "get_json_object(payload, '$.char_count') is not null",
 }
