@@ -322,6 +322,8 @@ def _closes(par: str, i: int, quoted: list[tuple[int, int]]) -> bool:
 #: the sentence goes on, times as many as it stands plainly; times in small letters before a word is ordinary, and times as
 #: many as it stands capitalised inside a sentence.
 DOTTED, GOING_ON, RATHER, IN_SMALL, RATHER_SMALL = 5, 0.25, 6, 5, 4
+#: Letters of an abbreviation that the collection makes known, and words up to which its knowledge is broadcast (some 10 MB).
+SHORT, BROADCAST_WORDS = 12, 500_000
 
 
 def collection_words(texts: DataFrame) -> DataFrame:
@@ -338,7 +340,7 @@ def collection_words(texts: DataFrame) -> DataFrame:
     dotted = F.col("k").rlike("[.\u0001]$") | w.contains(".")
     count = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
     words = each.groupBy(w.alias("w")).agg(count(dotted, "dotted"), count(~dotted, "plain"), count(F.col("k").endswith("\u0001"), "going"), count(~dotted & (bare == w), "small"), count(F.col("k").startswith("\u0002"), "inner"))
-    short = (F.col("dotted") >= DOTTED) & (F.col("going") >= GOING_ON * F.col("dotted")) & (F.col("dotted") >= RATHER * F.col("plain"))
+    short = (F.char_length("w") <= SHORT) & (F.col("dotted") >= DOTTED) & (F.col("going") >= GOING_ON * F.col("dotted")) & (F.col("dotted") >= RATHER * F.col("plain"))
     ordinary = (F.col("small") >= IN_SMALL) & (F.col("small") >= RATHER_SMALL * F.col("inner"))
     return words.select("w", short.alias("short"), ordinary.alias("ordinary")).where("short or ordinary")
 
@@ -347,30 +349,31 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, sentence_index, sent_start, sent_end`` in code points, ``sentence_index`` from 0.
 
     Null, empty and blank texts have no sentences; repeated rows count once, a key with several texts has the
-    sentences of each. Other columns are ignored. What the collection knows of a text's words before periods and of
-    the words after them is joined to the text, whatever the size of the vocabulary.
+    sentences of each. Other columns are ignored. What the collection knows of its words is broadcast while these are at
+    most ``BROADCAST_WORDS``; beyond that each text is joined with what is known of the words it can ask for.
     """
     src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null").distinct()
     known = cut(collection_words(src.select("t").distinct()))
-    # only short words before a period are ever asked for, and what follows the shortest of them
-    pieces = F.split(F.translate("t", "\n\r\t\u00a0", "    "), r"\. +")
-    clean = lambda w: F.lower(F.translate(w, "\"'“”„«»‹›()[]¿¡…,;:!?", ""))
-    before = F.transform(pieces, lambda x: clean(F.substring_index(x, " ", -1)))
-    after = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: clean(F.substring_index(x, " ", 1)))
-    short = F.filter(before, lambda w: F.char_length(w) <= 12)
-    follows = F.filter(F.zip_with(before, after, lambda w, x: F.when((F.char_length(w) <= 6) | w.contains("."), x)), lambda x: x.isNotNull())
-    asked = src.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.concat(short, follows))).alias("w")).where("w <> ''")
-    facts = asked.join(known, "w").groupBy("h").agg(F.collect_set(F.when(F.col("short"), F.col("w"))).alias("short"), F.collect_set(F.when(F.col("ordinary"), F.col("w"))).alias("ordinary"))
+    none = frozenset()
+    if known.count() <= BROADCAST_WORDS:
+        rows = known.collect()
+        shared = src.sparkSession.sparkContext.broadcast((frozenset(r["w"] for r in rows if r["short"]), frozenset(r["w"] for r in rows if r["ordinary"])))
+        facts = lambda f: ((*shared.value,) for _ in range(len(f)))
+        whole = src
+    else:
+        # words before a period, words after one, and words after a quotation are all that is ever asked for
+        before = F.regexp_extract_all("t", F.lit(rf"(?<![\p{{L}}\p{{M}}.’-])(\p{{L}}[\p{{L}}\p{{M}}.’-]{{0,{SHORT - 1}}})\.(?=\s)"), F.lit(1))
+        after = F.regexp_extract_all("t", F.lit(r"[.．!?…\"'”’“»«›‹」』)\]]\s*(\p{L}[\p{L}\p{M}'’-]*)"), F.lit(1))
+        asked = src.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.transform(F.concat(before, after), F.lower))).alias("w"))
+        found = asked.join(known, "w").groupBy("h").agg(F.collect_set(F.when(F.col("short"), F.col("w"))).alias("short"), F.collect_set(F.when(F.col("ordinary"), F.col("w"))).alias("ordinary"))
+        whole = src.withColumn("h", F.xxhash64("t")).join(found, "h", "left").select("id", "t", "short", "ordinary")
+        facts = lambda f: ((none if s is None else frozenset(s), none if o is None else frozenset(o)) for s, o in zip(f["short"], f["ordinary"]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows: list[tuple] = []
-            for i, t, s, o in zip(f["id"], f["t"], f["short"], f["ordinary"]):
-                own = sentences(t, frozenset(s) if s is not None else frozenset(), frozenset(o) if o is not None else frozenset())
-                rows += [(i, k, a, b) for k, (a, b) in enumerate(own)]
+            rows = [(i, k, a, b) for i, t, (s, o) in zip(f["id"], f["t"], facts(f)) for k, (a, b) in enumerate(sentences(t, s, o))]
             yield pd.DataFrame(rows, columns=["id", "sentence_index", "sent_start", "sent_end"])
 
-    whole = src.withColumn("h", F.xxhash64("t")).join(facts, "h", "left").select("id", "t", "short", "ordinary")
     return whole.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, sentence_index int, sent_start int, sent_end int")
 
 

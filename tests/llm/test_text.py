@@ -108,6 +108,15 @@ def test_collection_tells_what_a_document_does_not(spark):
     assert [text[a:b] for a, b in got][0] == "We met bzg. Alder there."
 
 
+def test_a_large_vocabulary_changes_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["He came bzg. early. ", "“Go!” Anna said. ", "It rained bzg. They left. ", "We saw J. R. Tolan. ", "So l’apprenti left no. 4. The end. "]) for _ in range(30))) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    one = sorted(map(tuple, sentences.split_sentences(df, "k", "text").collect()))
+    monkeypatch.setattr(sentences, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, sentences.split_sentences(df, "k", "text").collect())) == one
+
+
 def test_sentence_frame(spark):
     df = spark.createDataFrame([(1, "One. Two.", 5), (1, "One. Two.", 6), (2, None, 1), (3, "", 1)], "k int, text string, sentence_index int")
     assert sorted(map(tuple, sentences.split_sentences(df, "k", "text").collect())) == [(1, 0, 0, 4), (1, 1, 5, 9)]
