@@ -256,3 +256,49 @@ def test_intermediates_are_removed(spark, tmp_path):
         assert runtime.cut(spark.range(3)).count() == 3
         assert set(folder.iterdir()) - kept
     assert set(folder.iterdir()) == kept
+
+
+WORDS = "river lantern orchard winter kettle harbour ledger tailor meadow copper window garden stair bridge candle market copper thread wagon saddle basket hollow timber velvet anchor chapel ribbon marble cellar pepper".split()
+
+
+def paragraphs_of(seed, n, words=30):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(words)).capitalize() + "." for _ in range(n)]
+
+
+def repetition(spark, *blocks):
+    rows = lexical.repetition_instances(docs(spark, "\n\n".join(x for b in blocks for x in b)), LexicalConfig()).orderBy("start").collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["cluster_id"], []).append(r)
+    return out
+
+
+def test_exact_block_is_one_cluster(spark):
+    block = paragraphs_of(1, 13)
+    got = repetition(spark, block, paragraphs_of(2, 8), block)
+    largest = max(got.values(), key=lambda c: c[0]["word_count"])
+    assert len(largest) == 2 and largest[0]["word_count"] >= 300 and largest[0]["end"] <= largest[1]["start"]
+    assert largest[0]["text"] == largest[1]["text"] == "\n\n".join(block).rstrip(".")  # from the first token to the last
+
+
+def test_adjacent_copies_do_not_overlap(spark):
+    block = paragraphs_of(3, 12)
+    got = repetition(spark, block, block)
+    largest = max(got.values(), key=lambda c: c[0]["word_count"])
+    assert len(largest) == 2 and largest[0]["end"] <= largest[1]["start"] and largest[0]["word_count"] >= 300
+
+
+def test_near_block_covers_both_halves(spark):
+    block = paragraphs_of(4, 10)
+    edited = [p.replace(p.split()[14], "changed", 1) if i % 2 else p for i, p in enumerate(block)]
+    text = "\n\n".join(block + paragraphs_of(5, 6) + edited)
+    got = repetition(spark, block, paragraphs_of(5, 6), edited)
+    spans = [(r["start"], r["end"]) for c in got.values() for r in c]
+    first, second = len("\n\n".join(block)), text.rindex(edited[0])
+    covered = lambda a, b: sum(max(0, min(e, b) - max(s, a)) for s, e in spans) / (b - a)
+    assert covered(0, first) > 0.9 and covered(second, len(text)) > 0.9
+
+
+def test_formulaic_lines_are_no_repetition(spark):
+    assert repetition(spark, [f"He nodded at {a}. She smiled at {a}." for a in WORDS[:12]]) == {}
