@@ -37,8 +37,8 @@ MEET = 0.99
 STEPS = 32.0
 #: Candidate ids up to which the second read of the vectors is filtered by a broadcast set.
 BROADCAST_IDS = 2_000_000
-#: Crowded partitions up to which their list is broadcast.
-BROADCAST_BUCKETS = 100_000
+#: Crowded partitions up to which their list is broadcast; bytes of codes a task counts.
+BROADCAST_BUCKETS, TASK = 100_000, 16 << 20
 
 
 def directions(dim: int) -> np.ndarray:
@@ -143,7 +143,8 @@ def sketches(vectors: DataFrame, dim: int, tables: int = TABLES) -> DataFrame:
 
 def candidate_pairs(known: DataFrame, min_cosine: float) -> DataFrame:
     """``known(cid, codes, keys)``, distinct ``cid`` -> candidate pairs ``a < b``."""
-    at = F.shiftright("key", DEEPEST - key_bits(known.count()))
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("keys")), F.lit(0)).alias("tables")).first()
+    at = F.shiftright("key", DEEPEST - key_bits(size["n"]))
     rows = known.select(F.posexplode("keys").alias("t", "key"), "cid", "codes").withColumn("at", at)
     crowd = rows.groupBy("t", "at").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * BLOCK)
     crowd = cut(crowd.select("t", "at", F.ceil(F.col("n") / (CROWD * BLOCK)).cast("int").alias("blocks")))
@@ -188,7 +189,9 @@ def candidate_pairs(known: DataFrame, min_cosine: float) -> DataFrame:
         if kept is not None:
             yield from flush(kept)
 
-    return keyed.repartition("node").sortWithinPartitions("node").mapInPandas(walk, "a bigint, b bigint").distinct()
+    # tasks of a fixed size, whatever the session's number of partitions
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] * size["tables"] * (PROJECTIONS + 32) // TASK))
+    return keyed.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(walk, "a bigint, b bigint").distinct()
 
 
 def exact_cosines(src: DataFrame, pairs: DataFrame, min_cosine: float) -> DataFrame:
