@@ -41,8 +41,10 @@ LOOKALIKE = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "8"
 PASSAGE, STEP, K1, B = 72, 36, 1.2, 0.3
 #: Share of the items beyond which a word tells too little to be indexed (at least 3 items).
 MOST_ITEMS = 0.0125
-#: Share of the item's own score a passage must reach to be aligned, and of its words that must be found.
+#: Share of the item's own score a passage must reach at most to be aligned, and of its words that must be found.
 LEAST_SCORE, LEAST_WORDS, BLOCK = 0.2, 0.5, 16
+#: Share of a half's score that damage may take before its passage isn't aligned any more.
+DAMAGED = 0.2
 #: Items up to which the index is broadcast; beyond it documents are queried against one block of items after the other.
 INDEX_ITEMS = 20_000
 #: What a document word between two matched words (cues put in between) and a missing item word cost, against
@@ -171,11 +173,22 @@ class ItemIndex:
         self.postings = Postings(term, item, value, len(self.term))
         self.maxima = self.postings.blocks(BLOCK)
         self.items = [Item(w, own) for w, own in zip(self.words, kept)]
-        self.need = LEAST_SCORE * np.bincount(item, value, n)
+        each: list[dict[str, float]] = [{} for _ in listed]
+        for t, (_, j, c, _), v in zip((t for own in kept for t in own), rows, value.tolist()):
+            each[j][t] = v / c  # an occurrence's part
+        self.need = np.array([self._least(w, own) for w, own in zip(self.words, each)])
         self.block_need = np.minimum.reduceat(self.need, np.arange(0, n, BLOCK)) if n else np.zeros(0)
         self.least = self.block_need.min() if n else 0.0
         self.term_max = np.maximum.reduceat(self.postings.value, self.postings.begin[:-1]) if rows else np.zeros(0)
 
+    @staticmethod
+    def _least(item: list[str], value: dict[str, float]) -> float:
+        """Score from which a passage is aligned: a share of the item's own, and no more than the poorest half of its words (or
+        stretch that surely lies in one passage) has when a part of them is damaged."""
+        gain = np.cumsum(np.r_[0.0, [value.get(w, 0.0) for w in item]])
+        half = min(-(-len(item) // 2), STEP)
+        return min(LEAST_SCORE * gain[-1], (1 - DAMAGED) * (gain[half:] - gain[:-half]).min())
+
     def search(self, terms: np.ndarray) -> np.ndarray:
         """Items whose score over the distinct ``terms`` reaches their need; blocks are skipped by their bounds."""
         keep = self.maxima.sums(terms, len(self.block_need)) >= self.block_need
