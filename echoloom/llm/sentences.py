@@ -29,7 +29,7 @@ OPENERS = re.compile("[" + "".join(map(re.escape, OPENING)) + "]")
 DASHES = "-–—―"
 ALNUM = re.compile(r"[\p{L}\p{N}]")
 THAI, GREEK, DEVANAGARI, CJK = (re.compile(f"[{x}]") for x in (r"\p{Thai}", r"\p{Greek}", r"\p{Devanagari}", r"\p{Han}\p{Hiragana}\p{Katakana}"))
-TOKEN_BEFORE = re.compile(r"[^\s\"'“”„«»‹›()\[\]（）「」『』¿¡—–,;:!?…，、。！？：；]+$")
+APART = frozenset("\"'“”„«»‹›()[]（）「」『』¿¡—–,;:!?…，、。！？：；")
 WORD_AFTER = re.compile(r"[\p{L}\p{M}'’-]+")
 #: Fixed values. Abbreviations that go before a name or a number and end nothing; ones that may end a sentence;
 #: conjunctions, by which scripts without capitals show that a pause was none; reporting verbs of unspaced quotations.
@@ -51,6 +51,14 @@ PLAIN = stdlib.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w.])")
 SMALL = stdlib.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
+def _token_before(text: str, start: int, at: int) -> str:
+    """What stands right before ``at``, back to white space, a mark or ``start``."""
+    i = at
+    while i > start and text[i - 1] not in APART and not text[i - 1].isspace():
+        i -= 1
+    return text[i:at]
+
+
 class Document:
     """What a document says about its own words; ``short`` and ``ordinary`` are what the collection says of them: its
     abbreviations, and words that stand in small letters unless they begin a sentence. Each index is built once, when first asked for."""
@@ -64,9 +72,9 @@ class Document:
         """Times each word stands with a period after which its sentence goes on."""
         out: dict[str, int] = {}
         for m in GOES_ON.finditer(self.text):
-            w = TOKEN_BEFORE.search(self.text[max(0, m.start() - 24) : m.start()])
+            w = _token_before(self.text, max(0, m.start() - 24), m.start())
             if w:
-                w = w[0].lower().lstrip("(¿¡-–—")
+                w = w.lower().lstrip("(¿¡-–—")
                 out[w] = out.get(w, 0) + 1
         return out
 
@@ -185,8 +193,7 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, end: int) -> bool:
             return False
         if not (nxt.isupper() and before.islower() and par[max(0, at - 2) : at].isalpha()) and not CJK.match(nxt) and nxt not in "\"“«„‘'¿¡(":
             return False
-    token = TOKEN_BEFORE.search(par[start:at])
-    token = token[0] if token else ""
+    token = _token_before(par, start, at)
     if token.isascii() is False and token[-1:].isascii():  # a short form written onto unspaced script
         token = CJK.split(token)[-1]
     if closed and closed[0] not in "'’":
