@@ -43,6 +43,8 @@ PASSAGE, STEP, K1, B = 72, 36, 1.2, 0.3
 MOST_ITEMS = 0.0125
 #: Share of the item's own score a passage must reach at most to be aligned, and of its words that must be found.
 LEAST_SCORE, LEAST_WORDS, BLOCK = 0.2, 0.5, 16
+#: Items up to which blocks aren't asked for their bounds first.
+SHORT_LISTS = 1024
 #: Share of a half's score that damage may take before its passage isn't aligned any more.
 DAMAGED = 0.2
 #: Items up to which the index is broadcast; beyond it documents are queried against one block of items after the other.
@@ -191,9 +193,11 @@ class ItemIndex:
 
     def search(self, terms: np.ndarray) -> np.ndarray:
         """Items whose score over the distinct ``terms`` reaches their need; blocks are skipped by their bounds."""
-        keep = self.maxima.sums(terms, len(self.block_need)) >= self.block_need
-        if not keep.any():
-            return np.zeros(0, np.int64)
+        keep = None
+        if len(self.ids) > SHORT_LISTS:  # else scoring costs no more than its bounds
+            keep = self.maxima.sums(terms, len(self.block_need)) >= self.block_need
+            if not keep.any():
+                return np.zeros(0, np.int64)
         score = self.postings.sums(terms, len(self.ids), keep, BLOCK)
         return np.flatnonzero((score >= self.need) & (score > 0))
 
@@ -215,10 +219,6 @@ def close(a: str, b: str) -> bool:
     return row[m] <= most
 
 
-def _strong(score: float, matched: int, known: int) -> bool:
-    return matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched
-
-
 def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool]) -> tuple[int, dict]:
     """Most words matched by one chain, and the pieces that are strong by themselves: ``(score, path)`` by their start,
     the path being ``(earlier path, text position, item position)``.
@@ -238,48 +238,63 @@ def _chain(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool]) -> t
             k = bisect_left(ends, p) - 1
             while k >= 0 and kept[k][1] >= start:
                 k -= 1
-            score = 1 + worth[k] - SKIP * (start - 1) - MISS * (p - 1) if k >= 0 else 0.0
-            if score > 1.0:
+            if k >= 0 and (score := 1 + worth[k] - SKIP * (start - 1) - MISS * (p - 1)) > 1.0:
                 _, _, matched, known, begin, path = kept[k]
-                matched, known, path = matched + 1, known + rare[p], (path, t, p)
+                matched += 1
+                known += rare[p]
+                path = (path, t, p)
+                if matched > best and score >= SOLID * matched:
+                    best = matched
+                if matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched and score > pieces.get(begin, NOTHING)[0]:
+                    pieces[begin] = score, path
             else:
                 score, matched, known, begin, path = 1.0, 1, int(rare[p]), (start, p), (None, t, p)
-            new.append((p, score, matched, known, begin, path))
-            if matched > best and score >= SOLID * matched:
-                best = matched
-            if _strong(score, matched, known) and score > pieces.get(begin, (0.0,))[0]:
-                pieces[begin] = score, path
-        for p, score, *rest in new:
-            value = score + SKIP * t + MISS * p
+                best = best or 1
+            new.append((p, score + SKIP * t + MISS * p, (score, t, matched, known, begin, path)))
+        for p, value, chain in new:
             k = bisect_right(ends, p)
             if k and worth[k - 1] >= value:
                 continue
             if k and ends[k - 1] == p:
                 k -= 1
-            last = k
-            while last < len(ends) and worth[last] <= value:
+            last, n = k, len(ends)
+            while last < n and worth[last] <= value:
                 last += 1
-            ends[k:last], worth[k:last], kept[k:last] = [p], [value], [(score, t, *rest)]
+            if last == k + 1:
+                ends[k], worth[k], kept[k] = p, value, chain
+            else:
+                ends[k:last], worth[k:last], kept[k:last] = [p], [value], [chain]
     return best, pieces
 
 
+NOTHING = (0.0,)
+
+
 def _narrow_pieces(hits: list[tuple[int, list[tuple[int, int]]]], rare: list[bool], widest: int = PIECE_GAP) -> dict:
     """The strong pieces, as ``_chain`` gives them, whose gaps have at most ``widest`` words."""
     chains: list[tuple[float, int, int, int, int, tuple[int, int], tuple]] = []
     pieces: dict = {}
     for t, tries in hits:
-        chains = [c for c in chains if c[0] > SKIP * (t - c[1] - 1) and t - c[1] - 2 <= widest]
+        if chains:
+            chains = [c for c in chains if t - c[1] - 2 <= widest and c[0] > SKIP * (t - c[1] - 1)]
         new = []
         for start, p in tries:
-            score, matched, known, begin, earlier = 1.0, 1, int(rare[p]), (start, p), None
-            for s, ct, cp, m, r, from_, path in chains:
-                if cp < p and ct < start and start - ct - 1 <= widest:
-                    s += 1 - SKIP * (start - ct - 1) - MISS * (p - cp - 1)
+            score, chosen = 1.0, None
+            for c in chains:
+                if c[2] < p and c[1] < start and start - c[1] - 1 <= widest:
+                    s = c[0] + 1 - SKIP * (start - c[1] - 1) - MISS * (p - c[2] - 1)
                     if s > score:
-                        score, matched, known, begin, earlier = s, m + 1, r + rare[p], from_, path
-            new.append((score, t, p, matched, known, begin, (earlier, t, p)))
-            if _strong(score, matched, known) and score > pieces.get(begin, (0.0,))[0]:
+                        score, chosen = s, c
+            if chosen is None:
+                new.append((1.0, t, p, 1, int(rare[p]), (start, p), (None, t, p)))
+                continue
+            matched, known, begin = chosen[3] + 1, chosen[4] + rare[p], chosen[5]
+            new.append((score, t, p, matched, known, begin, (chosen[6], t, p)))
+            if matched >= PIECE and known >= PIECE_RARE and score >= PIECE_SOLID * matched and score > pieces.get(begin, NOTHING)[0]:
                 pieces[begin] = score, new[-1][-1]
+        if not chains and len(new) == 1:
+            chains = new
+            continue
         kept: dict[int, tuple] = {}
         for c in chains + new:
             k = kept.get(c[2])
