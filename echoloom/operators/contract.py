@@ -30,11 +30,12 @@ def window_instances(windows: DataFrame, docs: DataFrame, acts: DataFrame | None
     """
     key = ["doc_key", "cluster_id"]
     sims = clusters.similarities(windows.where("cluster_id is not null and cluster_id <> -1"), key).select(*key, "start", "end", "sim")
-    spans = merged(sims.select(*key, "start", "end"), key).select(*key, "start", "end", F.col("n_spans").alias("members"))
+    spans = merged(sims.select(*key, "start", "end"), key).select(*key, "start", "end", F.col("start").alias("place"), F.col("n_spans").alias("members"))
     full = cut(report.widened(spans, docs, ["doc_key"], acts, expand))
     best = report.best_similarity(full.select(*key, "start", "end").distinct(), sims, key)
     full = full.join(best, [*key, "start", "end"])
-    return report.canonical_first(full, key, ["start", "end"]).select("doc_key", "cluster_id", "instance_id", "start", "end", "text", "similarity", "members")
+    # of spans that begin alike once they are widened, the one whose windows come first goes first
+    return report.canonical_first(full, key, ["start", "place"]).select("doc_key", "cluster_id", "instance_id", "start", "end", "text", "similarity", "members")
 
 
 def embedding_instances(docs: DataFrame, params: AnalysisParams, acts: DataFrame | None = None, embedder=V.hash_embedding, expand: bool = True) -> DataFrame:

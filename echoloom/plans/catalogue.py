@@ -500,7 +500,9 @@ def hdbscan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH RECURSIVE {SQL_REGISTRY}, ce AS (SELECT job_id, cluster_id, list(m ORDER BY pos) AS c FROM m JOIN nz USING (job_id, cluster_id) GROUP BY 1, 2), le AS (SELECT job_id, cluster_id, avg(strlen(text)) AS len FROM w WHERE cluster_id <> -1 GROUP BY 1, 2),
 sd AS (SELECT a.job_id, CASE WHEN la.len < lb.len THEN a.cluster_id ELSE b.cluster_id END AS child, CASE WHEN la.len < lb.len THEN b.cluster_id ELSE a.cluster_id END AS parent FROM ce a JOIN ce b ON a.job_id = b.job_id AND a.cluster_id < b.cluster_id JOIN le la ON la.job_id = a.job_id AND la.cluster_id = a.cluster_id JOIN le lb ON lb.job_id = b.job_id AND lb.cluster_id = b.cluster_id WHERE list_cosine_similarity(a.c, b.c) >= 0.85),
-tx AS (SELECT job_id, window_index, cluster_id, page, lower(text) AS t, regexp_replace(lower(text), '^[	- ]+|[	- ]+$', '', 'g') AS k FROM w),
+tx AS (SELECT job_id, window_index, cluster_id, page, lower(text) AS t, regexp_replace(lower(text), '^[	-
+ ]+|[	-
+ ]+$', '', 'g') AS k FROM w),
 hi AS (SELECT sd.job_id, child, parent, c.window_index, coalesce(max(CASE WHEN c.k <> '' AND contains(p.t, c.k) THEN 1 ELSE 0 END), 0) AS hit FROM sd JOIN tx c ON c.job_id = sd.job_id AND c.cluster_id = child LEFT JOIN tx p ON p.job_id = sd.job_id AND p.cluster_id = parent AND p.page = c.page GROUP BY 1, 2, 3, 4),
 su AS (SELECT job_id, child, parent FROM hi GROUP BY 1, 2, 3 HAVING avg(hit) >= 0.5), ed AS (SELECT job_id, child AS a, parent AS b FROM su UNION SELECT job_id, parent, child FROM su),
 re AS (SELECT job_id, a, a AS b FROM ed UNION SELECT re.job_id, re.a, ed.b FROM re JOIN ed ON ed.job_id = re.job_id AND ed.a = re.b), ro AS (SELECT job_id, a AS cluster_id, min(b) AS root FROM re GROUP BY 1, 2),
@@ -720,10 +722,10 @@ def embedding_report(spark: SparkSession, d: str) -> DataFrame:
 wi AS (SELECT r.job_id, r.cluster_id, w.doc_char_start AS st, w.doc_char_start + length(w.text) AS en, CASE WHEN len(w.embedding) > 0 THEN r.sim ELSE 0 END AS sim FROM r JOIN w ON w.job_id = r.job_id AND w.window_index = r.window_index WHERE w.text IS NOT NULL),
 wf AS (SELECT *, CASE WHEN st >= max(en) OVER (PARTITION BY job_id, cluster_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY job_id, cluster_id ORDER BY st, en) = 1 THEN 1 ELSE 0 END AS nw FROM wi),
 wg AS (SELECT *, sum(nw) OVER (PARTITION BY job_id, cluster_id ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS isle FROM wf),
-wm AS (SELECT job_id, cluster_id, min(st) AS st, max(en) AS en, count(*) AS members FROM wg GROUP BY job_id, cluster_id, isle), wx AS (SELECT wm.*, dt.text FROM wm JOIN dt USING (job_id)),
-{_sql_expanded('wx', 'job_id', 'cluster_id', 'members')}, sp AS (SELECT * FROM xx WHERE b > a),
+wm AS (SELECT job_id, cluster_id, min(st) AS st, max(en) AS en, count(*) AS members FROM wg GROUP BY job_id, cluster_id, isle), wx AS (SELECT wm.*, wm.st AS place, dt.text FROM wm JOIN dt USING (job_id)),
+{_sql_expanded('wx', 'job_id', 'cluster_id', 'members', 'place')}, sp AS (SELECT * FROM xx WHERE b > a),
 bs AS (SELECT job_id, cluster_id, a, b, coalesce(max(sim), 0) AS sim FROM (SELECT DISTINCT job_id, cluster_id, a, b FROM sp) LEFT JOIN wi USING (job_id, cluster_id) WHERE st < b AND a < en GROUP BY 1, 2, 3, 4)
-SELECT sp.job_id, sp.cluster_id, CAST(row_number() OVER (PARTITION BY sp.job_id, sp.cluster_id ORDER BY sp.a, sp.b) - 1 AS INTEGER) AS instance_id, CAST(sp.a AS INTEGER) AS span_start, CAST(sp.b AS INTEGER) AS span_end, sp.members, round(coalesce(bs.sim, 0), 6) AS similarity FROM sp LEFT JOIN bs ON bs.job_id = sp.job_id AND bs.cluster_id = sp.cluster_id AND bs.a = sp.a AND bs.b = sp.b""")
+SELECT sp.job_id, sp.cluster_id, CAST(row_number() OVER (PARTITION BY sp.job_id, sp.cluster_id ORDER BY sp.a, sp.place) - 1 AS INTEGER) AS instance_id, CAST(sp.a AS INTEGER) AS span_start, CAST(sp.b AS INTEGER) AS span_end, sp.members, round(coalesce(bs.sim, 0), 6) AS similarity FROM sp LEFT JOIN bs ON bs.job_id = sp.job_id AND bs.cluster_id = sp.cluster_id AND bs.a = sp.a AND bs.b = sp.b""")
 def stored_report(spark: SparkSession, d: str) -> DataFrame:
     """The spans of all stored jobs, from their windows and pages."""
     from echoloom.operators import contract
