@@ -587,6 +587,22 @@ def page_canvases(spark: SparkSession, d: str) -> DataFrame:
     return raster.encoded(raster.canvases(raster.blended_cells(_cells(spark, d)), stored.pages(spark, d)))
 
 
+SQL_SPAN_PAGES = f"""{SPANS}, f AS (SELECT job_id, arg_min(page, doc_char_start) AS page FROM p GROUP BY 1), o AS (SELECT s.job_id, p.page FROM s ASOF LEFT JOIN p ON s.job_id = p.job_id AND s.st >= p.doc_char_start),
+sel AS (SELECT DISTINCT o.job_id, coalesce(o.page, f.page) AS page FROM o LEFT JOIN f USING (job_id))"""
+
+
+@query(f"""WITH {SQL_BLEND}, {SQL_SPAN_PAGES}, u AS (SELECT job_id, page, cell, {_srgb('r')}, {_srgb('g')}, {_srgb('b')} FROM t), y AS (SELECT job_id, page, unnest(range(400)) AS cell FROM (SELECT DISTINCT p.job_id, p.page FROM p JOIN sel ON sel.job_id = p.job_id AND sel.page = p.page)),
+j AS (SELECT y.job_id, y.page, y.cell, CASE WHEN u.cell IS NULL THEN '22222AFF' ELSE printf('%02X%02X%02XFF', u.r, u.g, u.b) END AS px FROM y LEFT JOIN u ON u.job_id = y.job_id AND u.page = y.page AND u.cell = y.cell)
+SELECT job_id, page, base64(from_hex(string_agg(px, '' ORDER BY cell))) AS rgba_base64 FROM j GROUP BY 1, 2""")
+def selected_canvases(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that hold a stored span, drawn again; no other page's cells are painted."""
+    s = stored.spans(spark, d).select("job_id", "start")
+    chosen = cut(intervals.as_of(s, stored.pages(spark, d).select("job_id", "doc_char_start", "page"), ["job_id"], "start", "doc_char_start", "page").select("job_id", "page").where("page is not null").distinct())
+    w = stored.windows(spark, d).where("sim_to_centroid is not null").withColumn("sim", F.col("sim_to_centroid").cast("double"))
+    pages = raster.selected(stored.pages(spark, d), chosen)
+    return raster.encoded(raster.canvases(raster.blended_cells(raster.painted_cells(raster.selected(w, chosen), pages)), pages))
+
+
 @query(f"WITH {SQL_CELLS} SELECT job_id, page, cell, max(sim) > 0.8 AS shown FROM k GROUP BY 1, 2, 3")
 def tolerance_mask(spark: SparkSession, d: str) -> DataFrame:
     return raster.tolerance_mask(_cells(spark, d), 0.8).withColumn("cell", F.col("cell").cast("bigint"))
