@@ -302,3 +302,19 @@ def test_near_block_covers_both_halves(spark):
 
 def test_formulaic_lines_are_no_repetition(spark):
     assert repetition(spark, [f"He nodded at {a}. She smiled at {a}." for a in WORDS[:12]]) == {}
+
+
+def test_highlights_of_several_reports(spark):
+    t = "job_id string, cluster_id int, instance_id int, start int, end int, similarity double, text string"
+    spans = spark.createDataFrame([("j", 1, 0, 5, 9, 0.9, "a"), ("j", 1, 1, 25, 29, 0.8, "a")], t).unionByName(spark.createDataFrame([("j", 14, 0, 12, 15, 1.0, "b")], t))
+    pages = spark.createDataFrame([("j", 1, 0), ("j", 2, 10), ("j", 3, 20)], "job_id string, page int, doc_char_start int")
+    hues = spark.createDataFrame([("j", 1, 0.618)], "job_id string, cluster_id int, reg double")
+    got = {(r["cluster_id"], r["instance_id"]): (r["page"], r["role"], round(r["hue"], 4)) for r in raster.highlights(spans, pages, hues).collect()}
+    assert got == {(1, 0): (1, "canonical", 0.618), (1, 1): (3, "duplicate", 0.618), (14, 0): (2, "canonical", round(2 / 12, 4))}
+
+
+def test_dithering(spark):
+    cells = spark.createDataFrame([("j", 1, 0, k + 1, 10 + k, 0.9, k) for k in range(3)] + [("j", 1, 1, 1, 7, 0.9, 0), ("j", 1, 1, 2, 8, 0.5, 1)], "job_id string, page int, cell int, rank int, cluster_id int, sim double, window_index int")
+    got = {r["cell"]: r["pixels"] for r in raster.dithered_cells(cells, 3, 2).collect()}
+    assert got == {0: [10 + (3 * r + 7 * c) % 3 for r in range(2) for c in range(3)], 1: [7] * 6}
+    assert spark.range(1).select(C.dithers(F.lit(100), F.lit(200)), C.dithers(F.lit(99), F.lit(200))).first()[:] == (True, False)
