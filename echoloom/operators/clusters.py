@@ -6,8 +6,13 @@ Null and empty vectors are in no centroid and no cluster.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +24,160 @@ from echoloom.operators.intervals import merged
 
 #: Cosine floors of leader clustering and sub-phrase links; restarts' seed, rounds and tolerance.
 LEADER_FLOOR, SUBPHRASE_FLOOR, SEED, ROUNDS, TOLERANCE = 0.82, 0.85, 42, 300, 1e-4
+#: Bytes of a cluster's rows in memory, beyond which they go to a temporary file; centroids that are compared with as many others at once.
+HELD, SQUARE = 64 << 20, 4096
 
 
 def usable(windows: DataFrame, embedding: str = "embedding") -> DataFrame:
     return windows.where(F.col(embedding).isNotNull() & (F.size(embedding) > 0))
 
 
+def _grid(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of an Arrow column of lists as doubles, 0 where there is nothing; which places hold a number; the rows' lengths."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()
+    known = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    x = np.zeros(known.shape)
+    x[known] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        known[known] = flat.is_valid().to_numpy(zero_copy_only=False)
+    return x, known, sizes
+
+
+class _Cluster:
+    """Sums over the rows of one cluster and the rows themselves; beyond ``HELD`` bytes these wait in a temporary file."""
+
+    def __init__(self, key: str | None = None) -> None:
+        self.key, self.sums, self.counts, self.rows, self.bytes = key, np.zeros(0), np.zeros(0, np.int64), 0, 0
+        self.blocks: list[pa.RecordBatch] = []
+        self.file = self.writer = None
+
+    def add(self, block: pa.RecordBatch, x: np.ndarray, known: np.ndarray, sizes: np.ndarray) -> None:
+        more = max(0, int(sizes.max(initial=0)) - len(self.sums))
+        self.sums, self.counts = np.pad(self.sums, (0, more)), np.pad(self.counts, (0, more))
+        n = min(x.shape[1], len(self.sums))
+        self.sums[:n] += x[:, :n].sum(0)
+        self.counts[:n] += known[:, :n].sum(0)
+        self.rows += int((sizes > 0).sum())
+        self.blocks.append(block)
+        self.bytes += block.nbytes
+        if self.bytes > HELD:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()
+                self.writer = pa.ipc.new_stream(self.file, block.schema)
+            for b in self.blocks:
+                self.writer.write_batch(b)
+            self.blocks, self.bytes = [], 0
+
+    def mean(self) -> np.ndarray:
+        """0 where no row holds a number."""
+        return self.sums / np.maximum(self.counts, 1)
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        if self.file is not None:
+            self.writer.close()
+            self.file.seek(0)
+            yield from pa.ipc.open_stream(self.file)
+            self.file.close()
+        yield from self.blocks
+
+
+def _clustered(batches: Iterator[pa.RecordBatch], within: Callable, over: Callable) -> Iterator[pa.RecordBatch]:
+    """``within(rows, borders, x, known, sizes)`` of the clusters that lie inside a batch, ``over(cluster)`` of the others.
+
+    The rows are sorted by ``__k``, which tells clusters apart; ``__v`` are their vectors.
+    """
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, grid = b.column("__k").to_numpy(zero_copy_only=False), _grid(b.column("__v"))
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        first = int(held is not None and held.key == k[0])
+        if first:
+            held.add(b.slice(0, cuts[1]), *[g[: cuts[1]] for g in grid])
+        if first == len(cuts) - 1:
+            continue
+        if held is not None:
+            yield from over(held)
+        a, z = cuts[first], cuts[-2]
+        if z > a:
+            yield within(b.slice(a, z - a), np.array(cuts[first:-1]) - a, *[g[a:z] for g in grid])
+        held = _Cluster(k[z])
+        held.add(b.slice(z), *[g[z:] for g in grid])
+    if held is not None:
+        yield from over(held)
+
+
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _together(windows: DataFrame, key: list[str], embedding: Column) -> DataFrame:
+    """Adds a cluster's key and the vectors as ``__k, __v``; a cluster's rows follow each other."""
+    return windows.withColumn("__k", F.to_json(F.struct(*key))).withColumn("__v", embedding).drop("embedding").repartition("__k").sortWithinPartitions("__k")
+
+
 def centroids(windows: DataFrame, key: list[str], embedding: str = "embedding") -> DataFrame:
-    """``*key, centroid, member_count``: element-wise means; the elements are averaged map-side before any shuffle."""
-    each = usable(windows, embedding).where("cluster_id is not null and cluster_id <> -1").select(*key, F.posexplode(embedding).alias("pos", "x"))
-    mean = each.groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
-    return mean.groupBy(*key).agg(packed.alias("centroid"), F.max("n").alias("member_count"))
+    """``*key, centroid, member_count``: element-wise means. Vectors are shuffled once, whole, and a cluster's are added up batch by batch."""
+    real = usable(windows, embedding).where("cluster_id is not null and cluster_id <> -1").select(*key, F.col(embedding).alias("__e"))
+
+    def made(rows: pa.RecordBatch, sums: list[np.ndarray], counts: list[np.ndarray], n: list[int]) -> pa.RecordBatch:
+        each, of = np.concatenate(sums), np.concatenate(counts)
+        ends = np.cumsum([0, *map(len, sums)]).astype(np.int32)
+        mean = pa.ListArray.from_arrays(pa.array(ends), pa.array(each / np.maximum(of, 1), mask=of == 0))
+        return pa.RecordBatch.from_arrays([*[rows.column(k) for k in key], mean, pa.array(n, pa.int64())], names=[*key, "centroid", "member_count"])
+
+    def within(rows: pa.RecordBatch, cuts: np.ndarray, x: np.ndarray, known: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        runs = list(zip(cuts[:-1], cuts[1:], np.maximum.reduceat(sizes, cuts[:-1])))
+        return made(rows.take(pa.array(cuts[:-1])), [x[i:j, :d].sum(0) for i, j, d in runs], [known[i:j, :d].sum(0) for i, j, d in runs], [int(j - i) for i, j, _ in runs])
 
+    def over(c: _Cluster) -> Iterator[pa.RecordBatch]:
+        yield made(next(c.parts()).slice(0, 1), [c.sums], [c.counts], [c.rows])
 
-def similarities(windows: DataFrame, key: list[str], cents: DataFrame | None = None) -> DataFrame:
-    """Adds ``sim``: cosine to the own cluster's centroid; 0 for noise and for windows without a vector."""
-    cents = centroids(windows, key) if cents is None else cents
-    return windows.join(cents.select(*key, "centroid"), key, "left").withColumn("sim", F.coalesce(cosine(F.col("embedding"), F.col("centroid")), F.lit(0.0))).drop("centroid")
+    rows = _together(real, key, F.col("__e")).drop("__e")
+    return rows.mapInArrow(lambda batches: _clustered(batches, within, over), f"{_kinds(real, key)}, centroid array<double>, member_count bigint")
+
+
+def similarities(windows: DataFrame, key: list[str], norms: bool = False) -> DataFrame:
+    """The windows without their vectors, with ``sim``: cosine to the own cluster's centroid; 0 for noise and for windows without a vector.
+
+    With ``norms`` the centroid's length as well (``centroid_norm``), null where there is none.
+    """
+    real = F.lit(True)
+    for k in {*key, "cluster_id"}:
+        real = real & F.col(k).isNotNull()
+    rest = [c for c in windows.columns if c != "embedding"]
+    names = [*rest, "sim", *(["centroid_norm"] if norms else [])]
+
+    def cosines(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        d = min(x.shape[1], len(mean))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            length = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(mean @ mean)
+            sim = (x[:, :d] @ mean[:d]) / length
+        return np.where(length == 0, 0.0, np.where(np.isnan(sim), 1.0, np.clip(sim, -1, 1)))
+
+    def made(rows: pa.RecordBatch, sim: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        extra = [pa.array(sim, pa.float64()), *([pa.array(length, pa.float64(), mask=length < 0)] if norms else [])]
+        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in rest], *extra], names=names)
+
+    def within(rows: pa.RecordBatch, cuts: np.ndarray, x: np.ndarray, known: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        sim, length = np.zeros(len(x)), np.full(len(x), -1.0)
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if sizes[i:j].any():
+                mean = x[i:j].sum(0) / np.maximum(known[i:j].sum(0), 1)
+                sim[i:j], length[i:j] = cosines(x[i:j], mean), np.sqrt(mean @ mean)
+        return made(rows, sim, length)
+
+    def over(c: _Cluster) -> Iterator[pa.RecordBatch]:
+        mean = c.mean()
+        for rows in c.parts():
+            sim = cosines(_grid(rows.column("__v"))[0], mean) if c.rows else np.zeros(rows.num_rows)
+            yield made(rows, sim, np.full(rows.num_rows, np.sqrt(mean @ mean) if c.rows else -1.0))
+
+    rows = _together(windows, key, F.when(real & (F.col("cluster_id") != -1), F.col("embedding")))
+    kinds = f"{_kinds(windows, rest)}, sim double" + ", centroid_norm double" * norms
+    return rows.mapInArrow(lambda batches: _clustered(batches, within, over), kinds)
 
 
 def registry(windows: DataFrame, key: tuple[str, ...] = ("job_id", "cluster_id")) -> DataFrame:
@@ -45,8 +186,7 @@ def registry(windows: DataFrame, key: tuple[str, ...] = ("job_id", "cluster_id")
     Clusters whose centroid is the zero vector are dropped. Needs ``page, window_index, doc_char_start, doc_char_end``.
     """
     key, real = list(key), windows.where("cluster_id is not null and cluster_id <> -1")
-    cents = centroids(real, key).where(norm(F.col("centroid")) > 0)
-    sims = similarities(real, key, cents).join(cents.select(*key), key)
+    sims = similarities(real.select(*key, "window_index", "page", "embedding"), key, norms=True).where("centroid_norm > 0")
     base = sims.groupBy(*key).agg(F.count("*").alias("member_count"), F.max_by("window_index", F.struct("sim", -F.col("window_index"))).alias("central_window"), F.array_sort(F.collect_set("page")).alias("pages"))
     inst = merged(real.where("doc_char_start is not null").select(*key, F.col("doc_char_start").alias("start"), F.col("doc_char_end").alias("end")), key).groupBy(*key).agg(F.count("*").alias("instance_count"))
     hue = F.pmod(F.col("cluster_id").cast("double") * 0.6180339887, F.lit(1.0))
@@ -54,9 +194,54 @@ def registry(windows: DataFrame, key: tuple[str, ...] = ("job_id", "cluster_id")
 
 
 def centroid_pairs(cents: DataFrame, job: str, floor: float = SUBPHRASE_FLOOR) -> DataFrame:
-    """Pairs of a job's clusters whose centroids are at least ``floor`` alike; clusters per job are few."""
-    a, b = cents.select(job, F.col("cluster_id").alias("a"), F.col("centroid").alias("ca")), cents.select(job, F.col("cluster_id").alias("b"), F.col("centroid").alias("cb"))
-    return a.join(b, job).where("a < b").withColumn("sim", cosine(F.col("ca"), F.col("cb"))).where(F.col("sim") >= floor).select(job, "a", "b", "sim")
+    """Pairs of a job's clusters whose centroids are at least ``floor`` alike.
+
+    A job of more than ``SQUARE`` clusters is cut into blocks, and every two of them meet once, so that neither its
+    pairs nor its centroids have to be in one task.
+    """
+    own = cents.select(job, "cluster_id", F.col("centroid").alias("__c"))
+    parts = F.ceil(F.count("*") / SQUARE).cast("int")
+    blocks = cents.groupBy(job).agg(parts.alias("__n"), F.count("*").alias("__size")).where("__size > 1").drop("__size")
+    placed = own.join(blocks, job).withColumn("__b", F.pmod(F.xxhash64("cluster_id"), F.col("__n")).cast("int"))
+    met = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    met = met.withColumn("__k", F.to_json(F.struct(job, F.least("__b", "__o").alias("x"), F.greatest("__b", "__o").alias("y")))).withColumn("__side", F.col("__b") > F.col("__o"))
+    rows = met.select(job, "cluster_id", "__c", "__side", "__k", (F.col("__b") == F.col("__o")).alias("__same")).repartition("__k").sortWithinPartitions("__k")
+
+    def alike(of: pa.Array, ids: np.ndarray, x: np.ndarray, side: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        left, right = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+        for a in range(0, len(left), 512):
+            i = left[a : a + 512]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                n = length[i][:, None] * length[right]
+                s = (x[i] @ x[right].T) / n
+            s = np.where(n == 0, 0.0, np.where(np.isnan(s), 1.0, np.clip(s, -1, 1)))
+            p, q = np.nonzero((s >= floor) & ((ids[i][:, None] < ids[right]) if same else True))
+            u, v = ids[i[p]], ids[right[q]]
+            yield pa.RecordBatch.from_arrays([of.take(pa.array(np.zeros(len(p), np.int64))), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(s[p, q])], names=[job, "a", "b", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of one pair of blocks, 2 * SQUARE rows at most on average
+
+        def over() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            yield from alike(t.column(job).chunk(0).slice(0, 1), t.column("cluster_id").to_numpy(), _grid(t.column("__c").chunk(0))[0], t.column("__side").to_numpy(), t.column("__same")[0].as_py())
+
+        last = None
+        for b in batches:
+            if b.num_rows:
+                k = b.column("__k").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    if kept and k[i] != last:
+                        yield from over()
+                        kept.clear()
+                    kept.append(b.slice(i, j - i))
+                    last = k[i]
+        if kept:
+            yield from over()
+
+    return rows.mapInArrow(run, f"{_kinds(cents, [job])}, a {cents.schema['cluster_id'].dataType.simpleString()}, b {cents.schema['cluster_id'].dataType.simpleString()}, sim double")
 
 
 def nearest_centroid(windows: DataFrame, cents: DataFrame, job: str, least: float) -> DataFrame:

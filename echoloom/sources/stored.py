@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echoloom.runtime import table
+from echoloom.runtime import cut, table
+
+#: Windows that stand more than once, up to which number their hashes are broadcast.
+AGAIN = 1_000_000
 
 
 def moment(text: Column) -> Column:
@@ -25,9 +28,20 @@ def windows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The last committed row of each window, with ``columns`` only."""
     names = list(columns or ("job_id", "window_index", "page", "char_start", "char_end", "doc_char_start", "text", "cluster_id", "sim_to_centroid"))
     w = table(spark, d, "windows").select("window_id", "committed_at", *names)
-    # the newest row by a grouped maximum: partial aggregation, no sort of whole groups
-    last = w.groupBy("window_id").agg(F.max_by(F.struct(*names), F.struct("committed_at", *[n for n in names if n != "embedding"])).alias("r"))
-    return last.select("window_id", "r.*")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        # by a grouped maximum: partial aggregation, no sort of whole groups
+        last = rows.groupBy("window_id").agg(F.max_by(F.struct(*names), F.struct("committed_at", *[n for n in names if n != "embedding"])).alias("r"))
+        return last.select("window_id", "r.*")
+
+    if "embedding" not in names:
+        return newest(w)
+    # most windows stand once, and their vectors needn't be shuffled to find that out; windows whose hashes are equal are told apart later
+    again = cut(w.groupBy("window_id").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("window_id").alias("h")).distinct())
+    if again.count() > AGAIN:
+        return newest(w)
+    keyed, few = w.withColumn("h", F.xxhash64("window_id")), F.broadcast(again)
+    return keyed.join(few, "h", "left_anti").select("window_id", *names).unionByName(newest(keyed.join(few, "h", "left_semi")))
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
