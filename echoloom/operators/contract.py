@@ -29,7 +29,7 @@ def window_instances(windows: DataFrame, docs: DataFrame, acts: DataFrame | None
     then overlaps. ``instance_id`` counts from 0 in document order. Noise and windows without a vector make no span.
     """
     key = ["doc_key", "cluster_id"]
-    sims = clusters.similarities(windows.where("cluster_id is not null and cluster_id <> -1"), key).select(*key, "start", "end", "sim")
+    sims = cut(clusters.similarities(windows.where("cluster_id is not null and cluster_id <> -1").select(*key, "start", "end", "embedding"), key))
     spans = merged(sims.select(*key, "start", "end"), key).select(*key, "start", "end", F.col("start").alias("place"), F.col("n_spans").alias("members"))
     full = cut(report.widened(spans, docs, ["doc_key"], acts, expand))
     best = report.best_similarity(full.select(*key, "start", "end").distinct(), sims, key)

@@ -15,7 +15,7 @@ from echoloom.operators.intervals import containing
 
 #: Words up to which a duplicate is deleted, words of a paragraph, similarity that counts as high.
 DELETE_WORDS, PARAGRAPH_WORDS, HIGH = 15, 40, 0.95
-TERMINATOR = re.compile(r"[.!?](?=\s|$)")
+TERMINATOR, SPACE = re.compile(r"[.!?](?=\s|$)"), re.compile(r"\s*")
 
 
 def span_locations(spans: DataFrame, acts: DataFrame, paragraphs: DataFrame, key: list[str]) -> DataFrame:
@@ -53,33 +53,44 @@ def sentence_index(text: pd.Series, offset: pd.Series) -> pd.Series:
     return pd.Series([one(t, o) for t, o in zip(text, offset)])
 
 
-def expand(text: str, start: int, end: int) -> tuple[int, int]:
-    """Span widened to sentence borders. A paragraph break anywhere before goes before nearer sentence ends."""
-    n = len(text)
-    if not n:
-        return 0, 0
-    start = min(start, n)
-    end = max(start, min(end, n))
-    skip = lambda i: i + len(text[i:]) - len(text[i:].lstrip())
-    if start:
-        para = text.rfind("\n\n", 0, start)
-        stop = max(text.rfind(c, 0, start) for c in ".!?")
-        if 0 <= para and para + 2 < start:
-            begin = skip(para + 2)
-        else:
-            begin = min(skip(stop + 1), start) if stop >= 0 else 0
-    else:
+class Borders:
+    """Where the sentences and paragraphs of a text end, for any number of its spans."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.breaks = [m.start() for m in re.finditer(r"(?=\n\n)", text)]
+        self.stops = [m.start() for m in re.finditer(r"[.!?]", text)]
+        self.ends = [m.end() for m in TERMINATOR.finditer(text)]
+
+    def expand(self, start: int, end: int) -> tuple[int, int]:
+        """Span widened to sentence borders. A paragraph break anywhere before goes before nearer sentence ends."""
+        text, n = self.text, len(self.text)
+        if not n:
+            return 0, 0
+        start = min(start, n)
+        end = max(start, min(end, n))
+        skip = lambda i: SPACE.match(text, i).end()
         begin = 0
-    if end >= n:
-        return begin, n
-    anchor = end - 1 if end > start else end
-    if anchor > 0 and text[anchor] in ".!?":
-        return begin, anchor + 1
-    para = text.find("\n\n", end)
-    if para >= 0:
-        return begin, para
-    m = TERMINATOR.search(text, anchor)
-    return begin, m.end() if m else n
+        if start:
+            para, stop = bisect.bisect_right(self.breaks, start - 2) - 1, bisect.bisect_left(self.stops, start) - 1
+            if para >= 0 and self.breaks[para] + 2 < start:
+                begin = skip(self.breaks[para] + 2)
+            elif stop >= 0:
+                begin = min(skip(self.stops[stop] + 1), start)
+        if end >= n:
+            return begin, n
+        anchor = end - 1 if end > start else end
+        if anchor > 0 and text[anchor] in ".!?":
+            return begin, anchor + 1
+        para = bisect.bisect_left(self.breaks, end)
+        if para < len(self.breaks):
+            return begin, self.breaks[para]
+        at = bisect.bisect_right(self.ends, anchor)
+        return begin, self.ends[at] if at < len(self.ends) else n
+
+
+def expand(text: str, start: int, end: int) -> tuple[int, int]:
+    return Borders(text).expand(start, end)
 
 
 @F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -89,20 +100,44 @@ def expand_to_sentences(text: pd.Series, start: pd.Series, end: pd.Series) -> pd
 
 def widened(spans: DataFrame, docs: DataFrame, key: list[str], acts: DataFrame | None = None, expand: bool = True) -> DataFrame:
     """Spans cut to the act that holds their start and widened to sentences of that act alone, with their ``text``; empty ones
-    are dropped. ``docs(*key, text)``. A span in no act is widened over the whole text."""
+    are dropped. ``docs(*key, text)``. A span in no act is widened over the whole text.
+
+    A text meets all of its spans at once, so that it isn't copied for each of them.
+    """
     if acts is not None:
         a = acts.select(*key, F.col("start").alias("act_start"), F.col("end").alias("act_end"))
         met = containing(spans, a, key, "start", "act_start", "act_end")
     else:
         met = spans.withColumn("act_start", F.lit(None).cast("int")).withColumn("act_end", F.lit(None).cast("int"))
-    full = met.join(docs.select(*key, F.col("text").alias("doc")), key).withColumn("end", F.coalesce(F.least("end", "act_end"), F.col("end")))
-    if expand:
-        base = F.coalesce("act_start", F.lit(0))
-        body = F.when(F.col("act_start").isNull(), F.col("doc")).otherwise(F.substring("doc", F.col("act_start") + 1, F.col("act_end") - F.col("act_start")))
-        full = full.withColumn("x", expand_to_sentences(body, F.col("start") - base, F.col("end") - base))
-        full = full.withColumn("start", (base + F.col("x.start")).cast("int")).withColumn("end", (base + F.col("x.end")).cast("int")).drop("x")
-    text = F.substring("doc", F.col("start") + 1, F.col("end") - F.col("start"))
-    return full.withColumn("text", text).drop("doc", "act_start", "act_end").where("end > start")
+    rest = [c for c in spans.columns if c not in (*key, "start", "end")]
+
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    def placed(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        def one(text: str, rows) -> list[dict]:
+            known: dict = {}  # borders of the whole text or of an act
+            out = []
+            for r in rows:
+                a, b, c, d = r["start"], r["end"], r["act_start"], r["act_end"]
+                if a is None or b is None:
+                    out.append(None)
+                    continue
+                if d is not None:
+                    b = min(b, d)
+                if expand:
+                    if (c, d) not in known:
+                        known[c, d] = Borders(text if c is None else text[c:d])
+                    a, b = ((c or 0) + x for x in known[c, d].expand(a - (c or 0), b - (c or 0)))
+                out.append({"start": a, "end": b, "text": text[a:b]})
+            return out
+
+        return pd.Series([one(t or "", rows) for t, rows in zip(texts, lists)])
+
+    listed = met.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "act_start", "act_end", *rest)).alias("__s"))
+    own = F.transform("__s", lambda s: F.struct(s["start"], s["end"], s["act_start"], s["act_end"]))
+    full = docs.select(*key, F.col("text").alias("__doc")).join(listed, key).withColumn("__p", placed("__doc", own))
+    each = full.select(*key, F.explode(F.arrays_zip("__s", "__p")).alias("__z"))
+    cols = {"start": "__p.start", "end": "__p.end"}
+    return each.select(*key, "__z.*").select(*[F.col(cols[c] if c in cols else c if c in key else f"__s.{c}").alias(c) for c in spans.columns if c != "text"], F.col("__p.text").alias("text")).where("end > start")
 
 
 def verdicts(spans: DataFrame, key: list[str], order: list[str], act: str = "act", similarity: str = "similarity", text: str = "text") -> DataFrame:

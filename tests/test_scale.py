@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from echoloom.operators import clusters
+from echoloom.operators import clusters, report
+from echoloom.runtime import cut
 
 
 def brute(x, floor):
@@ -61,3 +62,52 @@ def test_clusters_over_several_batches(spark):
         for i in np.flatnonzero(of == c):
             assert sims[i] == pytest.approx(x[i] @ mean / np.linalg.norm(x[i]) / np.linalg.norm(mean) if has[i] else 0.0)
     assert all(sims[i] == 0 for i in [*np.flatnonzero(of == -1), 202, 203])
+
+
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle") for i in range(files.size()))
+
+
+def test_written_frames_leave_no_shuffle(spark):
+    before = shuffle_files(spark)
+    assert cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()).count() == 7
+    assert shuffle_files(spark) <= before + 4  # of the count alone
+
+
+def naive(text, start, end):
+    n = len(text)
+    para, stop = text.rfind("\n\n", 0, start), max(text.rfind(c, 0, start) for c in ".!?")
+    skip = lambda i: i + len(text[i:]) - len(text[i:].lstrip())
+    begin = 0 if not start else skip(para + 2) if 0 <= para and para + 2 < start else min(skip(stop + 1), start) if stop >= 0 else 0
+    if end >= n:
+        return begin, n
+    anchor = end - 1 if end > start else end
+    if anchor > 0 and text[anchor] in ".!?":
+        return begin, anchor + 1
+    if (gap := text.find("\n\n", end)) >= 0:
+        return begin, gap
+    m = report.TERMINATOR.search(text, anchor)
+    return begin, m.end() if m else n
+
+
+def test_borders_agree_with_a_search():
+    rng = np.random.default_rng(2)
+    for letters, size in (("ab .!\n", 60), ("ab . ", 40), ("a\n", 30), ("ab", 9)):
+        for _ in range(150):
+            text = "".join(rng.choice(list(letters), size))
+            borders = report.Borders(text)
+            for _ in range(6):
+                a, b = sorted(rng.integers(0, size + 1, 2).tolist())
+                assert borders.expand(a, b) == naive(text, a, b)
+
+
+def test_a_long_text_is_not_copied_for_its_spans(spark):
+    text = "One sentence of some words. " * 40_000
+    d = spark.createDataFrame([("d", text)], "doc_key string, text string")
+    s = spark.range(3000).selectExpr("'d' as doc_key", "cast(id * 28 + 3 as int) as start", "cast(id * 28 + 9 as int) as end", "id as place")
+    w = report.widened(s, d, ["doc_key"])
+    assert w.columns == ["doc_key", "start", "end", "place", "text"]
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
+    assert {(r["start"], r["end"], r["text"]) for r in w.collect()} == {(i * 28, i * 28 + 27, "One sentence of some words.") for i in range(3000)}
