@@ -26,6 +26,8 @@ from echoloom.operators.intervals import merged
 LEADER_FLOOR, SUBPHRASE_FLOOR, SEED, ROUNDS, TOLERANCE = 0.82, 0.85, 42, 300, 1e-4
 #: Bytes of a cluster's rows in memory, beyond which they go to a temporary file; centroids that are compared with as many others at once.
 HELD, SQUARE = 64 << 20, 4096
+#: Distances of a job's vectors in memory at once.
+CELLS = 1 << 22
 
 
 def usable(windows: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -276,25 +278,33 @@ def leader_labels(x: np.ndarray, smallest: int, floor: float = LEADER_FLOOR) ->
     return np.array([keep.get(c, -1) for c in label], np.int64)
 
 
-def hdbscan_labels(x: np.ndarray, smallest: int, samples: int, block: int = 1024) -> np.ndarray:
+def hdbscan_labels(x: np.ndarray, smallest: int, samples: int) -> np.ndarray:
     """Density clusters: mutual reachability, minimum spanning tree, condensed tree, excess of mass.
 
-    Distances are computed in blocks, so memory grows with the number of vectors only. Equal distances are
-    taken in index order.
+    Distances are computed ``CELLS`` at a time, so memory beside the vectors doesn't grow with their number squared or by
+    blocks of them. Equal distances are taken in index order.
     """
     n = len(x)
     if n <= samples or n < 2:
         return np.full(n, -1, np.int64)
-    x = x.astype(np.float64)
-    sq = (x * x).sum(1)
-    dist = lambda rows: np.sqrt(np.maximum(sq[rows, None] + sq[None, :] - 2 * (x[rows] @ x.T), 0))
-    core = np.concatenate([np.partition(dist(np.arange(a, min(a + block, n))), min(samples, n - 1), axis=1)[:, min(samples, n - 1)] for a in range(0, n, block)])
+    x = np.asarray(x, np.float64)
+    sq, kth, block = np.einsum("ij,ij->i", x, x), min(samples, n - 1), max(1, CELLS // n)
+    core = np.empty(n)
+    for a in range(0, n, block):
+        d = x[a : a + block] @ x.T
+        d *= -2
+        d += sq[a : a + block, None] + sq
+        d.partition(kth, axis=1)
+        core[a : a + block] = np.sqrt(np.maximum(d[:, kth], 0))
     best, by, inside, edges, at = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), [], 0
     for _ in range(n - 1):
         inside[at] = True
-        d = np.maximum(np.maximum(dist(np.array([at]))[0], core), core[at])
-        better = (d < best) & ~inside
-        best[better], by[better] = d[better], at
+        least = np.maximum(core, core[at])
+        rows = np.flatnonzero(~inside & (least < best))  # no other row can come nearer
+        dots = x[rows] @ x[at] if 3 * len(rows) < n else (x @ x[at])[rows]
+        d = np.maximum(np.sqrt(np.maximum(sq[at] + sq[rows] - 2 * dots, 0)), least[rows])
+        better = d < best[rows]
+        best[rows[better]], by[rows[better]] = d[better], at
         nxt = int(np.argmin(np.where(inside, np.inf, best)))
         edges.append((best[nxt], int(by[nxt]), nxt))
         at = nxt
@@ -368,6 +378,16 @@ def hdbscan_labels(x: np.ndarray, smallest: int, samples: int, block: int = 1024
     return label
 
 
+def _means(x: np.ndarray, rows: np.ndarray, near: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Mean of the ``rows`` of each centre; a centre without any stays."""
+    order, out = np.argsort(near, kind="stable"), centre.copy()
+    ends = np.searchsorted(near[order], np.arange(len(centre) + 1))
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        if b > a:
+            out[k] = x[rows[order[a:b]]].mean(0)
+    return out
+
+
 def stabilised(x: np.ndarray, label: np.ndarray, least: int = 3) -> np.ndarray:
     """k-means over the members of clusters of at least ``least``, with as many centres; all others are noise.
 
@@ -378,10 +398,14 @@ def stabilised(x: np.ndarray, label: np.ndarray, least: int = 3) -> np.ndarray:
     if not len(known):
         return label
     rows = np.flatnonzero(np.isin(label, known))
-    part, centre = x[rows], np.stack([x[label == k].mean(0) for k in known])
+    near, block = np.searchsorted(known, label[rows]), max(1, CELLS // len(known))
+    centre = _means(x, rows, near, np.zeros((len(known), x.shape[1])))
     for _ in range(ROUNDS):
-        near = np.argmin(((part * part).sum(1)[:, None] - 2 * part @ centre.T + (centre * centre).sum(1)), axis=1)
-        moved = np.stack([part[near == k].mean(0) if (near == k).any() else centre[k] for k in range(len(centre))])
+        near, size = np.empty(len(rows), np.int64), (centre * centre).sum(1)
+        for a in range(0, len(rows), block):
+            part = x[rows[a : a + block]]
+            near[a : a + block] = np.argmin((part * part).sum(1)[:, None] - 2 * part @ centre.T + size, axis=1)
+        moved = _means(x, rows, near, centre)
         shift, centre = np.abs(moved - centre).max(), moved
         if shift < TOLERANCE:
             break
@@ -404,7 +428,11 @@ def cluster_jobs(windows: DataFrame, params: AnalysisParams) -> DataFrame:
         first = np.full(len(f), -1, np.int64)
         second = first.copy()
         if ok.any():
-            x = np.stack(f["embedding"][ok].to_numpy()).astype(np.float64)
+            vectors = f.pop("embedding")[ok]
+            x = np.empty((len(vectors), len(vectors.iloc[0])))
+            for i, v in enumerate(vectors):
+                x[i] = v
+            del vectors
             if params.enable_hdbscan:
                 first[ok] = hdbscan_labels(x, smallest, params.min_samples)
                 second[ok] = stabilised(x, first[ok])

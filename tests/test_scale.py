@@ -111,3 +111,19 @@ def test_a_long_text_is_not_copied_for_its_spans(spark):
     plan = w._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan
     assert {(r["start"], r["end"], r["text"]) for r in w.collect()} == {(i * 28, i * 28 + 27, "One sentence of some words.") for i in range(3000)}
+
+
+def test_density_clusters_in_bounded_memory():
+    """Distances of 6,000 vectors took 300 MB and more, those to 2,000 centres as well."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(20, 4)) * 0.01 for c in rng.normal(size=(300, 4)) * 9])
+    tracemalloc.start()
+    label = clusters.hdbscan_labels(x, 4, 3)
+    found = clusters.stabilised(x, label)
+    spread = clusters.stabilised(x, np.arange(len(x)) // 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert len(set(label)) >= 290 and (found >= -1).all() and len(set(spread.tolist())) > 1500
