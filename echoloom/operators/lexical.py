@@ -5,7 +5,12 @@ Everything is keyed by ``doc_key`` (one text, e.g. a chapter), so one hash parti
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,11 +19,13 @@ from echoloom.config import LexicalConfig
 from echoloom.functions import text as T
 from echoloom.operators.graph import connected_components
 from echoloom.operators.intervals import islands, overlaps
-from echoloom.runtime import cut
+from echoloom.runtime import cut, settled
 
 SENTENCE, PARAGRAPH, PHRASE = "sentence", "paragraph", "phrase"
 #: The weights of shingles, order and frequency in the similarity, and the tolerance at a threshold.
 WEIGHTS, EPSILON = (0.70, 0.20, 0.10), 1.1920929e-07
+#: Shingles of a text up to which its pairs are counted in one task's memory; units in pairs up to which their hashes are broadcast.
+WITHIN, PAIRED = 2_000_000, 1_000_000
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
@@ -98,6 +105,86 @@ def near_pairs(index: DataFrame, fanout: int, share: int = 256) -> DataFrame:
     return best.join(index.select("doc_key").distinct().withColumn("d", F.xxhash64("doc_key")), "d").select("doc_key", "a", "b", "hits")
 
 
+def _text_pairs(units: dict[str, np.ndarray], shingles: np.ndarray, sizes: np.ndarray, cfg: LexicalConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a, b`` of one text's units, sorted by id: the pairs of ``near_pairs`` that may still reach their threshold."""
+    n = len(sizes)
+    of = np.repeat(np.arange(n), sizes)
+    _, kind, df = np.unique(shingles, return_inverse=True, return_counts=True)
+    order = np.argsort(kind, kind="stable")
+    post, ends = of[order], np.cumsum(df)
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of))  # an entry's place in the postings; those behind it are of later units
+    rare = df <= max(2, math.ceil(n * cfg.max_df_fraction))
+    to, at = ends[kind], np.cumsum([0, *sizes])
+    long = units["kind"] == PARAGRAPH
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def counted(entries: np.ndarray) -> np.ndarray:
+        lists = [post[p + 1 : t] for p, t in zip(place[entries].tolist(), to[entries].tolist()) if t > p + 1]
+        return np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, np.int64)
+
+    for i in range(n):
+        own = np.arange(at[i], at[i + 1])
+        few = rare[kind[own]]
+        hits = counted(own[few])
+        b = np.flatnonzero(hits)
+        if not len(b):
+            continue
+        if len(b) > cfg.max_candidate_fanout:
+            b = b[np.lexsort((b, -hits[b]))[: cfg.max_candidate_fanout]]
+        common = hits[b] if few.all() else hits[b] + counted(own[~few])[b]
+        j = common / (sizes[i] + sizes[b] - common)
+        limit = np.where(long[i] | long[b], cfg.paragraph_jaccard_threshold, cfg.sentence_jaccard_threshold)
+        apart = ~((units["start"][i] < units["end"][b]) & (units["start"][b] < units["end"][i]))
+        b = b[apart & ((WEIGHTS[0] * j + WEIGHTS[1] + WEIGHTS[2] + 2 * EPSILON >= limit) | (units["hash"][i] == units["hash"][b]))]
+        found.append((np.full(len(b), i), b))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def open_pairs(units: DataFrame, cfg: LexicalConfig) -> DataFrame:
+    """``doc_key, a, b``: the pairs of ``near_pairs`` without those whose shingles alone rule a match out.
+
+    A text's units meet in memory, where its pairs cost no disk; texts of more than ``WITHIN`` shingles go by the joins.
+    """
+    big = cut(units.groupBy("doc_key").agg(F.sum(F.size("shingles")).alias("m")).where(F.col("m") > WITHIN).select("doc_key"))
+    cols = ["doc_key", "id", "kind", "start", "end", "shingles"]
+    own, joined = units, None
+    if not big.isEmpty():
+        own = units.join(F.broadcast(big), "doc_key", "left_anti")
+        joined = near_pairs(shingle_index(units.join(F.broadcast(big), "doc_key", "left_semi"), cfg.max_df_fraction), cfg.max_candidate_fanout).select("doc_key", "a", "b")
+    rows = own.select(*cols, F.xxhash64("tokens").alias("hash"), F.to_json(F.struct("doc_key")).alias("__k")).repartition("__k").sortWithinPartitions("__k")
+
+    def one(blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(blocks).sort_by("id").combine_chunks()
+        lists = t.column("shingles").chunk(0)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = _text_pairs({c: t.column(c).to_numpy() for c in ("kind", "start", "end", "hash")}, lists.flatten().to_numpy(zero_copy_only=False), sizes, cfg)
+        ids = t.column("id").chunk(0)
+        return pa.RecordBatch.from_arrays([blocks[0].column("doc_key").take(pa.array(np.zeros(len(a), np.int64))), ids.take(pa.array(a)), ids.take(pa.array(b))], names=["doc_key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column("__k").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if kept and k[i] != last:
+                    yield one(kept)
+                    kept = []
+                kept.append(batch.select([*cols, "hash"]).slice(i, j - i))
+                last = k[i]
+        if kept:
+            yield one(kept)
+
+    kinds = {c: units.schema[c].dataType.simpleString() for c in ("doc_key", "id")}
+    met = rows.mapInArrow(run, f"doc_key {kinds['doc_key']}, a {kinds['id']}, b {kinds['id']}")
+    return met if joined is None else met.unionByName(joined)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - common
@@ -137,13 +224,22 @@ def frequency_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+def _hashed(units: DataFrame) -> DataFrame:
+    return units.withColumn("shingles", F.transform("shingles", lambda s: F.xxhash64(s)))
+
+
 def scored_pairs(units: DataFrame, cfg: LexicalConfig = LexicalConfig()) -> DataFrame:
     """``doc_key, a, b, score`` of units that match: exact ones at 1, others at or above their kind's threshold."""
     # hashed shingles: the joins and intersections below run on longs
-    u = cut(units.withColumn("shingles", F.transform("shingles", lambda s: F.xxhash64(s))))
+    u = units if units.schema["shingles"].dataType.elementType.simpleString() == "bigint" else cut(_hashed(units))
     exact = exact_pairs(u).withColumn("exact", F.lit(True))
-    near = near_pairs(shingle_index(u, cfg.max_df_fraction), cfg.max_candidate_fanout).select("doc_key", "a", "b", F.lit(False).alias("exact"))
-    pairs = exact.union(near).groupBy("doc_key", "a", "b").agg(F.max("exact").alias("exact"))
+    near = open_pairs(u, cfg).select("doc_key", "a", "b", F.lit(False).alias("exact"))
+    pairs = cut(exact.union(near).groupBy("doc_key", "a", "b").agg(F.max("exact").alias("exact")))
+    # only units that stand in a pair are shuffled with their tokens
+    unit = lambda c: F.xxhash64("doc_key", c).alias("h")
+    some = cut(pairs.select(unit("a")).union(pairs.select(unit("b"))).distinct())
+    if some.count() <= PAIRED:
+        u = u.withColumn("h", unit("id")).join(F.broadcast(some), "h", "left_semi").drop("h")
     cols = ["kind", "start", "end", "tokens", "shingles"]
     left = u.select("doc_key", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = u.select("doc_key", F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -188,8 +284,8 @@ def repetition_instances(docs: DataFrame, cfg: LexicalConfig = LexicalConfig())
     need ``max(2, min_repetitions)`` instances and are numbered by their first one's place. The first instance
     (``instance_id`` 0) is the canonical one. The order in which matches are met doesn't matter.
     """
-    units = cut(candidates(docs, cfg))
-    pairs = cut(scored_pairs(units, cfg))
+    units = cut(_hashed(candidates(docs, cfg)))
+    pairs = settled(docs.sparkSession, lambda: scored_pairs(units, cfg))
     at = units.select("doc_key", "id", "start", "end")
     unit_links = pairs.join(at.select("doc_key", F.col("id").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end")), ["doc_key", "a"])
     unit_links = unit_links.join(at.select("doc_key", F.col("id").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end")), ["doc_key", "b"])

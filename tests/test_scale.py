@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from echoloom.operators import clusters, report
+from echoloom.config import LexicalConfig
+from echoloom.operators import clusters, lexical, report
 from echoloom.runtime import cut
 
 
@@ -127,3 +128,19 @@ def test_density_clusters_in_bounded_memory():
     tracemalloc.stop()
     assert peak < 150 << 20
     assert len(set(label)) >= 290 and (found >= -1).all() and len(set(spread.tolist())) > 1500
+
+
+def test_pairs_within_a_text_agree_with_the_joins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(25)]
+    lines = [" ".join(rng.choice(words, 14)) for _ in range(12)]
+    texts = [("\n\n".join(" ".join(w if rng.random() > 0.04 else "new" for w in lines[i].split()) + "." for i in rng.integers(0, 12, 25)),) for _ in range(3)]
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_key int, text string")
+    units = lexical.candidates(docs).cache()
+    for cfg in (LexicalConfig(), LexicalConfig(max_candidate_fanout=3, max_df_fraction=0.05)):
+        found = []
+        for most in (0, 1 << 20):
+            monkeypatch.setattr(lexical, "WITHIN", most)
+            found.append({(r["doc_key"], r["a"], r["b"]): round(r["score"], 9) for r in lexical.scored_pairs(units, cfg).collect()})
+        assert found[0] == found[1] and len(found[0]) > 20
+    units.unpersist()
