@@ -12,7 +12,7 @@ from echoloom.functions import text as T
 from echoloom.functions import vectors as V
 from echoloom.operators import clusters, lexical, report, segment
 from echoloom.operators.intervals import merged
-from echoloom.runtime import cut
+from echoloom.runtime import cut, settled
 
 SCHEMA_VERSION, BOUNDARY_VERSION = "1", 1
 
@@ -69,14 +69,16 @@ def multi_pass(docs: DataFrame, bundle: MultiPassConfig, acts: DataFrame | None
 
     Act passes paginate by act and keep absolute offsets; they need ``acts``, else they run over the whole text.
     """
+    def rows_of(p: PassSpec) -> DataFrame:
+        if p.method == "lexical":
+            return lexical.repetition_instances(docs, bundle.lexical).withColumnRenamed("score", "similarity").withColumn("members", F.lit(1))
+        params = AnalysisParams(p.window_size, p.stride, bundle.tokens_per_page, None, bundle.min_repetitions, bundle.min_samples, bundle.enable_hdbscan, bundle.link_subphrases)
+        return embedding_instances(docs, params, acts if p.scope == "act" else None, embedder, bundle.expand_to_sentences)
+
     out = None
     for no, p in enumerate(bundle.passes):
-        if p.method == "lexical":
-            rows = lexical.repetition_instances(docs, bundle.lexical).withColumnRenamed("score", "similarity").withColumn("members", F.lit(1))
-        else:
-            params = AnalysisParams(p.window_size, p.stride, bundle.tokens_per_page, None, bundle.min_repetitions, bundle.min_samples, bundle.enable_hdbscan, bundle.link_subphrases)
-            rows = embedding_instances(docs, params, acts if p.scope == "act" else None, embedder, bundle.expand_to_sentences)
-        one = rows.select("doc_key", F.lit(no).alias("pass_no"), F.lit(p.name).alias("pass_name"), "cluster_id", "instance_id", "start", "end", "text", F.col("similarity").cast("double").alias("similarity"), F.col("members").cast("bigint").alias("members"))
+        # what a pass writes on its way, vectors above all, is removed before the next one begins
+        one = settled(docs.sparkSession, lambda: rows_of(p).select("doc_key", F.lit(no).alias("pass_no"), F.lit(p.name).alias("pass_name"), "cluster_id", "instance_id", "start", "end", "text", F.col("similarity").cast("double").alias("similarity"), F.col("members").cast("bigint").alias("members")))  # noqa: B023
         out = one if out is None else out.unionByName(one)
     return out
 

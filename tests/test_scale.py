@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from echoloom.config import LexicalConfig
-from echoloom.operators import clusters, lexical, report
-from echoloom.runtime import cut
+from echoloom.config import LEXICAL, LexicalConfig, MultiPassConfig, PassSpec
+from echoloom.operators import clusters, contract, lexical, report
+from echoloom.runtime import WRITTEN, cut
 
 
 def brute(x, floor):
@@ -144,3 +144,13 @@ def test_pairs_within_a_text_agree_with_the_joins(spark, monkeypatch):
             found.append({(r["doc_key"], r["a"], r["b"]): round(r["score"], 9) for r in lexical.scored_pairs(units, cfg).collect()})
         assert found[0] == found[1] and len(found[0]) > 20
     units.unpersist()
+
+
+def test_a_pass_leaves_only_its_spans(spark):
+    line = "The quick brown fox jumps over the lazy dog while the band plays on and on tonight."
+    docs = spark.createDataFrame([("d", f"{line}\n\nSomething else is here.\n\n{line}")], "doc_key string, text string")
+    bundle = MultiPassConfig((LEXICAL, PassSpec("fine", "chapter", "embedding", 10, 10)), enable_hdbscan=False)
+    before = set(WRITTEN)
+    rows = contract.multi_pass(docs, bundle)
+    assert len(WRITTEN - before) == 2
+    assert {r["pass_no"] for r in rows.collect()} == {0, 1}
