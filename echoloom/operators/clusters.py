@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from echoloom.config import AnalysisParams, min_cluster_size
 from echoloom.functions.text import trimmed
-from echoloom.functions.vectors import cosine, norm
+from echoloom.functions.vectors import cosine
 from echoloom.operators.graph import connected_components
 from echoloom.operators.intervals import merged
 
